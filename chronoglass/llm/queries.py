@@ -52,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), width=2)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,10 +12,43 @@ from functools import lru_cache
 import numpy as np
 
 END = 2
-#: Units kept per Python worker, and the longest one kept; beyond that the store starts anew.
-STORE, LONGEST = 300_000, 48
+#: Units, and pieces of them, that a Python worker keeps of the two newest generations; the longest unit it keeps.
+STORE, LONGEST = 250_000, 48
 #: What Python takes for white space and the tokenizers' patterns don't.
 _ODD = re.compile("[\x1c-\x1f]").search
+#: Latin text, where letters and numbers are the same in every version of Unicode; other units go through the library.
+_LATIN = "\u0250"
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(ord(_LATIN)) if unicodedata.category(chr(c))[0] == kind)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for the letters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Kept(dict):
+    """A store of two generations: what the older one holds is found, and kept on when it is asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > STORE:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.old[key]
+        return found
+
+    def lacks(self, keys: set) -> list:
+        return [k for k in keys if k not in self and k not in self.old]
 
 
 class Encoder:
@@ -22,8 +56,9 @@ class Encoder:
 
     A unit is text between two spaces. Both tokenizer kinds cut texts at spaces before any merge, so a text's ids are
     its units' ids in order: for the byte-level one a unit takes the space before it along, and texts with two spaces in
-    a row go through the library whole; for the one that drops white space, a unit is a word. New units of a batch are
-    encoded together, as one text that the tokenizer cuts in the same places.
+    a row go through the library whole; for the one that drops white space, a unit is a word. A new unit of Latin text is
+    cut into the tokenizer's own pieces, and new pieces go to the library's merge model; any other new unit goes through
+    the library as it is.
     """
 
     def __init__(self, path: str):
@@ -33,31 +68,31 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaced = self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids
-        self.store: dict[str, bytes] = {}
+        letter, number, ends = _class("L"), _class("N"), "'s|'t|'re|'ve|'m|'ll|'d"
+        pattern = rf"{ends}| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+" if self.spaced else rf"{ends}|[{letter}]+|[{number}]|[^\s{letter}{number}]+"
+        self.cut, self.letters = re.compile(pattern).findall, _byte_letters()
+        self.units, self.pieces = Kept(), Kept()
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        out = {}
-        joint = []
-        for u in units:
-            if not u or len(u) > LONGEST or u[-1:].isspace() or u[:1].isspace():
-                out[u] = self.plain(f" {u}" if self.spaced else u)
-            else:
-                joint.append(u)
-        for i in range(0, len(joint), 4096):
-            part = joint[i : i + 4096]
-            enc = self.tok.encode(" " + " ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
-            ends = np.cumsum([len(u) + 1 for u in part])
-            starts = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 1]
-            cut = np.searchsorted(starts, ends, side="right")
-            data, last = ids.tobytes(), 0
-            for u, c in zip(part, cut.tolist(), strict=True):
-                out[u] = data[4 * last : 4 * c]
-                last = c
-        return out
+    def _unit(self, unit: str) -> bytes:
+        text = f" {unit}" if self.spaced else unit
+        if not unit or max(unit) >= _LATIN:
+            return self.plain(text)
+        if not self.spaced:
+            text = unit.lower() if unit.isascii() else self.tok.normalizer.normalize_str(unit)
+            if max(text) >= _LATIN:
+                return self.plain(unit)
+        out, pieces, model = [], self.pieces, self.tok.model
+        for piece in self.cut(text):
+            try:
+                out.append(pieces[piece])
+            except KeyError:
+                ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                pieces[piece] = got = struct.pack(f"<{len(ids)}I", *ids)
+                out.append(got)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, without an end id. Null texts are empty."""
@@ -72,12 +107,15 @@ class Encoder:
             units = t.split(" ") if self.spaced else t.split()
             cut.append(units)
             new.update(units[1:] if self.spaced else units)
-        if len(self.store) > STORE:
-            self.store = {}
-        learnt = self._learn([u for u in new if u not in self.store])
-        self.store.update(learnt)
-        long = [u for u in learnt if len(u) > LONGEST]
-        get = self.store.__getitem__
+        store = self.units
+        store.turn()
+        self.pieces.turn()
+        long = []
+        for u in store.lacks(new):
+            store[u] = self._unit(u)
+            if len(u) > LONGEST:
+                long.append(u)
+        get = store.__getitem__
         for units in cut:
             if isinstance(units, str):
                 yield self.plain(units)
@@ -86,7 +124,7 @@ class Encoder:
             else:
                 yield b"".join(map(get, units))
         for u in long:
-            del self.store[u]
+            del store[u]
 
 
 @lru_cache(maxsize=4)
