@@ -1,5 +1,557 @@
-"""All registered queries of the time-series engine."""
+"""All registered queries of the time-series engine, each with DuckDB SQL where SQL can express it.
+
+`events` stands in for readings: id is user_id, us is ts in microseconds, v is value.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .operators import dynamics as D
+from .operators import joins as J
+from .operators import metrics as G
+from .operators import models as M
+from .operators import series as R
+from .operators import stats as H
+from .operators import windows as W
 
 QUERIES: dict = {}
 SQL: dict = {}
 FLAGSHIP = "g00_metric_row"
+#: Minutes and rows at the scale of `events`: a 6-hour grid, segments that a day's gap ends, of 8 readings at least.
+GRID, GAP, MIN_ROWS, HISTORY, LENGTH, HORIZON = 360, 1440, 8, 6, 4, 2
+HOUR, DAY, MINUTE = S.HOUR, S.DAY, S.MINUTE
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = WITH + sql if sql.lstrip().startswith((",", "SELECT")) else sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("user_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("value").alias("v"), "event_id", "event_type", "props")
+
+
+def readings(spark: SparkSession, sf: str) -> DataFrame:
+    return R.collapse(raw(spark, sf))
+
+
+def kind(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    return raw(spark, sf).where(F.col("event_type") == which).select("id", F.col("event_id").alias("ev"), F.col("us").alias("at"))
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"))
+
+
+def outcome(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return table(spark, sf, "labels").join(docs, "doc_id").select("doc_id", "n_chars", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+
+
+def r6(*names: str) -> list:
+    return [F.round(F.col(n), 6).alias(n) for n in names]
+
+
+WITH = f"""WITH e AS (SELECT user_id AS id, epoch_us(ts) AS us, value AS v, event_id, event_type, props FROM events),
+r AS (SELECT id, CAST(round_even(us / {MINUTE}, 0) * {MINUTE} AS BIGINT) AS us, avg(v) AS v FROM e GROUP BY ALL)
+"""
+SEG = f""", s1 AS (SELECT *, CASE WHEN floor((us - lag(us) OVER (PARTITION BY id ORDER BY us)) / {MINUTE}) > {GAP} THEN 1 ELSE 0 END AS nw FROM r),
+s2 AS (SELECT id, us, v, sum(nw) OVER (PARTITION BY id ORDER BY us) AS seg FROM s1),
+s AS (SELECT * FROM s2 QUALIFY count(*) OVER (PARTITION BY id, seg) >= {MIN_ROWS})
+"""
+STEP = GRID * MINUTE
+INTERP = SEG + f""", b AS (SELECT id, seg, min(us) AS t0, max(us) AS t1 FROM s GROUP BY ALL),
+gp AS (SELECT id, seg, unnest(generate_series(t0, t1, {STEP})) AS us FROM b),
+g AS (SELECT gp.id, gp.seg, gp.us, CASE WHEN n.us = p.us THEN p.v ELSE p.v + (n.v - p.v) * (gp.us - p.us) / (n.us - p.us) END AS v
+ FROM gp ASOF JOIN s p ON gp.id = p.id AND gp.seg = p.seg AND gp.us >= p.us ASOF JOIN s n ON gp.id = n.id AND gp.seg = n.seg AND gp.us <= n.us)
+"""
+HOURS = f"(us % {DAY}) / {float(HOUR)}"
+
+
+@query(f"SELECT event_id, CAST(round_even(us / {MINUTE}, 0) * {MINUTE} AS BIGINT) AS us FROM e")
+def p06_nearest_minute(spark, sf):
+    return raw(spark, sf).select("event_id", S.nearest_minute(F.col("us")).alias("us"))
+
+
+@query("SELECT event_id, CAST(year(ts) AS DOUBLE) AS ts_year, CAST(month(ts) AS DOUBLE) AS ts_month, CAST(day(ts) AS DOUBLE) AS ts_day, CAST(hour(ts) AS DOUBLE) AS ts_hour, CAST(minute(ts) AS DOUBLE) AS ts_minute, CAST(floor(second(ts)) AS DOUBLE) AS ts_second FROM events")
+def p07_date_parts(spark, sf):
+    parts = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second}
+    return table(spark, sf, "events").select("event_id", *(f("ts").cast("double").alias(f"ts_{k}") for k, f in parts.items()))
+
+
+@query(f"SELECT event_id, round(floor((us % {DAY}) / {HOUR}) + floor((us % {HOUR}) / {MINUTE}) / 60, 6) AS hour FROM e")
+def p08_decimal_hour(spark, sf):
+    return raw(spark, sf).select("event_id", F.round(S.decimal_hour(F.col("us")), 6).alias("hour"))
+
+
+@query("SELECT event_id, round(CASE WHEN median(v) OVER (PARTITION BY id) > 30 THEN v / 18.0182 ELSE v END, 6) AS v FROM e")
+def p11_units(spark, sf):
+    x = raw(spark, sf).withColumn("m", F.median("v").over(Window.partitionBy("id")))
+    return x.select("event_id", F.round(F.when(F.col("m") > 30, S.to_mmol(F.col("v"))).otherwise(F.col("v")), 6).alias("v"))
+
+
+@query("SELECT event_id, CASE WHEN v / 100 < 0.3 THEN 'low' WHEN v / 100 < 0.5 THEN 'medium' ELSE 'high' END AS tier, CASE WHEN v > 0 AND v <= 7 THEN 0 WHEN v > 7 AND v <= 10 THEN 1 WHEN v > 10 AND v <= 100 THEN 2 END AS bin FROM e")
+def p16_buckets(spark, sf):
+    return raw(spark, sf).select("event_id", S.tier(F.col("v") / 100).alias("tier"), S.right_closed(F.col("v"), [0, 7, 10, 100]).alias("bin"))
+
+
+@query("""SELECT event_id, round(v * 90 / 405, 6) AS homa, round(0.09148 * v + 2.152, 6) AS a1c, round(1 / (1 + exp(-greatest(-40, least(40, (v - 10) / 4)))), 6) AS soft,
+ round(0.6 * greatest(v, v / 2, 1.0) + 0.4 * (v + v / 2 + 1.0) / 3, 6) AS combined, CASE WHEN v > 1 THEN round(ln(v / (v - 1)), 6) END AS ratio FROM e""")
+def p17_scores(spark, sf):
+    v = F.col("v")
+    return raw(spark, sf).select(
+        "event_id", F.round(S.homa_ir(v, F.lit(90)), 6).alias("homa"), F.round(S.ngsp(v), 6).alias("a1c"), F.round(S.soft_component(v, 10, 4), 6).alias("soft"),
+        F.round(S.max_mean(v, v / 2, F.lit(1.0)), 6).alias("combined"), F.round(S.safe_log_ratio(v, v - 1), 6).alias("ratio"),
+    )
+
+
+@query("SELECT DISTINCT id, CAST(('0x' || substr(sha256(CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS fold FROM e")
+def p24_hash_fold(spark, sf):
+    return raw(spark, sf).select("id").distinct().select("id", S.hash_fold(F.col("id")).alias("fold"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM e")
+def p26_json(spark, sf):
+    return raw(spark, sf).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '^Customer#0*', '') AS name_key, CASE WHEN regexp_matches(lower(c_mktsegment), 'auto|build') THEN 1 ELSE 0 END AS hit, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 0 END AS code FROM customer")
+def p22_text_rules(spark, sf):
+    c = table(spark, sf, "customer")
+    code = F.coalesce(F.create_map(F.lit("AUTOMOBILE"), F.lit(1), F.lit("BUILDING"), F.lit(2))[F.col("c_mktsegment")], F.lit(0))
+    return c.select("c_custkey", F.regexp_replace("c_name", "^Customer#0*", "").alias("name_key"), F.col("c_mktsegment").rlike("(?i)auto|build").cast("int").alias("hit"), code.alias("code"))
+
+
+@query("SELECT event_id, v FROM e WHERE event_type = 'purchase' AND v BETWEEN 2.2 AND 33.3")
+def f05_range(spark, sf):
+    return raw(spark, sf).where((F.col("event_type") == "purchase") & F.col("v").between(2.2, 33.3)).select("event_id", "v")
+
+
+@query(f"SELECT event_id, CASE WHEN {HOURS} < 6 THEN v END AS night, CASE WHEN {HOURS} >= 6 AND {HOURS} < 18 THEN v END AS day FROM e")
+def f07_periods(spark, sf):
+    return raw(spark, sf).select("event_id", F.when(R.period(F.col("us"), 0, 6), F.col("v")).alias("night"), F.when(R.period(F.col("us"), 6, 18), F.col("v")).alias("day"))
+
+
+@query(f"SELECT event_id FROM e QUALIFY us < min(us) OVER (PARTITION BY id) + {7 * DAY} AND count(*) OVER (PARTITION BY id) >= 60")
+def f10_first_week(spark, sf):
+    w = Window.partitionBy("id")
+    x = raw(spark, sf).withColumn("t0", F.min("us").over(w)).withColumn("n", F.count("*").over(w))
+    return x.where((F.col("us") < F.col("t0") + 7 * DAY) & (F.col("n") >= 60)).select("event_id")
+
+
+@query(f"SELECT id, CAST(floor(us / {DAY}) AS BIGINT) AS date, count(*) FILTER ({HOURS} < 6) AS n_night, count(*) FILTER ({HOURS} >= 6 AND {HOURS} < 22) AS n_day FROM e GROUP BY ALL HAVING count(*) FILTER ({HOURS} < 6) >= 1 AND count(*) FILTER ({HOURS} >= 6 AND {HOURS} < 22) >= 1")
+def f12_qualified_days(spark, sf):
+    return R.qualified_days(raw(spark, sf), 1, 1)
+
+
+@query(f"SELECT id, event_id AS ev FROM e WHERE event_type = 'purchase' QUALIFY coalesce(us - lag(us) OVER (PARTITION BY id ORDER BY us, event_id), {DAY}) >= {DAY} AND coalesce(lead(us) OVER (PARTITION BY id ORDER BY us, event_id) - us, {DAY}) >= {DAY}")
+def f14_isolated(spark, sf):
+    return J.isolated(kind(spark, sf, "purchase"), DAY).select("id", "ev")
+
+
+@query("SELECT id, us, round(v, 6) AS v FROM r")
+def a01_collapse(spark, sf):
+    return readings(spark, sf).select("id", "us", *r6("v"))
+
+
+@query("SELECT o_custkey AS id, arg_max(o_orderkey, o_orderkey) AS k FROM orders GROUP BY o_custkey, o_orderdate")
+def a02_keep_last(spark, sf):
+    return R.keep_one(orders(spark, sf), "k").select("id", "k")
+
+
+@query("SELECT id, round(quantile_cont(v, 0.05), 6) AS q05, round(quantile_cont(v, 0.5), 6) AS q50, round(quantile_cont(v, 0.95), 6) AS q95, round(stddev_samp(v), 6) AS sd1, round(stddev_pop(v), 6) AS sd0 FROM e GROUP BY id")
+def a10_quantiles(spark, sf):
+    q = [F.round(F.percentile("v", p), 6).alias(n) for n, p in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))]
+    return raw(spark, sf).groupBy("id").agg(*q, F.round(F.stddev_samp("v"), 6).alias("sd1"), F.round(F.stddev_pop("v"), 6).alias("sd0"))
+
+
+@query(", m AS (SELECT id, median(v) AS centre FROM e GROUP BY id) SELECT e.id, round(any_value(centre), 6) AS centre, round(median(abs(v - centre)), 6) AS mad, round(1.4826 * median(abs(v - centre)), 6) AS scale FROM e JOIN m USING (id) GROUP BY e.id")
+def a11_robust(spark, sf):
+    return G.robust(raw(spark, sf), ["id"]).select("id", *r6("centre", "mad", "scale"))
+
+
+@query("SELECT id, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS click, CAST(count(*) FILTER (event_type = 'view') AS BIGINT) AS view FROM e GROUP BY id")
+def a13_one_hot(spark, sf):
+    return raw(spark, sf).groupBy("id").pivot("event_type", ["click", "view"]).agg(F.count("id")).select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "view")))
+
+
+@query("SELECT id, round(avg(v) FILTER (event_type = 'click'), 6) AS click, round(avg(v) FILTER (event_type = 'purchase'), 6) AS purchase FROM e GROUP BY id")
+def a14_pivot(spark, sf):
+    return raw(spark, sf).groupBy("id").pivot("event_type", ["click", "purchase"]).agg(F.round(F.avg("v"), 6))
+
+
+@query(", w AS (SELECT id, avg(v) AS mean, min(v) AS low FROM e GROUP BY id) SELECT id, 'mean' AS metric, round(mean, 6) AS x FROM w UNION ALL SELECT id, 'low', round(low, 6) FROM w")
+def a15_unpivot(spark, sf):
+    w = raw(spark, sf).groupBy("id").agg(F.avg("v").alias("mean"), F.min("v").alias("low"))
+    return w.unpivot("id", ["mean", "low"], "metric", "x").select("id", "metric", *r6("x"))
+
+
+@query(", c AS (SELECT id, event_type, count(*) AS n FROM e GROUP BY ALL), q AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM c) SELECT id, round(-sum(p * ln(p)), 6) AS entropy FROM q GROUP BY id")
+def a19_entropy(spark, sf):
+    c = raw(spark, sf).groupBy("id", "event_type").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("id")))
+    return c.groupBy("id").agg(F.round(-F.sum(F.col("p") * F.log("p")), 6).alias("entropy"))
+
+
+@query(f", p AS (SELECT id, us, (v + lead(v) OVER w) / 2 * (lead(us) OVER w - us) / {float(HOUR)} AS a FROM r WINDOW w AS (PARTITION BY id ORDER BY us)) SELECT id, round(sum(a), 6) AS area FROM p GROUP BY id")
+def a20_trapezoid(spark, sf):
+    return G.trapezoid(readings(spark, sf)).select("id", *r6("area"))
+
+
+@query(f", p AS (SELECT id, us - lag(us) OVER (PARTITION BY id ORDER BY us) AS d FROM r) SELECT id, round(max(d) / {float(MINUTE)}, 6) AS longest FROM p GROUP BY id")
+def a21_longest_gap(spark, sf):
+    x = readings(spark, sf).withColumn("d", F.col("us") - F.lag("us").over(R.by_time()))
+    return x.groupBy("id").agg(F.round(F.max("d") / MINUTE, 6).alias("longest"))
+
+
+@query(SEG + "SELECT id, us, CAST(seg AS BIGINT) AS seg FROM s")
+def w01_segments(spark, sf):
+    return R.segments(readings(spark, sf), GAP, MIN_ROWS).select("id", "us", "seg")
+
+
+@query(SEG + "SELECT id, us, CAST(dense_rank() OVER (ORDER BY id, seg) - 1 AS BIGINT) AS sid FROM s")
+def w02_renumber(spark, sf):
+    return R.renumber(R.segments(readings(spark, sf), GAP, MIN_ROWS)).select("id", "us", F.col("sid").cast("long").alias("sid"))
+
+
+@query("SELECT id, us, round(avg(v) OVER (PARTITION BY id ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS v FROM r")
+def w07_rolling(spark, sf):
+    return readings(spark, sf).select("id", "us", F.round(F.avg("v").over(R.by_time().rowsBetween(-1, 1)), 6).alias("v"))
+
+
+@query()
+def w08_ema(spark, sf):
+    return W.ema(R.segments(readings(spark, sf), GAP), 0.3).select("id", "seg", "us", *r6("v"))
+
+
+@query(""", d AS (SELECT id, us, v, CASE WHEN v - lag(v) OVER w > 0.01 THEN 1 WHEN v - lag(v) OVER w < -0.01 THEN -1 END AS d, lag(us) OVER w AS us0, lag(v) OVER w AS v0 FROM r WINDOW w AS (PARTITION BY id ORDER BY us)),
+p AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM d)
+SELECT id, us0 AS us, round(v0, 6) AS v, CASE WHEN d < 0 THEN 'peak' ELSE 'valley' END AS kind FROM p WHERE d = -prev""")
+def w10_turning_points(spark, sf):
+    return W.turning_points(readings(spark, sf)).select("id", "us", *r6("v"), "kind")
+
+
+@query(", p AS (SELECT id, us, v, row_number() OVER (PARTITION BY id ORDER BY us) AS k FROM r), q AS (SELECT id, us, k - row_number() OVER (PARTITION BY id ORDER BY us) AS g FROM p WHERE v > 20) SELECT id, min(us) AS start, max(us) AS stop, count(*) AS n FROM q GROUP BY id, g HAVING count(*) >= 2")
+def w12_true_runs(spark, sf):
+    return W.true_runs(readings(spark, sf), "v > 20", 2)
+
+
+@query(""", c AS (SELECT conv_id AS id, turn, nullif(role, 'system') AS role FROM conversations), d AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY id ORDER BY turn) THEN 0 ELSE 1 END AS nw FROM c),
+f AS (SELECT *, sum(nw) OVER (PARTITION BY id ORDER BY turn) AS run FROM d) SELECT id, CAST(run AS BIGINT) AS run, role AS phase, count(*) AS n FROM f WHERE role IS NOT NULL GROUP BY ALL""")
+def w13_phase_runs(spark, sf):
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", F.nullif("role", F.lit("system")).alias("role"))
+    return W.phase_runs(c, "role", "turn").withColumn("run", F.coalesce("run", F.lit(0)))
+
+
+@query(f""", x AS (SELECT id, us AS tm, row_number() OVER (PARTITION BY id ORDER BY us, event_id) AS k FROM e WHERE event_type = 'purchase')
+SELECT id, tm FROM (WITH RECURSIVE m AS (SELECT id, k, tm, tm AS anchor, true AS fresh FROM x WHERE k = 1 UNION ALL
+ SELECT x.id, x.k, x.tm, CASE WHEN x.tm - m.anchor > {2 * DAY} THEN x.tm ELSE m.anchor END, x.tm - m.anchor > {2 * DAY} FROM m JOIN x ON x.id = m.id AND x.k = m.k + 1) SELECT * FROM m) WHERE fresh""")
+def w16_merge_events(spark, sf):
+    return W.merge_events(kind(spark, sf, "purchase"), 2 * DAY).withColumnRenamed("at", "tm")
+
+
+@query()
+def w18_suppress(spark, sf):
+    return W.suppress(raw(spark, sf).select("id", F.col("us").alias("at"), "v"), 3 * DAY)
+
+
+@query("SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY round(v, 0)) + (count(*) OVER (PARTITION BY event_type, round(v, 0)) - 1) / 2.0 AS rank FROM e")
+def w19_average_rank(spark, sf):
+    x = raw(spark, sf).withColumn("q", F.round("v", 0))
+    return x.select("event_id", W.average_rank("q", ["event_type"]).alias("rank"))
+
+
+@query(", m AS (SELECT *, median(v) OVER (PARTITION BY id) AS m, row_number() OVER (PARTITION BY id ORDER BY us, event_id) AS k FROM e) SELECT event_id, CASE WHEN v > m THEN 'high' WHEN v < m THEN 'low' ELSE 'median_tie' END AS side, CAST(k % 2 AS INTEGER) AS odd FROM m")
+def w20_median_split(spark, sf):
+    w = Window.partitionBy("id")
+    x = raw(spark, sf).withColumn("m", F.median("v").over(w)).withColumn("k", F.row_number().over(w.orderBy("us", "event_id")))
+    return x.select("event_id", F.when(F.col("v") > F.col("m"), "high").when(F.col("v") < F.col("m"), "low").otherwise("median_tie").alias("side"), (F.col("k") % 2).alias("odd"))
+
+
+@query(INTERP + "SELECT id, CAST(seg AS BIGINT) AS seg, us, round(v, 6) AS v FROM g")
+def r02_interpolate(spark, sf):
+    return R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID).select("id", "seg", "us", *r6("v"))
+
+
+@query(f""", w AS (SELECT id, us, v, lead(us) OVER (PARTITION BY id ORDER BY us) AS us1, lead(v) OVER (PARTITION BY id ORDER BY us) AS v1 FROM r),
+i AS (SELECT *, (us1 - us) / {float(MINUTE)} AS gap, CAST(round_even((us1 - us) / {float(MINUTE)} / 180, 0) AS BIGINT) AS n FROM w),
+f AS (SELECT *, unnest(generate_series(1, n - 1)) AS k FROM i WHERE gap > 240 AND gap <= 900 AND n > 1)
+SELECT id, us, round(v, 6) AS v FROM r UNION ALL SELECT id, CAST(floor(us + (us1 - us) * k / n) AS BIGINT), round(v + (v1 - v) * k / n, 6) FROM f UNION ALL SELECT id, us + {900 * MINUTE}, NULL FROM i WHERE gap > 900""")
+def r04_densify(spark, sf):
+    return R.densify(readings(spark, sf), 180, 240, 900).select("id", F.col("us").cast("long").alias("us"), *r6("v"))
+
+
+@query()
+def r05_regularize(spark, sf):
+    return R.regularize(readings(spark, sf), GRID, GAP).select("id", "us", *r6("v"))
+
+
+@query(f", t AS (SELECT unnest([360, 720, 1440, 2880]) AS gap), l AS (SELECT id, us, us - lag(us) OVER (PARTITION BY id ORDER BY us) AS d FROM r), c AS (SELECT gap, id, us, sum(CASE WHEN floor(d / {MINUTE}) > gap THEN 1 ELSE 0 END) OVER (PARTITION BY gap, id ORDER BY us) AS seg FROM l, t), n AS (SELECT gap, id, seg, count(*) AS n FROM c GROUP BY ALL) SELECT gap, count(*) AS segments, round(100.0 * avg(CASE WHEN n > 8 THEN 1 ELSE 0 END), 6) AS pct FROM n GROUP BY gap")
+def r12_gap_sweep(spark, sf):
+    x = readings(spark, sf).withColumn("d", F.floor((F.col("us") - F.lag("us").over(R.by_time())) / MINUTE)).select("id", "us", "d", F.explode(F.array(*map(F.lit, (360, 720, 1440, 2880)))).alias("gap"))
+    seg = F.sum((F.col("d") > F.col("gap")).cast("int")).over(Window.partitionBy("gap", "id").orderBy("us"))
+    n = x.withColumn("seg", F.coalesce(seg, F.lit(0))).groupBy("gap", "id", "seg").agg(F.count("*").alias("n"))
+    return n.groupBy("gap").agg(F.count("*").alias("segments"), F.round(100 * F.avg((F.col("n") > 8).cast("double")), 6).alias("pct"))
+
+
+@query(", i AS (SELECT DISTINCT id FROM e) SELECT id FROM i ORDER BY sha256(id || '|' || 7) LIMIT (SELECT CAST(ceil(count(*) * 0.1) AS BIGINT) FROM i)")
+def e01_ood_ids(spark, sf):
+    return R.ood_ids(raw(spark, sf), 0.1, 7)
+
+
+N, M2, M3 = LENGTH, HISTORY + 2 * LENGTH, HISTORY + 3 * LENGTH
+
+
+@query(INTERP + f""", p AS (SELECT *, row_number() OVER (PARTITION BY id, seg ORDER BY us DESC) AS q, count(*) OVER (PARTITION BY id, seg) AS n, dense_rank() OVER (PARTITION BY id ORDER BY seg DESC) AS back FROM g),
+k AS (SELECT id, max(back) AS segs, max(n) FILTER (back = 1) AS n1, max(n) FILTER (back = 2) AS n2 FROM p GROUP BY id), x AS (SELECT * FROM p JOIN k USING (id))
+SELECT id, CAST(seg AS BIGINT) AS seg, us, part FROM (
+ SELECT *, 'train' AS part FROM x WHERE back > 2 OR (back = 2 AND (n1 >= {M2} OR n2 < {M2} OR q > {N})) OR (back = 1 AND n1 >= {M3} AND q > {2 * N}) OR (back = 1 AND segs = 1 AND n1 < {M3} AND (n1 < {M2} OR q > {N}))
+ UNION ALL SELECT *, 'val' FROM x WHERE (back = 1 AND n1 >= {M3} AND q > {N} AND q <= {2 * N + HISTORY}) OR (back = 1 AND segs > 1 AND n1 >= {M2} AND n1 < {M3} AND q > {N}) OR (back = 2 AND n1 < {M2} AND n2 >= {M2} AND q <= {N + HISTORY})
+ UNION ALL SELECT *, 'test' FROM x WHERE (back = 1 AND n1 >= {M2} AND q <= {N + HISTORY}) OR (back = 1 AND n1 < {M2} AND segs > 1))""")
+def e02_split(spark, sf):
+    g = R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID)
+    return R.split(g, HISTORY, LENGTH).select("id", "seg", "us", "part")
+
+
+@query("SELECT event_id, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS DOUBLE) AS code FROM e")
+def e05_encode(spark, sf):
+    return R.encode(raw(spark, sf), "event_type").select("event_id", "code")
+
+
+@query(", f AS (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE id % 5 <> 0) SELECT event_id, round((v - lo) / (hi - lo), 6) AS scaled FROM e, f")
+def e06_scale(spark, sf):
+    x = raw(spark, sf)
+    return R.scaled(x, x.where("id % 5 <> 0")).select("event_id", *r6("scaled"))
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY toxic ORDER BY sha256(CAST(doc_id AS VARCHAR))) - 1) % 5 AS INTEGER) AS fold FROM labels")
+def e09_stratified_folds(spark, sf):
+    w = Window.partitionBy("toxic").orderBy(F.sha2(F.col("doc_id").cast("string"), 256))
+    return table(spark, sf, "labels").select("doc_id", ((F.row_number().over(w) - 1) % 5).alias("fold"))
+
+
+@query(INTERP + f", w AS (SELECT id, seg, us, list(v) OVER (PARTITION BY id, seg ORDER BY us ROWS BETWEEN CURRENT ROW AND {HISTORY - 1} FOLLOWING) AS p, list(v) OVER (PARTITION BY id, seg ORDER BY us ROWS BETWEEN {HISTORY} FOLLOWING AND {HISTORY + HORIZON - 1} FOLLOWING) AS f FROM g) SELECT id, us, list_sum(p) AS past_sum, list_sum(f) AS future_sum FROM w WHERE len(p) = {HISTORY} AND len(f) = {HORIZON}".replace("list_sum(p)", "round(list_sum(p), 6)").replace("list_sum(f)", "round(list_sum(f), 6)"))
+def d02_samples(spark, sf):
+    s = R.samples(R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID), HISTORY, HORIZON)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 6)
+    return s.select("id", "us", total("past").alias("past_sum"), total("future").alias("future_sum"))
+
+
+@query("SELECT event_id, lag(v, 1) OVER w AS lag1, lag(v, 3) OVER w AS lag3 FROM e WINDOW w AS (PARTITION BY id ORDER BY us)")
+def d06_lags(spark, sf):
+    return R.lags(raw(spark, sf), [1, 3]).select("event_id", "lag1", "lag3")
+
+
+@query("SELECT o.o_orderkey, c.c_mktsegment, n.n_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey")
+def j01_covariates(spark, sf):
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
+
+
+TOL = 12 * HOUR
+PAIRS = ", ev AS (SELECT id, event_id AS ev, us AS tm FROM e WHERE event_type = 'purchase'), vw AS (SELECT id, us, v, event_id FROM e WHERE event_type = 'view')"
+
+
+@query(PAIRS + f" SELECT ev.id, ev, vw.us, vw.v FROM ev JOIN vw ON ev.id = vw.id AND abs(us - tm) <= {TOL} QUALIFY row_number() OVER (PARTITION BY ev.id, ev ORDER BY abs(us - tm), us) = 1")
+def j04_nearest(spark, sf):
+    views = raw(spark, sf).where("event_type = 'view'").select("id", "us", "v")
+    return J.nearest(kind(spark, sf, "purchase"), views, TOL).select("id", "ev", "us", "v")
+
+
+@query(PAIRS + f" SELECT ev.id, ev, count(*) AS n, round(max(vw.v), 6) AS peak FROM ev JOIN vw ON ev.id = vw.id AND us BETWEEN tm - {6 * HOUR} AND tm + {48 * HOUR} GROUP BY ev.id, ev")
+def j05_interval(spark, sf):
+    views = raw(spark, sf).where("event_type = 'view'").select("id", "us", "v")
+    return J.within(kind(spark, sf, "purchase"), views, 6 * HOUR, 48 * HOUR).groupBy("id", "ev").agg(F.count("*").alias("n"), F.round(F.max("v"), 6).alias("peak"))
+
+
+@query(PAIRS + f" SELECT id, ev FROM ev WHERE EXISTS (SELECT 1 FROM vw WHERE vw.id = ev.id AND us BETWEEN tm - {HOUR} AND tm + {24 * HOUR})")
+def j06_matched(spark, sf):
+    return J.matched(kind(spark, sf, "purchase"), kind(spark, sf, "view"), HOUR, 24 * HOUR).select("id", "ev")
+
+
+@query(f", b AS (SELECT id, min(us) AS t0 FROM e GROUP BY id) SELECT e.id, CAST(floor((us - t0) / {7 * DAY}) AS BIGINT) AS bin, count(*) AS n, round(sum(v), 4) AS total FROM e JOIN b USING (id) GROUP BY ALL")
+def j07_own_weeks(spark, sf):
+    x = raw(spark, sf)
+    return J.own_bins(x, x.groupBy("id").agg(F.min("us").alias("t0")), 7).groupBy("id", F.col("bin").cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+
+
+@query("SELECT id FROM e WHERE event_type = 'purchase' INTERSECT SELECT id FROM e WHERE event_type = 'error' EXCEPT SELECT id FROM e WHERE event_type = 'signup' AND v > 90")
+def j09_sets(spark, sf):
+    x = raw(spark, sf)
+    ids = lambda c: x.where(c).select("id")
+    return ids("event_type = 'purchase'").intersect(ids("event_type = 'error'")).join(ids("event_type = 'signup' AND v > 90"), "id", "left_anti")
+
+
+@query(f", d AS (SELECT id, CAST(floor(us / {DAY}) AS BIGINT) AS date, count(*) AS n, avg(v) AS m FROM e GROUP BY ALL) SELECT a.id, a.date, a.n, round(b.m, 6) AS next FROM d a JOIN d b ON a.id = b.id AND b.date = a.date + 1")
+def j11_next_day(spark, sf):
+    d = raw(spark, sf).groupBy("id", S.day_of(F.col("us")).alias("date")).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
+    return d.select("id", "date", "n").join(d.select("id", (F.col("date") - 1).alias("date"), F.round("m", 6).alias("next")), ["id", "date"])
+
+
+@query(", n AS (SELECT id, event_type, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 12), b AS (SELECT id, arg_min(event_type, list_position(['purchase', 'click', 'view'], event_type)) AS event_type FROM n WHERE list_contains(['purchase', 'click', 'view'], event_type) GROUP BY id) SELECT event_id FROM e JOIN b USING (id, event_type)")
+def j16_first_source(spark, sf):
+    return J.first_source(raw(spark, sf), "event_type", ["purchase", "click", "view"], 12).select("event_id")
+
+
+METRICS = ["mean", "night_mean", "sd", "cv", "tir", "tar180", "tar250", "tbr70", "tbr54", "gmi", "rate_mean_abs", "rate_p95_up", "rate_p95_down", "slope_day", "span_hours", "coverage"]
+
+
+@query(INTERP + f""", x AS (SELECT *, CASE WHEN us - lag(us) OVER w = {STEP} THEN (v - lag(v) OVER w) * 60 / {float(GRID)} END AS rate FROM g WINDOW w AS (PARTITION BY id ORDER BY us)),
+a AS (SELECT id, avg(v) AS mean, avg(v) FILTER ({HOURS} < 6) AS night_mean, stddev_samp(v) AS sd, 100 * avg(CASE WHEN v >= 70 / 18.0 AND v <= 10 THEN 1.0 ELSE 0 END) AS tir, 100 * avg(CASE WHEN v > 10 THEN 1.0 ELSE 0 END) AS tar180,
+ 100 * avg(CASE WHEN v > 250 / 18.0 THEN 1.0 ELSE 0 END) AS tar250, 100 * avg(CASE WHEN v < 70 / 18.0 THEN 1.0 ELSE 0 END) AS tbr70, 100 * avg(CASE WHEN v < 3 THEN 1.0 ELSE 0 END) AS tbr54, avg(abs(rate)) AS rate_mean_abs,
+ quantile_cont(rate, 0.95) FILTER (rate > 0) AS rate_p95_up, quantile_cont(-rate, 0.95) FILTER (rate < 0) AS rate_p95_down, regr_slope(v, us / {float(DAY)} - 19723) AS slope_day, count(v) AS valid_points, (max(us) - min(us)) / {float(HOUR)} AS span_hours, count(v) / count(*) AS coverage FROM x GROUP BY id)
+SELECT id, valid_points, span_hours >= 24 AND coverage >= 0.7 AS eligible, {', '.join(f'round({m}, 6) AS {m}' for m in METRICS if m not in ('cv', 'gmi'))}, round(100 * sd / mean, 6) AS cv,
+ CASE WHEN span_hours >= 336 AND coverage >= 0.7 THEN round(3.31 + 0.02392 * mean * 18, 6) END AS gmi FROM a""")
+def g00_metric_row(spark, sf):
+    """Segments on a 6-hour grid, then the metrics of every id."""
+    g = R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID)
+    return G.metric_row(g, GRID).select("id", "valid_points", "eligible", *r6(*METRICS))
+
+
+@query(INTERP + ", w AS (SELECT id, abs(lead(v, 4) OVER (PARTITION BY id ORDER BY us) - v) AS d FROM g) SELECT id, CASE WHEN count(d) >= 12 THEN round(avg(d), 6) END AS modd FROM w GROUP BY id")
+def g05_modd(spark, sf):
+    return G.modd(R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID), 4, 12).select("id", *r6("modd"))
+
+
+@query(""", a AS (SELECT id, us, avg(v) OVER (PARTITION BY id ORDER BY us ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM r), b AS (SELECT *, (s - lag(s) OVER w) * (lead(s) OVER w - s) AS turn FROM a WINDOW w AS (PARTITION BY id ORDER BY us)),
+c AS (SELECT id, abs(s - lag(s) OVER (PARTITION BY id ORDER BY us)) AS d FROM b WHERE turn < 0), k AS (SELECT id, stddev_samp(v) AS sd FROM r GROUP BY id) SELECT c.id, round(avg(d), 6) AS mage, count(*) AS n FROM c JOIN k USING (id) WHERE d >= sd GROUP BY c.id""")
+def g04_mage(spark, sf):
+    return G.mage(readings(spark, sf)).select("id", *r6("mage"), "n")
+
+
+RISK = "1.509 * (pow(ln(greatest(v, 0.1) * 18), 1.084) - 5.381)"
+
+
+@query(f", f AS (SELECT *, {RISK} AS f FROM e) SELECT id, round(0.001 * pow(18 * (avg(v) + stddev_samp(v)), 2), 6) AS j_index, round(avg(10 * f * f) FILTER (f < 0), 6) AS lbgi, round(avg(10 * f * f) FILTER (f > 0), 6) AS hbgi, round(avg(v) FILTER ({HOURS} >= 4 AND {HOURS} < 8) - avg(v) FILTER ({HOURS} < 4), 6) AS dawn, round(max(v) - min(v), 6) AS spread FROM f GROUP BY id")
+def g08_standard_row(spark, sf):
+    return G.standard_row(raw(spark, sf)).select("id", *r6("j_index", "lbgi", "hbgi", "dawn", "spread"))
+
+
+@query("SELECT id, round(avg(greatest(v - 10, 0)), 6) AS hyper, round(avg(greatest(3.9 - v, 0)), 6) AS hypo, round(greatest(stddev_pop(v) / avg(v) - 0.15, 0), 6) AS load FROM e GROUP BY id")
+def g09_burden(spark, sf):
+    return G.burden(raw(spark, sf)).select("id", *r6("hyper", "hypo", "load"))
+
+
+@query("SELECT id, round(stddev_pop(v), 6) AS sd, round(stddev_pop(v) / avg(v), 6) AS cv, round(100 * avg(CASE WHEN v < 3.9 OR v > 10 THEN 1.0 ELSE 0 END), 6) AS out_of_range, round(quantile_cont(v, 0.95) - quantile_cont(v, 0.05), 6) AS spread90 FROM e GROUP BY id")
+def g10_window_stats(spark, sf):
+    return G.window_stats(raw(spark, sf)).select("id", *r6("sd", "cv", "out_of_range", "spread90"))
+
+
+@query(f"SELECT id, CAST(floor(us / {DAY}) AS BIGINT) AS date, round(avg(v) FILTER ({HOURS} < 3), 6) AS early, round(avg(v) FILTER ({HOURS} >= 3 AND {HOURS} < 6), 6) AS late, round(avg(v) FILTER ({HOURS} >= 6 AND {HOURS} < 9) - avg(v) FILTER ({HOURS} >= 3 AND {HOURS} < 6), 6) AS dawn, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr FROM e GROUP BY ALL")
+def v12_day_nights(spark, sf):
+    return G.day_nights(raw(spark, sf)).select("id", "date", *r6("early", "late", "dawn", "iqr"))
+
+
+@query(", w AS (SELECT id, us, v AS x, lead(v, 2) OVER (PARTITION BY id ORDER BY us) AS y FROM r), d AS (SELECT id, y, sqrt(pow(x - lag(x) OVER w1, 2) + pow(y - lag(y) OVER w1, 2)) AS d FROM w WINDOW w1 AS (PARTITION BY id ORDER BY us)) SELECT id, round(sum(d) / (count(y) / 480.0), 4) AS work FROM d GROUP BY id")
+def n09_work(spark, sf):
+    return D.work_length(readings(spark, sf), 2).select("id", F.round("work", 4).alias("work"))
+
+
+@query(", w AS (SELECT id, us, v AS x, lead(v, 2) OVER (PARTITION BY id ORDER BY us) AS y FROM r), c AS (SELECT id, median(x) AS cx, median(y) AS cy FROM w WHERE y IS NOT NULL GROUP BY id), z AS (SELECT id, us, x - cx AS x, y - cy AS y FROM w JOIN c USING (id) WHERE y IS NOT NULL), k AS (SELECT id, lag(x) OVER o * y - x * lag(y) OVER o AS c FROM z WINDOW o AS (PARTITION BY id ORDER BY us)) SELECT id, round(abs(sum(c)) / 2, 6) AS area FROM k GROUP BY id")
+def n10_area(spark, sf):
+    return D.swept_area(readings(spark, sf), 2).select("id", *r6("area"))
+
+
+@query(""", w AS (SELECT id, v AS x, lead(v, 1) OVER (PARTITION BY id ORDER BY us) AS y FROM r), z AS (SELECT id, x - min(x) OVER p AS x, y - min(y) OVER p AS y, greatest(max(x) OVER p - min(x) OVER p, max(y) OVER p - min(y) OVER p) AS size FROM w WHERE y IS NOT NULL WINDOW p AS (PARTITION BY id)),
+q AS (SELECT *, unnest([2, 4, 8, 16]) AS g FROM z WHERE size > 0), n AS (SELECT id, g, count(DISTINCT CAST(least(floor(x / size * g), g - 1) AS BIGINT) * 100 + CAST(least(floor(y / size * g), g - 1) AS BIGINT)) AS n FROM q GROUP BY ALL) SELECT id, round(greatest(0, least(2, regr_slope(ln(n), ln(g)))), 6) AS dimension FROM n GROUP BY id""")
+def n14_box_dimension(spark, sf):
+    return D.box_dimension(readings(spark, sf), 1).select("id", *r6("dimension"))
+
+
+@query(", w AS (SELECT id, v AS a, lead(v, 1) OVER o AS b, lead(v, 2) OVER o AS c FROM r WINDOW o AS (PARTITION BY id ORDER BY us)), p AS (SELECT id, (a <= b, b <= c, a <= c) AS p, count(*) AS n FROM w WHERE c IS NOT NULL GROUP BY ALL), q AS (SELECT id, n / sum(n) OVER (PARTITION BY id) AS q FROM p) SELECT id, round(-sum(q * ln(q)) / ln(6), 6) AS entropy FROM q GROUP BY id")
+def n18_permutation_entropy(spark, sf):
+    return D.permutation_entropy(readings(spark, sf)).select("id", *r6("entropy"))
+
+
+@query(f""", x AS (SELECT id, us, v, CAST(floor(us / {DAY}) AS BIGINT) AS date FROM r WHERE {HOURS} < 6), m AS (SELECT *, v - avg(v) OVER (PARTITION BY id, date) AS c FROM x), p AS (SELECT *, c * lag(c) OVER (PARTITION BY id, date ORDER BY us) AS p FROM m),
+n AS (SELECT id, date, count(*) AS n, sum(p) / nullif(sum(c * c), 0) AS ar1, var_samp(v) AS var FROM p GROUP BY ALL HAVING count(*) >= 2) SELECT id, round(median(ar1), 6) AS ar1, round(median(var), 9) AS var, count(*) AS nights FROM n GROUP BY id""")
+def n22_night_slowing(spark, sf):
+    return G.night_slowing(readings(spark, sf), 2).select("id", *r6("ar1"), F.round("var", 9).alias("var"), "nights")
+
+
+@query(""", k AS (SELECT id, median(v) AS core FROM r GROUP BY id), a AS (SELECT id, us, v - core AS x, (lead(v) OVER w - lag(v) OVER w) / 2 AS y FROM r JOIN k USING (id) WINDOW w AS (PARTITION BY id ORDER BY us)),
+b AS (SELECT *, lead(y) OVER w - y AS dy, lead(x) OVER w - x AS dx, x * x + y * y AS r2 FROM a WINDOW w AS (PARTITION BY id ORDER BY us)) SELECT id, CASE WHEN count(*) >= 5 THEN round(2 * sum((x * dy - y * dx) / 2) / sum(r2), 6) END AS omega FROM b WHERE y IS NOT NULL AND dy IS NOT NULL AND r2 >= 0.05 GROUP BY id""")
+def n24_angular_velocity(spark, sf):
+    return D.angular_velocity(readings(spark, sf)).select("id", *r6("omega"))
+
+
+@query()
+def n06_engine(spark, sf):
+    """Delay, dimension, recurrence, sample entropy and forecast skill of every id."""
+    return D.engine_rows(readings(spark, sf))
+
+
+@query(", d AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY event_type ORDER BY us) + (count(*) OVER (PARTITION BY event_type, us) - 1) / 2.0 AS b FROM e) SELECT event_type, round(corr(a, b), 6) AS rho, count(*) AS n FROM d GROUP BY event_type")
+def h01_spearman(spark, sf):
+    return H.spearman(raw(spark, sf), "v", "us", ["event_type"]).select("event_type", *r6("rho"), "n")
+
+
+OUT = ", o AS (SELECT doc_id, n_chars, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM labels JOIN documents USING (doc_id))"
+
+
+@query(OUT + ", k AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM o), t AS (SELECT sum(r) FILTER (quality = 1) AS s, CAST(sum(quality) AS BIGINT) AS n1, CAST(sum(1 - quality) AS BIGINT) AS n0 FROM k) SELECT round((s - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc, n1, n0 FROM t")
+def h02_separation(spark, sf):
+    return H.separation(outcome(spark, sf), "n_chars", "quality").select(*r6("auc"), "n1", "n0")
+
+
+@query(OUT + ", k AS (SELECT quality, row_number() OVER w AS k, sum(quality) OVER w AS tp FROM o WINDOW w AS (ORDER BY n_chars DESC, doc_id)) SELECT round(sum(tp / k) FILTER (quality = 1) / sum(quality), 6) AS ap FROM k")
+def h04_average_precision(spark, sf):
+    return W.average_precision(outcome(spark, sf), "n_chars", "quality", "doc_id").select(*r6("ap"))
+
+
+@query(", p AS (SELECT id, avg(v) FILTER (event_id % 2 = 0) AS a, avg(v) FILTER (event_id % 2 = 1) AS b FROM e GROUP BY id), x AS (SELECT *, (a + b) / 2 AS m, a - b AS d FROM p WHERE a IS NOT NULL AND b IS NOT NULL), g AS (SELECT count(*) AS n, avg(d) AS bias, var_samp(d) AS vd, var_samp(m) AS vm, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c, avg(a) AS ma, avg(b) AS mb FROM x) SELECT n, round((2 * vm - vd / 2) / (2 * vm + vd / 2 + 2 * (n * bias * bias / 2 - vd / 2) / n), 6) AS icc, round(2 * c / (va + vb + (ma - mb) * (ma - mb)), 6) AS ccc, round(bias, 6) AS bias, round(bias - 1.96 * sqrt(vd), 6) AS low, round(bias + 1.96 * sqrt(vd), 6) AS high, round(1.96 * sqrt(2) * sqrt(vd / 2), 6) AS mdc95 FROM g")
+def h05_agreement(spark, sf):
+    p = raw(spark, sf).groupBy("id").agg(F.avg(F.when(F.col("event_id") % 2 == 0, F.col("v"))).alias("a"), F.avg(F.when(F.col("event_id") % 2 == 1, F.col("v"))).alias("b"))
+    return H.agreement(p, "a", "b", []).select("n", *r6("icc", "ccc", "bias", "low", "high", "mdc95"))
+
+
+@query(", p AS (SELECT event_type, 1 / (1.0 + count(*)) AS p FROM e GROUP BY event_type) SELECT event_type, round(p, 9) AS p, round(0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, event_type) + 1), 9) AS threshold, p < 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, event_type) + 1) AS rejects FROM p")
+def h12_holm(spark, sf):
+    p = raw(spark, sf).groupBy("event_type").agg((1 / (1.0 + F.count("*"))).alias("p"))
+    return H.holm(p, "p").select("event_type", F.round("p", 9).alias("p"), F.round("threshold", 9).alias("threshold"), "rejects")
+
+
+@query(OUT + ", c AS (SELECT n_chars AS threshold, sum(toxic) AS p, sum(1 - toxic) AS n FROM o GROUP BY 1) SELECT threshold, round(sum(p) OVER (ORDER BY threshold DESC) / sum(p) OVER (), 6) AS sensitivity, round(coalesce(sum(n) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (), 6) AS specificity FROM c")
+def h17_thresholds(spark, sf):
+    return H.threshold_curve(outcome(spark, sf), "n_chars", "toxic").select("threshold", *r6("sensitivity", "specificity"))
+
+
+@query(f", n AS (SELECT id, CAST(floor(us / {DAY}) AS BIGINT) AS date, avg(v) AS m FROM e WHERE {HOURS} < 6 GROUP BY ALL) SELECT a.id, round(median((b.m - a.m) / (b.date - a.date)), 6) AS slope, count(*) AS pairs FROM n a JOIN n b ON a.id = b.id AND b.date > a.date GROUP BY a.id")
+def h18_theil_sen(spark, sf):
+    n = raw(spark, sf).where(R.period(F.col("us"), 0, 6)).groupBy("id", S.day_of(F.col("us")).alias("date")).agg(F.avg("v").alias("m"))
+    return H.theil_sen(n, "date", "m").select("id", *r6("slope"), "pairs")
+
+
+@query("SELECT id, list_sort(list(v))[CAST(round_even(0.9 * (count(*) - 1), 0) AS BIGINT) + 1] AS q90 FROM e GROUP BY id")
+def h26_index_quantile(spark, sf):
+    return raw(spark, sf).groupBy("id").agg(H.index_quantile("v", 0.9).alias("q90"))
+
+
+@query()
+def h03_permutation(spark, sf):
+    """Null distribution of the separation of toxic documents by length."""
+    sample = outcome(spark, sf).select("n_chars", "toxic").toPandas()  # the cohort table: a row per labelled subject
+
+    def auc(s):
+        r, y = s["n_chars"].rank().to_numpy(), s["toxic"].to_numpy()
+        return float((r[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / max(y.sum() * (1 - y).sum(), 1))
+
+    return H.replicates(spark, sample, auc, 200, 5, shuffle="toxic")
+
+
+@query()
+def m01_lag_forecast(spark, sf):
+    s = R.samples(R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID), HISTORY, HORIZON).withColumn("fold", F.when(S.hash_fold(F.col("id")) == 0, 1).otherwise(0))
+    return M.errors(M.lag_forecast(s, HISTORY, HORIZON, "fold"))
