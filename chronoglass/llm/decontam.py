@@ -191,5 +191,5 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the documents that hold a benchmark passage; columns as they are. Null identifiers stay."""
-    lost = contaminated(docs, bench, text, doc_id).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("_id"), "left_anti")
+    lost = contaminated(docs, bench, text, doc_id).select(F.col("doc_id").alias("__lost_id")).distinct()
+    return docs.join(lost, F.col(doc_id) == F.col("__lost_id"), "left_anti")

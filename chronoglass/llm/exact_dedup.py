@@ -45,6 +45,6 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of equal texts; columns as they are."""
-    kept = exact_groups(docs, text, doc_id).where("kept").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_sha256").alias("_key"))
-    keyed = docs.withColumn("_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(ascii_lower(whole(text)), 256)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = exact_groups(docs, text, doc_id).where("kept").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_sha256").alias("__text_key"))
+    keyed = docs.withColumn("__text_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(ascii_lower(whole(text)), 256)))
+    return keyed.join(kept, "__text_key", "left_semi").dropDuplicates(["__text_key"]).drop("__text_key")

@@ -155,5 +155,5 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dis
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each component, that of its smallest identifier; columns as they are."""
     groups = near_groups(docs, text, doc_id)
-    lost = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("_id"), "left_anti")
+    lost = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost_id")).distinct()
+    return docs.join(lost, F.col(doc_id) == F.col("__lost_id"), "left_anti")
