@@ -20,8 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~language.held_out()))
     if not model.langs:
         return docs.where(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    found = language.identify(docs, model, carry=columns).where("lang_pred != 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # so that no column's name clashes with the result's
+    found = language.identify(numbered, model, text=f"c{columns.index('text')}", carry=numbered.columns).where("lang_pred != 'und'")
+    lang = f"c{columns.index('lang')}"
+    return found.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*numbered.columns).toDF(*columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
