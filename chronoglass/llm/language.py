@@ -16,7 +16,7 @@ from .common import small_batches
 #: Labelled documents per language that the model is fitted on, in expectation; buckets of its trigram tables.
 FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 1500, 1 << 16, 6.0, 0.3
 SCRIPT_SHARE = 0.01
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 # First code point of each block of scripts, and the script's number (0: Latin and all that is not listed).
 SCRIPTS = [(0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 0), (0x900, 6), (0x980, 7), (0xA00, 8), (0xB80, 9), (0xC00, 10), (0xE00, 11), (0xE80, 0), (0x10A0, 12), (0x1100, 13), (0x1200, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0), (0xAC00, 13), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0), (0x20000, 15), (0x32000, 0)]
 
