@@ -16,6 +16,8 @@ from .common import materialise, new_folder, small_batches
 from .tokens import END, encoder
 
 WIDTHS = {2: "<u2", 4: "<u4"}
+#: Units that a worker's encoder keeps; this operator holds little else.
+STORE = 450_000
 
 
 def _open(folder: str):
@@ -28,7 +30,7 @@ def _open(folder: str):
 def _writer(folder: str, tokenizer: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
-        task, enc, end = TaskContext.get(), encoder(tokenizer), np.array([END], "<u4")
+        task, enc, end = TaskContext.get(), encoder(tokenizer, STORE), np.array([END], "<u4")
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         data, docs, total = None, 0, 0
         for b in batches:

@@ -32,24 +32,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Kept(dict):
-    """A store of two generations: what the older one holds is found, and kept on when it is asked for."""
+    """A store of what make(key) gives, in two generations: what the older one holds is kept on when it is asked for."""
 
-    def __init__(self):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.old: dict = {}
+        self.make, self.size, self.old = make, size, {}
 
     def turn(self) -> None:
-        if len(self) > STORE:
+        if len(self) > self.size:
             self.old = dict(self)
             self.clear()
 
     def __missing__(self, key: str) -> bytes:
-        self[key] = found = self.old[key]
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = found
         return found
 
-    def lacks(self, keys: set) -> list:
-        return [k for k in keys if k not in self and k not in self.old]
-
 
 class Encoder:
     """Encodes texts exactly as the tokenizers library does, without encoding a unit that it has seen before again.
@@ -61,7 +62,7 @@ class Encoder:
     the library as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = STORE):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,7 +72,7 @@ class Encoder:
         letter, number, ends = _class("L"), _class("N"), "'s|'t|'re|'ve|'m|'ll|'d"
         pattern = rf"{ends}| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+" if self.spaced else rf"{ends}|[{letter}]+|[{number}]|[^\s{letter}{number}]+"
         self.cut, self.letters = re.compile(pattern).findall, _byte_letters()
-        self.units, self.pieces = Kept(), Kept()
+        self.units, self.pieces = Kept(self._unit, size), Kept(self._piece, size)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -84,53 +85,32 @@ class Encoder:
             text = unit.lower() if unit.isascii() else self.tok.normalizer.normalize_str(unit)
             if max(text) >= _LATIN:
                 return self.plain(unit)
-        out, pieces, model = [], self.pieces, self.tok.model
-        for piece in self.cut(text):
-            try:
-                out.append(pieces[piece])
-            except KeyError:
-                ids = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-                pieces[piece] = got = struct.pack(f"<{len(ids)}I", *ids)
-                out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text, without an end id. Null texts are empty."""
-        cut, new = [], set()
+        self.units.turn()
+        self.pieces.turn()
+        get = self.units.__getitem__
         for t in texts:
             t = t or ""
             if _ODD(t) or (self.spaced and "  " in t):
-                cut.append(t)
-                continue
-            if not self.spaced and not t.isascii():
-                t = unicodedata.normalize("NFC", t)
-            units = t.split(" ") if self.spaced else t.split()
-            cut.append(units)
-            new.update(units[1:] if self.spaced else units)
-        store = self.units
-        store.turn()
-        self.pieces.turn()
-        long = []
-        for u in store.lacks(new):
-            store[u] = self._unit(u)
-            if len(u) > LONGEST:
-                long.append(u)
-        get = store.__getitem__
-        for units in cut:
-            if isinstance(units, str):
-                yield self.plain(units)
+                yield self.plain(t)
             elif self.spaced:
-                yield (self.plain(units[0]) if units[0] else b"") + b"".join(map(get, units[1:]))
+                first, *rest = t.split(" ")
+                yield (self.plain(first) if first else b"") + b"".join(map(get, rest))
             else:
-                yield b"".join(map(get, units))
-        for u in long:
-            del store[u]
+                yield b"".join(map(get, (t if t.isascii() else unicodedata.normalize("NFC", t)).split()))
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, size: int = STORE) -> Encoder:
     """One per Python worker and file, so that its store outlives a task."""
-    return Encoder(path)
+    return Encoder(path, size)
 
 
 def public(name: str) -> str:
