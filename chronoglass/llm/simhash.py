@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,11 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one key that are compared in one place; more are dealt into chunks, and pairs of chunks are compared.
 GROUP = 4096
+#: Near copies by similarity: words of a shingle, least similarity, bits of a fingerprint, least bits of a block, and the
+#: part of pairs at exactly that similarity that must share a block.
+WORDS, SIMILARITY, WIDE, LEAST_BITS, RECALL = 5, 0.8, 512, 16, 0.9
+#: Groups up to this size are compared as one matrix.
+MATRIX = 256
 
 
 def block_masks(bits: tuple = BLOCK_BITS, distance: int = DISTANCE) -> list[int]:
@@ -52,16 +58,24 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one 64-bit word, or of several along the last axis."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.sum(axis=-1, dtype=np.int64) if max(a.ndim, b.ndim) > 1 else bits
+
+
 def cluster(fps: np.ndarray, distance: int) -> np.ndarray:
     """For each of some distinct fingerprints the least index it is linked to, by any chain of links among them."""
     n, root = len(fps), np.full(len(fps), -1)
+    if fps.ndim > 1 and n <= MATRIX and (differing(fps[:, None], fps[None]) <= distance).sum() == n:
+        return np.arange(n)
     for seed in range(n):
         if root[seed] >= 0:
             continue
         root[seed], todo = seed, [seed]
         free = np.flatnonzero(root < 0)
         while todo and len(free):
-            near = np.bitwise_count(fps[free] ^ fps[todo.pop()]) <= distance
+            near = differing(fps[free], fps[todo.pop()]) <= distance
             hit = free[near]
             if len(hit):
                 root[hit] = seed
@@ -71,32 +85,33 @@ def cluster(fps: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _links(distance: int):
+    """Sorted rows of (t, k, i, j, fp), or of (t, k, i, j, node, fp) with fp in bytes, to links (u, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for b in _with_end(batches):
             if b is not None:
-                keys = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype(np.int64)
-                fps = b.column(4).to_numpy(zero_copy_only=False)
-                if carry is not None:
-                    keys, fps = np.concatenate([carry[0], keys]), np.concatenate([carry[1], fps])
-                if not len(fps):
+                new = [np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]).astype(np.int64), b.column(4).to_numpy(zero_copy_only=False)]
+                new.append(new[1].view(np.uint64) if b.num_columns == 5 else np.frombuffer(b"".join(b.column(5).to_pylist()), "<u8").reshape(b.num_rows, -1))
+                keys, names, fps = new if carry is None else [np.concatenate(x) for x in zip(carry, new, strict=True)]
+                if not len(names):
                     continue
                 new = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
                 end = int(new[-1]) if len(new) else 0
-                carry, fps, bounds = (keys[end:], fps[end:]), fps[:end], np.concatenate([[0], new])
+                carry, names, fps, bounds = (keys[end:], names[end:], fps[end:]), names[:end], fps[:end], np.concatenate([[0], new])
             elif carry is not None:
-                fps, bounds = carry[1], np.array([0, len(carry[1])])
+                names, fps, bounds = carry[1], carry[2], np.array([0, len(carry[1])])
             else:
                 return
             sizes = np.diff(bounds)
-            ufp, a, z = fps.view(np.uint64), [], []
+            a, z = [], []
             two = bounds[:-1][sizes == 2]
-            near = np.bitwise_count(ufp[two] ^ ufp[two + 1]) <= distance
-            a.append(fps[two][near])
-            z.append(fps[two + 1][near])
+            near = differing(fps[two], fps[two + 1]) <= distance
+            a.append(names[two][near])
+            z.append(names[two + 1][near])
             for s, n in zip(bounds[:-1][sizes > 2], sizes[sizes > 2], strict=True):
-                part = fps[s : s + n]
-                root = cluster(part.view(np.uint64), distance)
+                part = names[s : s + n]
+                root = cluster(fps[s : s + n], distance)
                 linked = root != np.arange(n)
                 a.append(part[root[linked]])
                 z.append(part[linked])
@@ -117,19 +132,24 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
     million, which bounds what is broadcast; theirs are dealt into chunks of that size, and every pair of chunks is
     compared, so no link is lost and no task gets an unbounded group.
     """
-    spark = fps.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance=distance)]
     keys = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))).alias("b")).select("fp", "b.t", "b.k")
-    limit = max(group, fps.count() * len(masks) // 1_000_000)
-    large = materialise(keys.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large-keys")
+    return _compared(keys, keys, ["fp"], fps.count() * len(masks), distance, group)
+
+
+def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, distance: int, group: int) -> DataFrame:
+    """Links among the rows of keys (carry, t, k) that share t and k; counted has the same t and k, rows times."""
+    spark = keys.sparkSession
+    limit = max(group, rows // 1_000_000)
+    large = materialise(counted.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large-keys")
     keys = keys.join(F.broadcast(large.limit(1_000_000)), ["t", "k"], "left")
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    own = F.pmod(F.xxhash64(carry[0]), chunks).cast("int")
     pairs = F.when(chunks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
     )
-    dealt = keys.select("fp", "t", "k", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", "fp")
-    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "fp")
+    dealt = keys.select(*carry, "t", "k", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", *carry)
+    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", carry[0])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return dealt.mapInArrow(_links(distance), "u long, v long")
 
@@ -152,8 +172,102 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dis
     return spread_join(prints, whole, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each component, that of its smallest identifier; columns as they are."""
-    groups = near_groups(docs, text, doc_id)
+_LANES = np.random.default_rng(SEED).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For each byte, its bits as the bytes of a 64-bit word, so that 255 bytes can be counted bit by bit in one sum.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def wide_fingerprint(text: str | None, width: int = WORDS) -> bytes:
+    """WIDE bits; a bit is 1 if over half of the different shingles' hashes have it; a tie goes as the least hash has it."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(width)), strict=False)] if len(words) >= width else [b" ".join(words)]
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+    ones, least = np.zeros(WIDE, np.int64), None
+    for i in range(0, len(h), 255):
+        x = h[i : i + 255, None] * _LANES
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        some = x.view(np.uint8)
+        ones += _SPREAD[some].sum(axis=0, dtype=np.uint64).view(np.uint8)
+        least = some[0] if least is None else least
+    tied = np.unpackbits(least, bitorder="little").astype(bool) & (2 * ones == len(h))
+    return np.packbits((2 * ones > len(h)) | tied, bitorder="little").tobytes()
+
+
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+
+def expected_share(similarity: float) -> float:
+    """Share of differing bits that two sets of this Jaccard similarity, equally large, are expected to have."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_distance(similarity: float = SIMILARITY) -> int:
+    """Bits by which pairs may differ: what is expected at the similarity and a standard deviation more."""
+    r = expected_share(similarity)
+    return int(WIDE * r + sqrt(WIDE * r * (1 - r)))
+
+
+def wide_splits(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a block, which grow with the rows so that unrelated ones seldom share one, and the number of ways in which
+    fingerprints are split into such blocks, so that `recall` of the pairs at the similarity share one."""
+    bits = max(LEAST_BITS, ceil(log2(max(rows, 2))) - 8)
+    needed = log(1 - recall) / log(1 - (1 - expected_share(similarity)) ** bits)
+    return bits, ceil(needed / (WIDE // bits))
+
+
+def _blocks(bits: int, splits: int, whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = WIDE // bits
+        orders = [np.random.default_rng([SEED, s]).permutation(WIDE)[: n * bits] for s in range(splits)]
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            flags = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, WIDE // 8), axis=1)
+            k = np.concatenate([flags[:, o].reshape(-1, n, bits) @ weights for o in orders], axis=1)
+            own = [pa.array(np.tile(np.arange(n * splits, dtype=np.int32), b.num_rows)), pa.array(k.ravel())]
+            at = pa.array(np.repeat(np.arange(b.num_rows), n * splits))
+            carried = [b.column(0).take(at), b.column(1).take(at)] if whole else []
+            yield pa.RecordBatch.from_arrays([*carried, *own], names=[*(["node", "fp"] if whole else []), "t", "k"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
+    """One row per row of docs: doc_id, component_id (the smallest identifier reachable, itself included), by links
+    between texts whose five-word shingles are about as similar (Jaccard) as `similarity` or more.
+
+    64-bit fingerprints of such texts differ by ten bits and more, too many for blocks, so these have WIDE bits of the
+    set of shingles, split into blocks in one or more ways. A pair that differs by less bits than a split has blocks
+    shares one for certain, a pair at `similarity` with the chance RECALL, closer ones with a higher one. Pairs that share
+    a block are linked if they differ by wide_distance() bits at most. Equal fingerprints collapse first; blocks with very
+    many fingerprints are compared in chunks, as in links(). Null and empty texts are linked to each other, texts under
+    five words are one shingle. Null or repeated identifiers as in near_groups(); other columns don't matter.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    prints = materialise(rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary"), "wide-prints")
+    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-fps")
+    n = fps.count()
+    bits, splits = wide_splits(n, similarity)
+    nodes = fps.select("node", "fp")
+    keys, counted = nodes.mapInArrow(_blocks(bits, splits, True), "node long, fp binary, t int, k long"), nodes.mapInArrow(_blocks(bits, splits, False), "t int, k long")
+    found = _compared(keys, counted, ["node", "fp"], n * splits * (WIDE // bits), wide_distance(similarity), group)
+    roots = components(materialise(found.distinct(), "wide-links"))
+    known = materialise(fps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
+    first = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    members = materialise(spread_join(known, first, ["root"]).select("fp", "component_id"), "wide-members")
+    return spread_join(prints, members, ["fp"]).select("doc_id", "component_id")
+
+
+def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each component of similar texts, that of its smallest identifier; columns as they are."""
+    groups = similar_groups(docs, text, doc_id, similarity)
     lost = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost_id")).distinct()
     return docs.join(lost, F.col(doc_id) == F.col("__lost_id"), "left_anti")

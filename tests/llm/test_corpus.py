@@ -140,6 +140,47 @@ def test_simhash(spark, docs, rows, corpus):
     assert left.columns == docs.columns
 
 
+def shingles(text, width=5):
+    words = low(text).split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_wide_fingerprint_is_the_majority():
+    text = "one two three four five six seven eight nine ten eleven one two three four five six"
+    single = [np.unpackbits(np.frombuffer(simhash.wide_fingerprint(s), np.uint8)) for s in sorted(shingles(text))]
+    ones, got = np.sum(single, axis=0, dtype=int), np.unpackbits(np.frombuffer(simhash.wide_fingerprint(text), np.uint8))
+    clear = 2 * ones != len(single)
+    assert (got[clear] == (2 * ones > len(single))[clear]).all()
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" \n") == bytes(64)
+    many = " ".join(f"w{i}" for i in range(3000))
+    assert 200 < int.from_bytes(simhash.wide_fingerprint(many)).bit_count() < 312
+
+
+@pytest.mark.parametrize("group", [4096, 8])
+def test_similar_groups(spark, docs, rows, group):
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(40)]
+    texts = [(1000 + i, b) for i, b in enumerate(base)]
+    for i, b in enumerate(base[:20]):  # near copies: a word changed, and 60 copies of the first with a word changed each
+        for k in range(60 if i == 0 else 1):
+            c = list(b)
+            c[int(rng.integers(200))] = f"new{k}"
+            texts.append((2000 + 100 * i + k, c))
+    half = [(9000 + i, b[:100] + base[(i + 1) % 40][100:]) for i, b in enumerate(base)]  # half of two others: not similar
+    data = [(i, " ".join(t)) for i, t in texts + half]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_of(spark, data), group=group).collect()}
+    assert got == {i: i if i < 2000 or i >= 9000 else 1000 + (i - 2000) // 100 for i, _ in data}
+
+    edge = simhash.similar_groups(docs, group=group).collect()
+    assert Counter(r.doc_id for r in edge) == Counter(i for i, _ in rows)
+    assert {r.component_id for r in edge if r.doc_id in (0, 1, 2, 3)} == {0}  # no words
+    assert simhash.similar_groups(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("group", [4096, 8])
 def test_links_lose_none(spark, group):
     rng = np.random.default_rng(5)

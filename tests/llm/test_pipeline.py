@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from chronoglass.llm.tokens import Encoder, public
 
-from .test_corpus import brute_components, brute_fp, low
+from .test_corpus import jaccard, low, shingles
 
 
 def rows(df):
@@ -38,11 +38,10 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sorted(i for i, _ in rows(out)) == sorted(last.values())
 
     before, out = seen["simhash_near_dedup"]
-    comp = brute_components([brute_fp(t) for _, t in before])
-    least = {}
-    for (i, _), c in zip(before, comp, strict=True):
-        least[c] = min(i, least.get(c, i))
-    assert sorted(i for i, _ in rows(out)) == sorted(least.values())
+    kept, sets = {i for i, _ in rows(out)}, {i: shingles(t) for i, t in before}
+    best = {i: max((jaccard(s, o) for k, o in sets.items() if k < i), default=0.0) for i, s in sets.items()}
+    assert kept <= set(sets) and {i for i in sets if best[i] < 0.65} <= kept
+    assert not kept & {i for i in sets if best[i] > 0.9}
 
     before, out = seen["decontamination"]
     bench = [" ".join(r.text.split()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
