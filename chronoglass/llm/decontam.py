@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import handing_back, small_batches
 
 #: Words of a seed; chance of it at a place in unrelated text, from word frequencies, below which it is rare.
 SEED, RARE = 3, 1e-7
@@ -181,10 +181,10 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = read_items([tuple(r) for r in block])
         counts = np.full(len(items.vocab) + 1, 0.5)
-        for w, n in rows.select("text").mapInArrow(_count(items), "w long, n long").groupBy("w").agg(F.sum("n")).collect():
+        for w, n in rows.select("text").mapInArrow(handing_back(_count(items)), "w long, n long").groupBy("w").agg(F.sum("n")).collect():
             counts[w] += n
         plant_seeds(items, counts / counts.sum())
-        found = rows.mapInArrow(_scan(items, leak), "doc_id long, item_id long, score double, first_word long, end_word long, seeds long")
+        found = rows.mapInArrow(handing_back(_scan(items, leak)), "doc_id long, item_id long, score double, first_word long, end_word long, seeds long")
         out = found if out is None else out.unionByName(found)
     return out
 

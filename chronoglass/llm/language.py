@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import handing_back, small_batches
 
 #: Labelled documents per language that the model is fitted on, in expectation; buckets of its trigram tables.
 FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 1500, 1 << 16, 6.0, 0.3
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     small_batches(docs.sparkSession)
     sample = docs.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("text", "lang")
     counts = np.zeros((len(langs), BUCKETS + 16))
-    for r in sample.mapInArrow(_counter(langs), "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas().itertuples():
+    for r in sample.mapInArrow(handing_back(_counter(langs)), "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas().itertuples():
         counts[r.k, r.g] = r.n
     grams, scripts = counts[:, :BUCKETS] + SMOOTH, counts[:, BUCKETS:]
     table = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32)
@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     small_batches(docs.sparkSession)
     rows = docs.select(*(carry or []), F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_labeller(model, penalty), (schema + ", " if schema else "") + "lang_pred string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
+    return rows.mapInArrow(handing_back(_labeller(model, penalty)), (schema + ", " if schema else "") + "lang_pred string, score double, spans array<struct<lang:string,start:bigint,end:bigint>>")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

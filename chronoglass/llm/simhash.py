@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, spread_join
+from .common import handing_back, materialise, small_batches, spread_join
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -25,6 +25,8 @@ GROUP = 4096
 WORDS, SIMILARITY, WIDE, LEAST_BITS, RECALL = 5, 0.8, 512, 16, 0.9
 #: Groups up to this size are compared as one matrix.
 MATRIX = 256
+#: Fingerprints whose blocks are made at once, as each becomes many rows.
+PIECE = 500
 
 
 def block_masks(bits: tuple = BLOCK_BITS, distance: int = DISTANCE) -> list[int]:
@@ -55,7 +57,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp) of every whole text."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(handing_back(_fingerprints), "doc_id long, fp long")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +153,7 @@ def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int,
     dealt = keys.select(*carry, "t", "k", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", *carry)
     dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", carry[0])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return dealt.mapInArrow(_links(distance), "u long, v long")
+    return dealt.mapInArrow(handing_back(_links(distance)), "u long, v long")
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -227,11 +229,11 @@ def _blocks(bits: int, splits: int, whole: bool):
         n = WIDE // bits
         orders = [np.random.default_rng([SEED, s]).permutation(WIDE)[: n * bits] for s in range(splits)]
         weights = 1 << np.arange(bits, dtype=np.int64)
-        for b in batches:
+        for b in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             flags = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, WIDE // 8), axis=1)
             k = np.concatenate([flags[:, o].reshape(-1, n, bits) @ weights for o in orders], axis=1)
             own = [pa.array(np.tile(np.arange(n * splits, dtype=np.int32), b.num_rows)), pa.array(k.ravel())]
-            at = pa.array(np.repeat(np.arange(b.num_rows), n * splits))
+            at = pa.array(np.repeat(np.arange(b.num_rows), n * splits)) if whole else None
             carried = [b.column(0).take(at), b.column(1).take(at)] if whole else []
             yield pa.RecordBatch.from_arrays([*carried, *own], names=[*(["node", "fp"] if whole else []), "t", "k"])
 
@@ -252,12 +254,12 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(_wide_fingerprints, "doc_id long, fp binary"), "wide-prints")
+    prints = materialise(rows.mapInArrow(handing_back(_wide_fingerprints), "doc_id long, fp binary"), "wide-prints")
     fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-fps")
     n = fps.count()
     bits, splits = wide_splits(n, similarity)
     nodes = fps.select("node", "fp")
-    keys, counted = nodes.mapInArrow(_blocks(bits, splits, True), "node long, fp binary, t int, k long"), nodes.mapInArrow(_blocks(bits, splits, False), "t int, k long")
+    keys, counted = nodes.mapInArrow(handing_back(_blocks(bits, splits, True)), "node long, fp binary, t int, k long"), nodes.mapInArrow(handing_back(_blocks(bits, splits, False)), "t int, k long")
     found = _compared(keys, counted, ["node", "fp"], n * splits * (WIDE // bits), wide_distance(similarity), group)
     roots = components(materialise(found.distinct(), "wide-links"))
     known = materialise(fps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
