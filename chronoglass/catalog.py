@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import dynamics as D
+from .operators import events as V
 from .operators import joins as J
 from .operators import metrics as G
 from .operators import models as M
@@ -555,3 +556,128 @@ def h03_permutation(spark, sf):
 def m01_lag_forecast(spark, sf):
     s = R.samples(R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID), HISTORY, HORIZON).withColumn("fold", F.when(S.hash_fold(F.col("id")) == 0, 1).otherwise(0))
     return M.errors(M.lag_forecast(s, HISTORY, HORIZON, "fold"))
+
+
+TURNS = """, d AS (SELECT id, us, v, CASE WHEN v - lag(v) OVER w > 0.01 THEN 1 WHEN v - lag(v) OVER w < -0.01 THEN -1 END AS d, lag(us) OVER w AS us0, lag(v) OVER w AS v0 FROM r WINDOW w AS (PARTITION BY id ORDER BY us)),
+p AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM d), t AS (SELECT id, us0 AS us, v0 AS v, d < 0 AS peak FROM p WHERE d = -prev),
+x AS (SELECT *, lag(us) OVER w AS a, lag(v) OVER w AS av, lead(us) OVER w AS b FROM t WINDOW w AS (PARTITION BY id ORDER BY us)), f AS (SELECT id, min(us) AS u0, arg_min(v, us) AS v0, max(us) AS u1 FROM r GROUP BY id),
+k AS (SELECT id, x.us AS p, x.v AS pv, coalesce(a, u0) AS a, coalesce(av, v0) AS av, coalesce(b, u1) AS b FROM x JOIN f USING (id) WHERE peak AND x.v - coalesce(av, v0) >= 1.5),
+m AS (SELECT *, lead(v) OVER w - v AS dv, lag(us) OVER w AS us_, lag(v) OVER w AS v_ FROM r WINDOW w AS (PARTITION BY id ORDER BY us)),
+j AS (SELECT k.*, m.us, m.v, m.dv, us_, v_, pv - 0.5 * (pv - av) AS target, min(m.us) FILTER (m.us >= p AND m.v <= av) OVER e AS stop, min(m.us) FILTER (m.us >= p AND m.v <= pv - 0.5 * (pv - av)) OVER e AS half FROM k JOIN m ON k.id = m.id AND m.us BETWEEN k.a AND k.b WINDOW e AS (PARTITION BY k.id, p)),
+g AS (SELECT *, us >= p AND v > av AND (stop IS NULL OR us < stop) AS fit FROM j),
+"""
+
+
+@query(TURNS + f"""o AS (SELECT id, p AS peak, any_value(pv - av) AS amplitude, (arg_max(us, dv) FILTER (us < p) - any_value(a)) / {float(MINUTE)} AS early, coalesce(any_value(half) - p, (any_value(b) - p) * 1.5) / {float(MINUTE)} AS relax,
+ max(us_ + (v_ - target) / (v_ - v) * (us - us_) - p) FILTER (us = half) / {float(MINUTE)} AS crossing FROM g GROUP BY id, p)
+SELECT id, peak, round(amplitude, 6) AS amplitude, round(early, 6) AS early, round(relax, 6) AS relax, round(crossing, 3) AS crossing FROM o""")
+def v01_excursions(spark, sf):
+    return V.excursions(readings(spark, sf)).select("id", "peak", *r6("amplitude", "early", "relax"), F.round("crossing", 3).alias("crossing"))
+
+
+@query(TURNS + f"""o AS (SELECT id, p, regr_slope(ln(v - av), (us - p) / {float(MINUTE)}) FILTER (fit) AS slope, regr_r2(ln(v - av), (us - p) / {float(MINUTE)}) FILTER (fit) AS r2, count(*) FILTER (fit) AS n FROM g WHERE v > av OR NOT fit GROUP BY id, p)
+SELECT id, p AS peak, round(-1 / slope, 3) AS tau, round(r2, 6) AS r2 FROM o WHERE n >= 3 AND slope < 0""".replace("ln(v - av)", "CASE WHEN fit THEN ln(CASE WHEN v > av THEN v - av ELSE 1 END) END"))
+def v03_decay(spark, sf):
+    return V.excursions(readings(spark, sf)).where("tau IS NOT NULL").select("id", "peak", F.round("tau", 3).alias("tau"), *r6("r2"))
+
+
+DOSES = ", ev AS (SELECT id, event_id AS ev, us AS tm, CAST(json_extract(props, '$.k') AS DOUBLE) AS dose FROM e WHERE event_type = 'purchase' AND CAST(json_extract(props, '$.k') AS DOUBLE) >= 25)"
+
+
+@query(DOSES + f""", w AS (SELECT ev.*, r.us, r.v, (r.us - tm) / {float(HOUR)} AS m FROM ev JOIN r ON r.id = ev.id AND r.us BETWEEN tm - {30 * HOUR} AND tm + {240 * HOUR}),
+b AS (SELECT id, ev, dose, min(v) FILTER (m <= 10) AS base, max(v) FILTER (m BETWEEN 0 AND 180) AS top, max(m) AS final FROM w GROUP BY ALL), c AS (SELECT *, top - base AS delta FROM b WHERE top - base > 0.2),
+q AS (SELECT w.*, base, delta, final, min(CASE WHEN m BETWEEN 0 AND 180 AND v = top THEN m END) OVER (PARTITION BY id, ev) AS pm FROM w JOIN c USING (id, ev, dose)),
+s AS (SELECT *, CASE WHEN m >= 0 THEN greatest(v - base, 0) END AS up FROM q), z AS (SELECT *, (up + lag(up) OVER o) / 2 * (m - lag(m) OVER o) AS area FROM s WINDOW o AS (PARTITION BY id, ev ORDER BY us))
+SELECT id, ev, round(any_value(base), 6) AS base, round(any_value(delta), 6) AS delta, round(any_value(delta / greatest(1, pm)), 6) AS slope, round(any_value(delta / dose), 6) AS strain,
+ round(coalesce(min(m) FILTER (m >= pm AND v <= base + greatest(0.5, 0.2 * delta)), any_value(final)) - any_value(pm), 6) AS relax, round(coalesce(sum(area), 0), 6) AS work, round(coalesce(sum(area), 0) / any_value(dose), 6) AS specific FROM z GROUP BY id, ev""")
+def v06_challenges(spark, sf):
+    ev = raw(spark, sf).where("event_type = 'purchase'").select("id", F.col("event_id").alias("ev"), F.col("us").alias("at"), F.from_json("props", "k double")["k"].alias("dose")).where("dose >= 25")
+    return V.challenges(ev, readings(spark, sf), "dose", HOUR).select("id", "ev", *r6("base", "delta", "slope", "strain", "relax", "work", "specific"))
+
+
+@query(f""", c AS (SELECT id, (us - min(us) OVER (PARTITION BY id)) / {float(DAY)} - 2 AS t, v FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS k FROM c),
+b AS (SELECT id, coalesce(avg(v) FILTER (t <= 0), avg(v) FILTER (k <= 2)) AS base FROM n GROUP BY id), p AS (SELECT id, t, v, base, (greatest(v - base, 0) + lag(greatest(v - base, 0)) OVER o) / 2 * (t - lag(t) OVER o) AS part FROM n JOIN b USING (id) WHERE t >= 0 WINDOW o AS (PARTITION BY id ORDER BY t)),
+a AS (SELECT id, any_value(base) AS base, max(v) AS top, arg_max(t, v) AS to_peak, sum(part) AS area, arg_max(v, t) AS last FROM p GROUP BY id HAVING count(*) >= 5)
+SELECT id, round(base, 6) AS base, round(top - base, 6) AS peak, round(to_peak, 6) AS to_peak, round(area, 4) AS area, round(last - base, 6) AS residual, CASE WHEN top - base > 1e-8 THEN round((top - last) / (top - base), 6) END AS recovered FROM a""")
+def v08_curves(spark, sf):
+    x = readings(spark, sf).withColumn("t", (F.col("us") - F.min("us").over(Window.partitionBy("id"))) / float(DAY) - 2)
+    return V.curves(x.select("id", "t", "v")).select("id", *r6("base", "peak", "to_peak"), F.round("area", 4).alias("area"), *r6("residual", "recovered"))
+
+
+@query(f""", u AS (SELECT e.id, event_id AS ev, e.us AS tm, r.us, r.v FROM e JOIN r ON r.id = e.id AND r.us BETWEEN e.us - {72 * HOUR} AND e.us + {72 * HOUR} WHERE event_type = 'purchase'), c AS (SELECT *, median(v) FILTER (us < tm) OVER q AS centre, count(v) FILTER (us < tm) OVER q AS n FROM u WINDOW q AS (PARTITION BY id, ev)),
+b AS (SELECT *, abs(v - centre) AS d, 1.5 * greatest(0.3, 1.4826 * median(abs(v - centre)) FILTER (us < tm) OVER (PARTITION BY id, ev)) AS band FROM c WHERE n >= 3),
+h AS (SELECT *, d <= band AND coalesce(lead(d <= band, 1) OVER o, false) AND coalesce(lead(d <= band, 2) OVER o, false) AS home FROM b WHERE us >= tm WINDOW o AS (PARTITION BY id, ev ORDER BY us))
+SELECT id, ev, round(any_value(centre), 6) AS centre, round(any_value(band), 6) AS band, round(avg(greatest(d - band, 0)), 6) AS away, round(min(us - tm) FILTER (home) / {float(MINUTE)}, 6) AS back FROM h GROUP BY id, ev""")
+def v10_envelope(spark, sf):
+    pairs = J.within(kind(spark, sf, "purchase"), readings(spark, sf), 72 * HOUR, 72 * HOUR)
+    return V.envelope(pairs).select("id", "ev", *r6("centre", "band", "away", "back"))
+
+
+@query()
+def v05_rises(spark, sf):
+    """Rises with recovery and debt, on the 6-hour grid with spans to suit it."""
+    g = R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID)
+    return V.rise_rows(g, GRID, look=GRID, calm=4 * GRID, climb=2 * GRID, settle=4 * GRID, rest=2 * GRID).select("id", "us", *r6("base", "amplitude"), "to_peak", "recovery", "recovered", *r6("debt"))
+
+
+@query(OUT + """, k AS (SELECT quality, n_chars, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM o), c AS (SELECT n_chars, count(*) AS t FROM o GROUP BY 1), s AS (SELECT sum(r) FILTER (quality = 1) AS s, CAST(sum(quality) AS BIGINT) AS n1, CAST(sum(1 - quality) AS BIGINT) AS n0 FROM k),
+z AS (SELECT *, s - n1 * (n1 + 1) / 2 AS u, (SELECT sum(t * t * t - t) FROM c) AS ties, n1 + n0 AS n FROM s) SELECT round(u, 6) AS u, round(u / (n1 * n0), 6) AS auc, round(greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM z""")
+def h10_rank_sum(spark, sf):
+    return H.rank_sum(outcome(spark, sf), "n_chars", "quality").select(*r6("u", "auc", "z"))
+
+
+@query(", m AS (SELECT id, event_type, round(avg(v), 0) AS x FROM e GROUP BY ALL), w AS (SELECT * FROM m QUALIFY count(*) OVER (PARTITION BY id) = 5), k AS (SELECT *, rank() OVER (PARTITION BY id ORDER BY x) + (count(*) OVER (PARTITION BY id, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY id, x) AS t FROM w), s AS (SELECT event_type, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS tie FROM k GROUP BY 1) SELECT round((12.0 / (max(n) * 30) * sum(s * s) - 18 * max(n)) / (1 - sum(tie) / (max(n) * 120.0)), 6) AS chi2, max(n) AS blocks, count(*) AS treatments FROM s")
+def h10_friedman(spark, sf):
+    m = raw(spark, sf).groupBy("id", "event_type").agg(F.round(F.avg("v"), 0).alias("x"))
+    return H.friedman(m, "id", "event_type", "x").select(*r6("chi2"), "blocks", "treatments")
+
+
+TWO = ", p AS (SELECT id, avg(v) FILTER (event_id % 2 = 0) AS a, avg(v) FILTER (event_id % 2 = 1) AS b, min(us) AS c FROM e GROUP BY id), x AS (SELECT *, a - b AS d, (a + b) / 2 AS m FROM p WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def halves(spark, sf):
+    odd = F.col("event_id") % 2
+    return raw(spark, sf).groupBy("id").agg(F.avg(F.when(odd == 0, F.col("v"))).alias("a"), F.avg(F.when(odd == 1, F.col("v"))).alias("b"), F.min("us").alias("c"))
+
+
+@query(TWO + ", k AS (SELECT d, rank() OVER (PARTITION BY d = 0 ORDER BY abs(d)) AS r FROM x) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / stddev_samp(d), 6) AS d, count(*) FILTER (d > 0) AS up, count(*) FILTER (d < 0) AS down, CAST(sum(r) FILTER (d > 0) AS DOUBLE) AS signed FROM k")
+def h09_paired(spark, sf):
+    return H.paired(halves(spark, sf), "a", "b").select("n", *r6("mean", "d"), "up", "down", "signed")
+
+
+@query(TWO + ", k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS b, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS c FROM x) SELECT round((corr(a, b) - corr(a, c) * corr(b, c)) / sqrt((1 - pow(corr(a, c), 2)) * (1 - pow(corr(b, c), 2))), 6) AS rho, count(*) AS n FROM k")
+def h14_partial_spearman(spark, sf):
+    return H.partial_spearman(halves(spark, sf), "a", "b", "c").select(*r6("rho"), "n")
+
+
+@query(TWO + ", k AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS b, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS c FROM x), o AS (SELECT 'a' AS a, 'b' AS b, corr(a, b) AS rho FROM k UNION ALL SELECT 'a', 'c', corr(a, c) FROM k UNION ALL SELECT 'b', 'c', corr(b, c) FROM k) SELECT a, b, round(rho, 6) AS rho, CAST(abs(rho) >= 0.5 AS INTEGER) + CAST(abs(rho) >= 0.7 AS INTEGER) AS level FROM o")
+def h15_redundancy(spark, sf):
+    return H.redundancy(halves(spark, sf).where("a IS NOT NULL AND b IS NOT NULL"), ["a", "b", "c"]).select("a", "b", *r6("rho"), "level")
+
+
+@query(OUT + ", p AS (SELECT toxic, 1 / (1 + exp(-n_chars / 5000.0 + 1)) AS p FROM o) SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, count(*) AS n, round(avg(p), 6) AS expected, round(avg(toxic), 6) AS observed, round(avg(pow(p - toxic, 2)), 6) AS brier FROM p GROUP BY 1")
+def h23_calibration(spark, sf):
+    p = outcome(spark, sf).withColumn("p", 1 / (1 + F.exp(-F.col("n_chars") / 5000.0 + 1)))
+    return H.calibration(p, "p", "toxic").select("bin", "n", *r6("expected", "observed", "brier"))
+
+
+@query("SELECT id, round(arg_max(v, us) - arg_min(v, us), 6) AS delta FROM r GROUP BY id HAVING count(DISTINCT us) > 1")
+def h24_high_minus_low(spark, sf):
+    return H.high_minus_low(readings(spark, sf), "us", "v").select("id", *r6("delta"))
+
+
+@query(TWO + " SELECT round(regr_slope(d, m), 6) AS slope, round(corr(d, m), 6) AS r, round(stddev_samp(d) / sqrt(2), 6) AS sem FROM x")
+def h27_proportional_bias(spark, sf):
+    return H.proportional_bias(halves(spark, sf), "a", "b").select(*r6("slope", "r", "sem"))
+
+
+@query(TWO + ", o AS (SELECT 'b' AS \"column\", corr(b, a) AS r FROM x UNION ALL SELECT 'c', corr(c, a) FROM x) SELECT \"column\", round(r, 6) AS r FROM o")
+def h31_screening(spark, sf):
+    return H.screening(halves(spark, sf).where("a IS NOT NULL AND b IS NOT NULL"), "a", ["b", "c"]).select("column", *r6("r"))
+
+
+@query()
+def h13_max_statistic(spark, sf):
+    """Part of shuffles whose largest rank correlation reaches each column's; the cohort table has a row per id."""
+    sample = halves(spark, sf).dropna().toPandas().rename(columns={"c": "first"})
+    return H.max_statistic(spark, sample, ["b", "first"], "a", 200, 7)

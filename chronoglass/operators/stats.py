@@ -103,3 +103,97 @@ def replicates(spark, sample: pd.DataFrame, stat, n: int, seed: int, shuffle: st
             yield pd.DataFrame(out, columns=["rep", "value"])
 
     return spark.range(n).mapInPandas(run, "rep long, value double")
+
+
+def _normal_tail(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def rank_sum(df: DataFrame, x: str, label: str) -> DataFrame:
+    """(u, auc, p, n1, n0): Mann-Whitney with ties, two-sided by the normal form with continuity; counts per value only."""
+    c = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = F.col("p") + F.col("n")
+    s = c.withColumn("u", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("u").alias("u"), F.sum("p").alias("n1"), F.sum("n").alias("n0"), F.sum(t * t * t - t).alias("ties"))
+    n = F.col("n1") + F.col("n0")
+    sd = F.sqrt(F.col("n1") * F.col("n0") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)) / sd
+    tail = F.pandas_udf(lambda v: v.map(_normal_tail), "double")
+    return s.select("u", (F.col("u") / (F.col("n1") * F.col("n0"))).alias("auc"), z.alias("z"), tail(z).alias("p"), "n1", "n0")
+
+
+def friedman(df: DataFrame, block: str, treatment: str, x: str) -> DataFrame:
+    """(chi2, blocks, treatments) with ties, over blocks that have a row for every treatment."""
+    k = df.select(treatment).distinct().count()
+    w = Window.partitionBy(block)
+    r = df.withColumn("_n", F.count("*").over(w)).where(F.col("_n") == k).withColumn("r", average_rank(x, [block]))
+    t = F.count("*").over(Window.partitionBy(block, x))
+    r = r.withColumn("tie", t * t - 1)  # summed over the t equal rows: t^3 - t
+    total = r.groupBy(treatment).agg(F.sum("r").alias("s"), F.count("*").alias("n"), F.sum("tie").alias("tie"))
+    out = total.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("blocks"), F.sum("tie").alias("ties"))
+    b, k = F.col("blocks"), F.lit(k)
+    chi2 = (12 / (b * k * (k + 1)) * F.col("ss") - 3 * b * (k + 1)) / (1 - F.col("ties") / (b * k * (k * k - 1)))
+    return out.select(chi2.alias("chi2"), "blocks", k.cast("long").alias("treatments"))
+
+
+def paired(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(n, mean, d, up, down, signed): differences a - b, Cohen's d, their signs and the signed-rank sum, ties averaged."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b)).withColumn("m", F.abs(F.col(a) - F.col(b))).withColumn("zero", (F.col("d") == 0).cast("int"))
+    x = x.withColumn("r", average_rank("m", ["zero"]))
+    return x.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.avg("d") / F.stddev_samp("d")).alias("d"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("signed"))
+
+
+def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """(rho, n): rank correlation of x and y without what ranks of z explain in both. df is a cohort table, a row per
+    subject, that is ranked as one."""
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*(average_rank(c, []).alias(n) for c, n in ((x, "a"), (y, "b"), (z, "c"))))
+    k = r.agg(F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac"), F.corr("b", "c").alias("bc"), F.count("*").alias("n"))
+    return k.select(((F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt((1 - F.col("ac") ** 2) * (1 - F.col("bc") ** 2))).alias("rho"), "n")
+
+
+def redundancy(df: DataFrame, columns: list[str], flags: tuple = (0.5, 0.7)) -> DataFrame:
+    """(a, b, rho, level) for each pair of columns: rank correlation, and how many of the flags its size reaches.
+    df is a cohort table, a row per subject, that is ranked as one."""
+    ranks = df.select(*(F.when(F.col(c).isNotNull(), F.rank().over(Window.orderBy(F.col(c).asc_nulls_last())) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2).alias(c) for c in columns))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    row = ranks.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs)).alias("x"))
+    out = row.select(F.explode("x").alias("x")).select("x.*")
+    return out.withColumn("level", sum((F.abs("rho") >= f).cast("int") for f in flags))
+
+
+def screening(df: DataFrame, outcome: str, columns: list[str], top: int = 15) -> DataFrame:
+    """(column, r): Pearson correlations with the outcome by size, of columns that are complete and vary."""
+    row = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.when((F.count(c) == F.count(F.lit(1))) & (F.stddev_samp(c) > 0), F.corr(c, outcome)).alias("r")) for c in columns)).alias("x"))
+    out = row.select(F.explode("x").alias("x")).select("x.*").where(F.col("r").isNotNull())
+    return out.orderBy(F.abs("r").desc(), "column").limit(top)
+
+
+def high_minus_low(df: DataFrame, key: str, x: str) -> DataFrame:
+    """(id, delta): x at the largest key less x at the smallest, of ids that have two keys."""
+    return df.groupBy("id").agg((F.max_by(x, key) - F.min_by(x, key)).alias("delta"), F.count_distinct(key).alias("_n")).where("_n > 1").drop("_n")
+
+
+def calibration(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
+    """(bin, n, expected, observed, brier) of probabilities in equal bins."""
+    x = df.withColumn("bin", F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("long"))
+    return x.groupBy("bin").agg(F.count("*").alias("n"), F.avg(p).alias("expected"), F.avg(label).alias("observed"), F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"))
+
+
+def proportional_bias(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(slope, r, sem): of the difference on the mean of pairs; the standard error of measurement."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b)).withColumn("m", (F.col(a) + F.col(b)) / 2)
+    return x.agg(F.regr_slope("d", "m").alias("slope"), F.corr("d", "m").alias("r"), (F.stddev_samp("d") / math.sqrt(2)).alias("sem"))
+
+
+def max_statistic(spark, sample: pd.DataFrame, columns: list[str], label: str, n: int, seed: int) -> DataFrame:
+    """(column, stat, p): size of the rank correlation with the label, and the part of shuffles, with the real one, in which
+    the largest of all columns reaches it. The sample is a cohort table, a row per subject."""
+    ranks = sample[columns].rank()
+
+    def sizes(s: pd.DataFrame) -> pd.Series:
+        return ranks.reset_index(drop=True).corrwith(s[label].reset_index(drop=True).rank()).abs().fillna(0)
+
+    real = sizes(sample)
+    null = replicates(spark, sample, lambda s: float(sizes(s).max()), n, seed, shuffle=label)
+    table = spark.createDataFrame([(c, float(real[c])) for c in columns], "column string, stat double")
+    return table.join(null, F.col("value") >= F.col("stat"), "left").groupBy("column", "stat").agg(((F.count("value") + 1) / (n + 1)).alias("p"))

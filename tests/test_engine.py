@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoglass import catalog
 from chronoglass.functions.scalar import DAY, MINUTE
-from chronoglass.operators import dynamics, joins, models, series, stats
+from chronoglass.operators import dynamics, events, joins, models, series, stats
 from chronoglass.plans.spec import ColumnSpec, assert_complete, conform, validate
 from chronoglass.sources import tables
 from chronoglass.streaming import live
@@ -35,7 +35,7 @@ def plain(df):
     return sorted(str(tuple(map(one, r))) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["g00_metric_row", "e02_split", "r02_interpolate", "r04_densify", "w16_merge_events", "j04_nearest", "j05_interval", "n14_box_dimension", "h05_agreement", "h17_thresholds", "w13_phase_runs"])
+@pytest.mark.parametrize("name", ["g00_metric_row", "e02_split", "r02_interpolate", "r04_densify", "w16_merge_events", "j04_nearest", "j05_interval", "n14_box_dimension", "h05_agreement", "h17_thresholds", "w13_phase_runs", "v01_excursions", "v03_decay", "v06_challenges", "v08_curves", "v10_envelope", "h09_paired", "h10_rank_sum", "h10_friedman", "h14_partial_spearman", "h15_redundancy", "h31_screening"])
 def test_query_equals_sql(spark, sf_dir, duck, name):
     assert plain(catalog.QUERIES[name](spark, sf_dir).toPandas()) == plain(duck.sql(catalog.SQL[name]).df())
 
@@ -118,6 +118,29 @@ def test_statistics():
     assert models.logistic(x, y)[1] > 1
 
 
+def test_excursion_of_known_decay(spark):
+    """Up 4 in 12 steps, then an exponential decay of 45 minutes."""
+    values = [5.5] * 6 + [5.5 + 4 * k / 12 for k in range(1, 13)] + [5.5 + 4 * math.exp(-5 * k / 45) for k in range(1, 30)]
+    row = events.excursions(grid_of(spark, values)).first()
+    assert row.amplitude == pytest.approx(4) and row.tau == pytest.approx(45, rel=1e-6) and row.r2 == pytest.approx(1)
+    assert row.relax == 35 and row.crossing == pytest.approx(45 * math.log(2), abs=0.3)
+    assert events.excursions(grid_of(spark, [6.0] * 20)).count() == 0
+
+
+def test_rise_and_its_rest(spark):
+    hump = [6 + 2 * math.exp(-(((k - 20) / 6) ** 2)) for k in range(60)]
+    got = events.rise_rows(grid_of(spark, [6.0] * 12 + hump + [6.0] * 60, start=8 * 60), 5).collect()
+    assert len(got) == 1 and got[0].recovered and 1.5 < got[0].amplitude <= 2 and got[0].debt > 0
+    assert events.rise_rows(grid_of(spark, [6.0] * 12 + hump + [6.0] * 60, start=22 * 60), 5).count() == 0
+
+
+def test_paired_statistics(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 1.0), (4.0, 4.0), (7.0, 2.0), (None, 1.0)], "a double, b double")
+    row = stats.paired(df, "a", "b").first()
+    assert (row.n, row.up, row.down, row.signed) == (4, 2, 1, 5.0)
+    assert stats.rank_sum(spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 1), (4.0, 1)], "x double, y int"), "x", "y").first().u == 4
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     (tmp_path / "in").mkdir()
