@@ -607,10 +607,10 @@ def v08_curves(spark, sf):
 @query(f""", u AS (SELECT e.id, event_id AS ev, e.us AS tm, r.us, r.v FROM e JOIN r ON r.id = e.id AND r.us BETWEEN e.us - {72 * HOUR} AND e.us + {72 * HOUR} WHERE event_type = 'purchase'), c AS (SELECT *, median(v) FILTER (us < tm) OVER q AS centre, count(v) FILTER (us < tm) OVER q AS n FROM u WINDOW q AS (PARTITION BY id, ev)),
 b AS (SELECT *, abs(v - centre) AS d, 1.5 * greatest(0.3, 1.4826 * median(abs(v - centre)) FILTER (us < tm) OVER (PARTITION BY id, ev)) AS band FROM c WHERE n >= 3),
 h AS (SELECT *, d <= band AND coalesce(lead(d <= band, 1) OVER o, false) AND coalesce(lead(d <= band, 2) OVER o, false) AS home FROM b WHERE us >= tm WINDOW o AS (PARTITION BY id, ev ORDER BY us))
-SELECT id, ev, round(any_value(centre), 6) AS centre, round(any_value(band), 6) AS band, round(avg(greatest(d - band, 0)), 6) AS away, round(min(us - tm) FILTER (home) / {float(MINUTE)}, 6) AS back FROM h GROUP BY id, ev""")
+SELECT id, ev, round(any_value(centre), 6) AS centre, round(any_value(band), 9) AS band, round(sum(greatest(d - band, 0)), 9) AS away, round(min(us - tm) FILTER (home) / {float(MINUTE)}, 6) AS back FROM h GROUP BY id, ev""")
 def v10_envelope(spark, sf):
     pairs = J.within(kind(spark, sf, "purchase"), readings(spark, sf), 72 * HOUR, 72 * HOUR)
-    return V.envelope(pairs).select("id", "ev", *r6("centre", "band", "away", "back"))
+    return V.envelope(pairs).select("id", "ev", *r6("centre", "back"), F.round("band", 9).alias("band"), F.round("away", 9).alias("away"))
 
 
 @query()

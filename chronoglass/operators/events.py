@@ -101,7 +101,7 @@ def envelope(pairs: DataFrame, least: int = 3, narrow: float = 0.3, wide: float
     """(id, ev, centre, band, away, back): pairs (id, ev, at, us, v) of an event and the readings around it.
 
     The band is `wide` times the larger of `narrow` and 1.4826 MAD about the median before the event; back is when the
-    first of `runs` readings in a row after the event lies in the band, in minutes; away is the mean distance beyond it.
+    first of `runs` readings in a row after the event lies in the band, in minutes; away is the envelope's area, the distances beyond it summed over the readings.
     """
     ev, pre = Window.partitionBy("id", "ev"), F.col("us") < F.col("at")
     x = pairs.withColumn("centre", F.median(F.when(pre, F.col("v"))).over(ev)).withColumn("n", F.count(F.when(pre, F.col("v"))).over(ev)).where(F.col("n") >= least)
@@ -111,7 +111,7 @@ def envelope(pairs: DataFrame, least: int = 3, narrow: float = 0.3, wide: float
     for k in ahead:
         inside = inside & k
     x = x.withColumn("home", inside)
-    return x.groupBy("id", "ev").agg(F.first("centre").alias("centre"), F.first("band").alias("band"), F.avg(F.greatest(F.col("d") - F.col("band"), F.lit(0.0))).alias("away"), F.min(F.when(F.col("home"), (F.col("us") - F.col("at")) / float(MINUTE))).alias("back"))
+    return x.groupBy("id", "ev").agg(F.first("centre").alias("centre"), F.first("band").alias("band"), F.sum(F.greatest(F.col("d") - F.col("band"), F.lit(0.0))).alias("away"), F.min(F.when(F.col("home"), (F.col("us") - F.col("at")) / float(MINUTE))).alias("back"))
 
 
 def rises(pdf: pd.DataFrame, step: int, trigger: float, above: float, least: float, look: int, calm: int, climb: int, settle: int, rest: int) -> pd.DataFrame:
