@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, log, log2, pi, sqrt
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, materialise, small_batches, spread_join
+from .common import handing_back, materialise, small_batches, spread_join, whole
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -20,13 +20,20 @@ SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCK_BITS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one key that are compared in one place; more are dealt into chunks, and pairs of chunks are compared.
 GROUP = 4096
-#: Near copies by similarity: words of a shingle, least similarity, bits of a fingerprint, least bits of a block, and the
-#: part of pairs at exactly that similarity that must share a block.
-WORDS, SIMILARITY, WIDE, LEAST_BITS, RECALL = 5, 0.8, 512, 16, 0.9
+#: Near copies by similarity: words of a shingle, least similarity, bits of a fingerprint.
+WORDS, SIMILARITY, WIDE = 5, 0.8, 512
+#: The largest share of differing bits that a pair at 0.8 is expected to have, that of 4 shingles within 5, where sums tie
+#: often; larger sets come to 0.15. A pair is a candidate up to so many standard deviations more.
+TIED_SHARE, DEVIATIONS = 3 / 16, 5
+#: All pairs of groups up to this size are candidates at once; in larger ones, those that first links leave apart.
+SMALL = 32
+#: Documents, taken by hash, whose shingles tell which ones are common, and how many of these are known to the tasks. It
+#: only settles an order, so the result does not depend on it.
+ORDER_DOCS, ORDER_TERMS = 5000, 50_000
 #: Groups up to this size are compared as one matrix.
 MATRIX = 256
-#: Fingerprints whose blocks are made at once, as each becomes many rows.
-PIECE = 500
+#: Fingerprints whose keys are made at once, as each becomes many rows.
+PIECE = 100
 
 
 def block_masks(bits: tuple = BLOCK_BITS, distance: int = DISTANCE) -> list[int]:
@@ -141,6 +148,11 @@ def links(fps: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataF
 
 def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, distance: int, group: int) -> DataFrame:
     """Links among the rows of keys (carry, t, k) that share t and k; counted has the same t and k, rows times."""
+    return _dealt(keys, counted, carry, rows, group).mapInArrow(handing_back(_links(distance)), "u long, v long")
+
+
+def _dealt(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, group: int) -> DataFrame:
+    """Rows of keys sorted by (t, k, i, j); i and j are the chunks of a large key that are to be compared."""
     spark = keys.sparkSession
     limit = max(group, rows // 1_000_000)
     large = materialise(counted.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large-keys")
@@ -153,7 +165,7 @@ def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int,
     dealt = keys.select(*carry, "t", "k", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", *carry)
     dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", carry[0])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return dealt.mapInArrow(handing_back(_links(distance)), "u long, v long")
+    return dealt
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -177,95 +189,269 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dis
 _LANES = np.random.default_rng(SEED).integers(1, 2**63, WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: For each byte, its bits as the bytes of a 64-bit word, so that 255 bytes can be counted bit by bit in one sum.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+_TIES = np.random.default_rng([SEED, WIDE]).integers(0, 2, WIDE).astype(bool)
 
 
-def wide_fingerprint(text: str | None, width: int = WORDS) -> bytes:
-    """WIDE bits; a bit is 1 if over half of the different shingles' hashes have it; a tie goes as the least hash has it."""
+def shingle_hashes(text: str | None, width: int = WORDS) -> np.ndarray:
+    """Hashes of the different shingles, in order; a text under `width` words is one shingle."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(width)), strict=False)] if len(words) >= width else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
-    ones, least = np.zeros(WIDE, np.int64), None
+    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def wide_bits(h: np.ndarray) -> bytes:
+    """WIDE bits; a bit is 1 if over half of the hashes have it; a tie goes as _TIES has it, not as one of the hashes, which
+    the other of two similar sets may lack. No hash: 0."""
+    if not len(h):
+        return bytes(WIDE // 8)
+    ones = np.zeros(WIDE, np.int64)
     for i in range(0, len(h), 255):
         x = h[i : i + 255, None] * _LANES
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        some = x.view(np.uint8)
-        ones += _SPREAD[some].sum(axis=0, dtype=np.uint64).view(np.uint8)
-        least = some[0] if least is None else least
-    tied = np.unpackbits(least, bitorder="little").astype(bool) & (2 * ones == len(h))
-    return np.packbits((2 * ones > len(h)) | tied, bitorder="little").tobytes()
+        ones += _SPREAD[x.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return np.packbits((2 * ones > len(h)) | (_TIES & (2 * ones == len(h))), bitorder="little").tobytes()
 
 
-def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+def wide_fingerprint(text: str | None, width: int = WORDS) -> bytes:
+    return wide_bits(shingle_hashes(text, width))
 
 
 def expected_share(similarity: float) -> float:
-    """Share of differing bits that two sets of this Jaccard similarity, equally large, are expected to have."""
+    """Share of differing bits that two sets of this Jaccard similarity, equally large, are expected to have; sets of
+    different size have less."""
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def wide_distance(similarity: float = SIMILARITY) -> int:
-    """Bits by which pairs may differ: what is expected at the similarity and a standard deviation more."""
-    r = expected_share(similarity)
-    return int(WIDE * r + sqrt(WIDE * r * (1 - r)))
+def wide_distance(similarity: float = SIMILARITY, deviations: float = 1, least: float = 0.0) -> int:
+    """Bits that a pair at the similarity is expected to differ by, or the share `least` of all, and deviations more."""
+    r = max(expected_share(similarity), least)
+    return int(WIDE * r + deviations * sqrt(WIDE * r * (1 - r)))
+
+
+def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
+    """Of two sets of at least this similarity, the first so many of each, in one order for all, have one in common: a set
+    of n shares `similarity` of its n with the other at least."""
+    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
+
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both + 1e-9 >= similarity * (len(a) + len(b) - both)
 
-def wide_splits(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a block, which grow with the rows so that unrelated ones seldom share one, and the number of ways in which
-    fingerprints are split into such blocks, so that `recall` of the pairs at the similarity share one."""
-    bits = max(LEAST_BITS, ceil(log2(max(rows, 2))) - 8)
-    needed = log(1 - recall) / log(1 - (1 - expected_share(similarity)) ** bits)
-    return bits, ceil(needed / (WIDE // bits))
 
+def _common_shingles(rows: DataFrame) -> dict[int, int]:
+    """Shingles' hashes (as signed numbers) that several of a sample of texts have, with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_hashes(t).view(np.int64) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["k"])
+
+    part = max(1, rows.count() // ORDER_DOCS)
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
+    counts = some.mapInArrow(handing_back(run), "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 2")
+    return {r["k"]: r["n"] for r in counts.orderBy(F.desc("n"), "k").limit(ORDER_TERMS).collect()}
+
+
+def _wide_prints(common: dict[int, int], similarity: float):
+    known = np.array(sorted(common), np.int64)
+    times = np.array([common[k] for k in known.tolist()], np.int64)
+
+    def prefix(h: np.ndarray) -> bytes:
+        k = h.view(np.int64)
+        rank = np.zeros(len(k), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+            rank = np.where(known[at] == k, times[at], 0)
+        return k[np.lexsort((k, rank))[: prefix_length(len(k), similarity)]].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sids, fps, firsts = [], [], []
+            for t in b.column(2).to_pylist():
+                h = shingle_hashes(t)
+                sids.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(wide_bits(h))
+                firsts.append(prefix(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in (sids, fps, firsts))], names=["doc_id", "body", "sid", "fp", "prefix"])
+
+    return run
+
+
+def _prefix_keys(whole_row: bool):
+    """(node, fp, prefix) to a row for each shingle of the prefix."""
 
-def _blocks(bits: int, splits: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = WIDE // bits
-        orders = [np.random.default_rng([SEED, s]).permutation(WIDE)[: n * bits] for s in range(splits)]
-        weights = 1 << np.arange(bits, dtype=np.int64)
         for b in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
-            flags = np.unpackbits(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, WIDE // 8), axis=1)
-            k = np.concatenate([flags[:, o].reshape(-1, n, bits) @ weights for o in orders], axis=1)
-            own = [pa.array(np.tile(np.arange(n * splits, dtype=np.int32), b.num_rows)), pa.array(k.ravel())]
-            at = pa.array(np.repeat(np.arange(b.num_rows), n * splits)) if whole else None
-            carried = [b.column(0).take(at), b.column(1).take(at)] if whole else []
-            yield pa.RecordBatch.from_arrays([*carried, *own], names=[*(["node", "fp"] if whole else []), "t", "k"])
+            firsts = b.column(2).to_pylist()
+            k = np.frombuffer(b"".join(firsts), np.int64)
+            own = [pa.array(np.zeros(len(k), np.int32)), pa.array(k)]
+            at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in firsts])) if whole_row else None
+            carried = [b.column(0).take(at), b.column(1).take(at)] if whole_row else []
+            yield pa.RecordBatch.from_arrays([*carried, *own], names=[*(["node", "fp"] if whole_row else []), "t", "k"])
 
     return run
 
 
+def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int = 4) -> Iterator[tuple]:
+    """Sorted rows, keys first, numbers next, fp last, as (keys, numbers, fps, bounds), where no group is cut."""
+    carry = None
+    for b in _with_end(batches):
+        if b is not None:
+            numbers = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns - 1)]).astype(np.int64)
+            fps = np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), "<u8").reshape(b.num_rows, WIDE // 64)
+            if carry is not None:
+                numbers, fps = np.concatenate([carry[0], numbers]), np.concatenate([carry[1], fps])
+            if not len(numbers):
+                continue
+            new = np.flatnonzero(np.any(numbers[1:, :n_keys] != numbers[:-1, :n_keys], axis=1)) + 1
+            end = int(new[-1]) if len(new) else 0
+            carry = numbers[end:], fps[end:]
+            if end:
+                yield numbers[:end, :n_keys], numbers[:end, n_keys:], fps[:end], np.concatenate([[0], new])
+        elif carry is not None:
+            yield carry[0][:, :n_keys], carry[0][:, n_keys:], carry[1], np.array([0, len(carry[1])])
+
+
+def _three(u: list, v: list, k: list) -> pa.RecordBatch:
+    joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (u, v, k)]
+    return pa.RecordBatch.from_arrays(joined, names=["u", "v", "k"])
+
+
+def _candidates(near: int, distance: int):
+    """Sorted rows of (t, k, i, j, node, fp) to (u, v, 0), pairs that may be similar: all of a small group within `distance`;
+    of a large one a spanning forest within `near`, and (node, -1, k) for its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, names, fps, bounds in _sorted_groups(batches):
+            sizes, names, u, v, k = np.diff(bounds), names[:, 0], [], [], []
+            two = bounds[:-1][sizes == 2]
+            two = two[differing(fps[two], fps[two + 1]) <= distance]
+            u.append(names[two])
+            v.append(names[two + 1])
+            k.append(np.zeros(len(two), np.int64))
+            for s, n in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                part = names[s : s + n]
+                if n <= SMALL:
+                    x, y = np.nonzero(np.triu(differing(fps[s : s + n, None], fps[None, s : s + n]) <= distance, 1))
+                else:
+                    x = cluster(fps[s : s + n], near)
+                    y = np.flatnonzero(x != np.arange(n))
+                    x = x[y]
+                    u.append(part)
+                    v.append(np.full(n, -1))
+                    k.append(np.full(n, keys[s, 1]))
+                u.append(part[x])
+                v.append(part[y])
+                k.append(np.zeros(len(x), np.int64))
+            yield _three(u, v, k)
+
+    return run
+
+
+def _apart(distance: int):
+    """Sorted rows of (t, k, i, j, node, root, fp) to all pairs (u, v, 0) of different roots within `distance`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, fps, bounds in _sorted_groups(batches):
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                nodes, roots = names[s:e, 0], names[s:e, 1]
+                u, v = [], []
+                if (roots != roots[0]).any():
+                    for a in range(e - s - 1):
+                        other = np.flatnonzero(roots[a + 1 :] != roots[a]) + a + 1
+                        other = other[differing(fps[s:e][other], fps[s + a]) <= distance]
+                        u.append(np.full(len(other), nodes[a]))
+                        v.append(nodes[other])
+                yield _three(u, v, [np.zeros(len(x), np.int64) for x in u])
+
+    return run
+
+
+def _verified(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z = ([np.frombuffer(x, np.uint64) for x in b.column(i).to_pylist()] for i in (2, 3))
+            good = pa.array([similar(x, y, similarity) for x, y in zip(a, z, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], names=["u", "v"])
+
+    return run
+
+
+def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["node", "h"])
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v), a written table, whose texts' shingles are as similar as that, compared in full."""
+    small_batches(rows.sparkSession)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = ends.join(sets.select("node", "body"), "node").select("node", "body")
+    bodies = rows.select("body", "text").join(ends, "body").dropDuplicates(["node"]).select("node", "text")
+    hashes = materialise(bodies.mapInArrow(handing_back(_hash_sets), "node long, h binary"), "wide-sets")
+    first = materialise(spread_join(pairs.select("u", "v"), hashes.toDF("u", "a"), ["u"]), "wide-firsts")
+    both = spread_join(first, hashes.toDF("v", "z"), ["v"]).select("u", "v", "a", "z")
+    return materialise(both.mapInArrow(handing_back(_verified(similarity)), "u long, v long"), "wide-links")
+
+
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the smallest identifier reachable, itself included), by links
-    between texts whose five-word shingles are about as similar (Jaccard) as `similarity` or more.
-
-    64-bit fingerprints of such texts differ by ten bits and more, too many for blocks, so these have WIDE bits of the
-    set of shingles, split into blocks in one or more ways. A pair that differs by less bits than a split has blocks
-    shares one for certain, a pair at `similarity` with the chance RECALL, closer ones with a higher one. Pairs that share
-    a block are linked if they differ by wide_distance() bits at most. Equal fingerprints collapse first; blocks with very
-    many fingerprints are compared in chunks, as in links(). Null and empty texts are linked to each other, texts under
-    five words are one shingle. Null or repeated identifiers as in near_groups(); other columns don't matter.
+    between texts whose five-word shingles have a Jaccard similarity of `similarity` or more.
+
+    64-bit fingerprints of such texts differ by ten bits and more, too many for blocks, so these have WIDE bits of the set
+    of shingles, and meet under shingles: of each set the first prefix_length() ones in an order that puts common ones
+    last are its keys, and two sets of the similarity share one for certain. Pairs that share a key and differ by no more
+    bits than the similarity explains, with DEVIATIONS to spare, are candidates; each is verified on all shingles. In
+    groups over SMALL a spanning forest of close fingerprints goes first, and then all candidates whose ends the verified
+    links leave apart, so that a large group of copies costs no square of pairs. Equal sets of shingles collapse first;
+    keys with very many sets are compared in chunks, as in links(). Null and empty texts are linked to each other, texts
+    under five words are one shingle. Null or repeated identifiers as in near_groups(); other columns don't matter.
     """
+    return _similar_members(docs, text, doc_id, similarity, group).select("doc_id", "component_id")
+
+
+def _similar_members(docs: DataFrame, text: str, doc_id: str, similarity: float, group: int) -> DataFrame:
+    """similar_groups with body, the hash of the row's text."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    prints = materialise(rows.mapInArrow(handing_back(_wide_fingerprints), "doc_id long, fp binary"), "wide-prints")
-    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "wide-fps")
-    n = fps.count()
-    bits, splits = wide_splits(n, similarity)
-    nodes = fps.select("node", "fp")
-    keys, counted = nodes.mapInArrow(handing_back(_blocks(bits, splits, True)), "node long, fp binary, t int, k long"), nodes.mapInArrow(handing_back(_blocks(bits, splits, False)), "t int, k long")
-    found = _compared(keys, counted, ["node", "fp"], n * splits * (WIDE // bits), wide_distance(similarity), group)
-    roots = components(materialise(found.distinct(), "wide-links"))
-    known = materialise(fps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _body(text).alias("body"), F.col(text).cast("string").alias("text"))
+    common = _common_shingles(rows)
+    prints = materialise(rows.mapInArrow(handing_back(_wide_prints(common, similarity)), "doc_id long, body string, sid binary, fp binary, prefix binary"), "wide-prints")
+    sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "wide-fps")
+    nodes = sets.select("node", "fp", "prefix")
+    keys, counted = nodes.mapInArrow(handing_back(_prefix_keys(True)), "node long, fp binary, t int, k long"), nodes.mapInArrow(handing_back(_prefix_keys(False)), "t int, k long")
+    n_keys = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    distance = wide_distance(similarity, DEVIATIONS, TIED_SHARE if similarity >= SIMILARITY else 0.0)
+    found = _dealt(keys, counted, ["node", "fp"], n_keys // 8, group).select("t", "k", "i", "j", "node", "fp")
+    found = materialise(found.mapInArrow(handing_back(_candidates(wide_distance(similarity), distance)), "u long, v long, k long").distinct(), "wide-candidates")
+    pairs = found.where("v >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = _similar_pairs(materialise(pairs, "wide-pairs"), sets, rows, similarity)
+    large = found.where("v < 0").select(F.col("u").alias("node"), "k")
+    if not large.isEmpty():
+        roots = components(edges)
+        large = materialise(large.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root")), "wide-large")
+        several = large.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).where("a != z").select("k")
+        large = materialise(spread_join(large, several, ["k"]).join(sets.select("node", "fp"), "node").select("node", "root", F.lit(0).alias("t"), "k", "fp"), "wide-apart")
+        dealt = _dealt(large, large, ["node", "root", "fp"], large.count(), group).select("t", "k", "i", "j", "node", "root", "fp")
+        more = dealt.mapInArrow(handing_back(_apart(distance)), "u long, v long, k long")
+        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        edges = edges.unionByName(_similar_pairs(materialise(more, "wide-more"), sets, rows, similarity))
+    roots = components(edges)
+    known = materialise(sets.join(roots, "node", "left").select("sid", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = materialise(spread_join(known, first, ["root"]).select("fp", "component_id"), "wide-members")
-    return spread_join(prints, members, ["fp"]).select("doc_id", "component_id")
+    members = materialise(spread_join(known, first, ["root"]).select("sid", "component_id"), "wide-members")
+    return spread_join(prints.select("doc_id", "body", "sid"), members, ["sid"]).select("doc_id", "body", "component_id")
+
+
+def _body(text: str) -> Column:
+    return F.md5(whole(text).cast("string"))
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

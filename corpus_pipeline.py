@@ -32,7 +32,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are at least about 0.8 similar, that of the
+    """One document of each component of texts whose five-word shingles are at least 0.8 similar, that of the
     smallest identifier."""
     return simhash.drop_near(docs).select(*docs.columns)
 

@@ -181,6 +181,33 @@ def test_similar_groups(spark, docs, rows, group):
     assert simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4096, 8])
+def test_similar_groups_on_both_sides(spark, group):
+    words = iter(range(10**6))
+    fresh = lambda n: [f"v{next(words)}" for _ in range(n)]
+    data, expected = [], {}
+    for n in (5, 8, 40, 200, 1000):  # shingles; the second text drops shingles off the end, the third one more than may be
+        for copy in range(12):
+            base, i = fresh(n + 4), len(data)
+            for cut in (0, n // 5, n // 5 + 1):
+                data.append((i + (cut > 0) + (cut > n // 5), " ".join(base[: n + 4 - cut] if cut <= n // 5 else [*fresh(cut), *base[cut:]])))
+            a, b, c = (shingles(t) for _, t in data[-3:])
+            assert jaccard(a, b) >= 0.8 > max(jaccard(a, c), jaccard(b, c))
+            expected |= {i: i, i + 1: i, i + 2: i + 2}
+    hub = fresh(104)  # a large group around a text whose members are under 0.8 of each other, and one of too distant ones
+    for k in range(50):
+        data.append((len(data), " ".join([*fresh(11), *hub[11:]] if k else hub)))
+        expected[len(data) - 1] = len(data) - 1 - k
+    far = fresh(104)
+    for k in range(50):
+        data.append((len(data), " ".join([*fresh(13), *far[13:52], *fresh(1), *far[53:]])))
+        expected[len(data) - 1] = len(data) - 1
+    sets = {i: shingles(t) for i, t in data}
+    brute = {i: min([i, *(j for j in sets if jaccard(sets[i], sets[j]) >= 0.8)]) for i in sets}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_of(spark, data), group=group).collect()}
+    assert got == brute and all(brute[i] == expected[i] for i in range(180))
+
+
 @pytest.mark.parametrize("group", [4096, 8])
 def test_links_lose_none(spark, group):
     rng = np.random.default_rng(5)
