@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their edge cases."""
 
 import hashlib
+import importlib.metadata
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -381,6 +382,31 @@ def test_license(spark):
     assert (got["a/b/c/x.txt"].effective, got["a/b/c/x.txt"].inherited_from) == ("Apache-2.0", "a/b") and got["d/z.txt"].effective is None and got[None].license == "MIT"
 
 
+def test_license_files(spark):
+    def real(dist, name):
+        return next(f for f in importlib.metadata.files(dist) if f.name == name).read_text()
+
+    mit, apache, bsd = real("pytest", "LICENSE"), real("packaging", "LICENSE.APACHE"), real("packaging", "LICENSE.BSD")
+    header = "\n".join(f"# {x}" for x in mit.splitlines()) + "\n" + "import sys\n" * 3 + "\n\n" + " ".join(f"word{i}" for i in range(400))
+    rows = [
+        ("m/LICENSE", mit), ("m/a/x.py", "words"), ("n/LICENSE", apache), ("n/x.py", "words"), ("o/LICENSE.md", bsd), ("o/b/c/x", "words"), ("p/x.py", header), ("p/y.py", "words"),
+        ("q/x.py", "# SPDX-License-Identifier: MIT\nimport sys\nprint(sys.argv)"), ("r/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n"), ("r/z", "words"),
+        ("s/x", "Apache License, Version 2.0, January 2004\nother words that follow"), ("t/x", "some license\n\nand permission of no note, for software and its copyright"),
+    ]
+    rows += [(f"z/{i}", f"the words of page {i} and of other pages") for i in range(300)]
+    got = {r.path: r for r in license.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [(got[p].license, got[p].is_file) for p in ("m/LICENSE", "n/LICENSE", "o/LICENSE.md", "p/x.py", "q/x.py", "r/COPYING", "s/x", "t/x")] == [
+        ("MIT", True), ("Apache-2.0", True), ("BSD-2-Clause", True), ("MIT", False), ("MIT", False), ("GPL-3.0", True), ("Apache-2.0", False), (None, False),
+    ]
+    assert [(got[p].effective, got[p].inherited_from) for p in ("m/a/x.py", "n/x.py", "o/b/c/x", "p/y.py", "r/z", "z/1")] == [
+        ("MIT", "m"), ("Apache-2.0", "n"), ("BSD-2-Clause", "o"), (None, None), ("GPL-3.0", "r"), (None, None),
+    ]
+    scanners = license.scanners_of(license.TEMPLATES, {}, 1000)
+    for name, text in license.TEMPLATES:
+        found, whole = license.blocks(scanners, [license.terms(x) for x in text.split("\n")], 0.7)
+        assert whole and min(found)[1].split("-")[0] == name.split("-")[0]
+
+
 def test_html(spark, sf_dir):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First  part,\n of it.<p>Second <b>part</b>.</article><div class='comments'><p>I think so.</p></div><footer>&copy; x</footer>"
     got = html_text.extract_text(spark.createDataFrame([(1, page, "x"), (2, None, "y"), (3, "", "z"), (4, "<" * 2000 + "<p", "w")], "page_id long, html string, _html string"), carry=["page_id"])
