@@ -155,40 +155,35 @@ def _presence(vocab: frozenset):
     return run
 
 
-def _scan(scanners: list[Scanner], cosine: float, anchors: frozenset):
+def _scan(scanners: list[Scanner], cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, scores, counts, files = [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 found = []
-                lines = [x for x in (t or "").split("\n") if x.strip()]
-                for line in lines:
-                    low = line.lower()
-                    if any(a in low for a in anchors):
-                        name, c = nearest(scanners, terms(line), cosine)
-                        if name:
-                            found.append((-c, name))
+                lines = (t or "").split("\n")
+                counted = [terms(x) for x in lines]
+                for x in counted:
+                    name, c = nearest(scanners, x, cosine)
+                    if name:
+                        found.append((-c, name))
                 notices = len(found)
-                more, whole = blocks(scanners, [terms(x) for x in (t or "").split("\n")], cosine)
+                more, whole = blocks(scanners, counted, cosine)
                 found += more
                 best.append(min(found)[1] if found else None)
                 scores.append(-min(found)[0] if found else None)
                 counts.append(notices)
-                files.append(whole or bool(notices) and notices == len(lines))
+                files.append(whole or bool(notices) and notices == sum(bool(x.strip()) for x in lines))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(files, pa.bool_())], names=[*b.schema.names[:-1], "license", "score", "n_notices", "is_file"])
 
     return run
 
 
-#: What every template has at least one of; a line without any cannot reach the cosine.
-ANCHORS = frozenset(("licens", "permission", "software", "cc", "source code", "copyright"))
-
-
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, carry: list[str] | None = None) -> DataFrame:
     """One row per row of files: the carry columns, path, license, score, n_notices, is_file, effective, inherited_from.
 
-    Document frequencies of the templates' terms are counted over all files. Every line of every whole text that holds an
-    anchor of the templates is compared to them, and so are its paragraphs, the paragraphs at its head together and the
+    Document frequencies of the templates' terms are counted over all files. Every line of every whole text is compared to
+    them, unless a bound from its terms shows that it cannot reach `cosine`, and so are its paragraphs, the paragraphs at its head together and the
     text as a whole; license is the nearest template of all these that reach `cosine`, n_notices counts the lines. A file
     that is nothing but notices, or reaches it as a whole, is a licence file. A file without a notice of its own takes the license of the nearest
     directory above it that has a licence file (the first license by name if it has several): directories, each once, are
@@ -204,7 +199,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     scanners = scanners_of(templates, seen, seen.get("", 0))
     rows = files.select(*carry, F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(_scan(scanners, cosine, ANCHORS), f"{kinds}, license string, score double, n_notices long, is_file boolean")
+    found = rows.mapInArrow(_scan(scanners, cosine), f"{kinds}, license string, score double, n_notices long, is_file boolean")
     found = materialise(found.withColumn("dir", F.coalesce(F.regexp_replace("path", "/[^/]*$", ""), F.lit(""))), "licenses")
     declared = materialise(found.where("is_file").groupBy("dir").agg(F.min("license").alias("declared")), "declared")
     dirs = found.select("dir").distinct()

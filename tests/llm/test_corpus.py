@@ -407,6 +407,22 @@ def test_license_files(spark):
         assert whole and min(found)[1].split("-")[0] == name.split("-")[0]
 
 
+def test_license_lines_of_any_words(spark):
+    wanted = {"Released under the 3-Clause BSD.": "BSD-3-Clause", "This is free and unencumbered work released into the public domain.": "Unlicense", "Work under the GNU General Public, version 3.": "GPL-3.0"}
+    rows = [(f"a/{i}", f"other words\n{x}\nand more") for i, x in enumerate(wanted)] + [(f"z/{i}", f"the page {i} is under the work of other pages and this is in free words") for i in range(300)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.license for r in license.scan_licenses(files).collect()}
+    assert [got[f"a/{i}"] for i in range(len(wanted))] == list(wanted.values()) and got["z/1"] is None
+    own = {r.path: r.license for r in license.scan_licenses(files, templates=[("own", "Other words")]).collect()}
+    assert own["a/0"] == "own" and own["z/1"] is None
+    rng = np.random.default_rng(0)
+    for scanner in license.scanners_of(license.TEMPLATES, {"the": 900, "license": 40, "mit": 5}, 1000):
+        vocab = sorted(scanner.idf)
+        for _ in range(500):
+            line = Counter(rng.choice(vocab, int(rng.integers(1, 9))).tolist() + [f"x{k}" for k in range(int(rng.integers(0, 3)))])
+            assert scanner.reaches(line, 0.3) or scanner.score(line)[1] < 0.3
+
+
 def test_html(spark, sf_dir):
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First  part,\n of it.<p>Second <b>part</b>.</article><div class='comments'><p>I think so.</p></div><footer>&copy; x</footer>"
     got = html_text.extract_text(spark.createDataFrame([(1, page, "x"), (2, None, "y"), (3, "", "z"), (4, "<" * 2000 + "<p", "w")], "page_id long, html string, _html string"), carry=["page_id"])
