@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, a bound on what they can score, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import handing_back, small_batches
 
-#: Words of a seed; chance of it at a place in unrelated text, from word frequencies, below which it is rare.
-SEED, RARE = 3, 1e-7
+#: Words of a seed.
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the score of a perfect copy at which a passage counts as leaked.
 LEAK = 0.5
@@ -35,13 +35,14 @@ def norm(token: str) -> str:
 
 @dataclass
 class Items:
-    """A block of the benchmark: word numbers of each item, and of which n-gram comes where."""
+    """A block of the benchmark: word numbers of each item, and which n-gram comes where."""
 
     ids: list
     words: list[np.ndarray]
     vocab: dict[str, int]
-    seeds: np.ndarray = None  # sorted codes of rare n-grams
+    seeds: np.ndarray = None  # sorted codes of n-grams
     where: list = field(default_factory=list)  # for each seed, (item, place) pairs
+    held: list = field(default_factory=list)  # for each item, its different words in order, and how often it has them
     store: dict = field(default_factory=dict)
 
     def number(self, text: str | None) -> np.ndarray:
@@ -74,25 +75,27 @@ def read_items(rows: list[tuple]) -> Items:
     return Items([i for i, _ in rows], words, vocab)
 
 
-def plant_seeds(items: Items, share: np.ndarray, width: int = SEED, rare: float = RARE) -> None:
-    """Takes for seeds the n-grams whose words' shares of the corpus multiply to less than `rare`. An item without one,
-    as all its n-grams are common or it is shorter than a seed, seeds with its rarest n-gram, of all its words if need be."""
+def plant_seeds(items: Items, width: int = SEED) -> None:
+    """Takes every n-gram of every item for a seed. None is left out for being common: a passage that leaked often is
+    common for that, and an edited copy may keep no other. Items shorter than a seed have none."""
     where: dict[int, list] = {}
     for i, w in enumerate(items.words):
-        n = min(width, len(w))
-        if not n:
-            continue
-        codes = items.codes(w, n)
-        chance = np.prod([share[w[k : k + len(codes)]] for k in range(n)], axis=0)
-        good = np.flatnonzero((chance < rare) & (codes >= 0)) if n == width else np.zeros(0, int)
-        if n == width:
-            for p in good if len(good) else [int(np.argmin(chance))]:
-                where.setdefault(int(codes[p]), []).append((i, int(p)))
+        for p, c in enumerate(items.codes(w, width).tolist()):
+            where.setdefault(c, []).append((i, p))
     codes = np.array(sorted(where), np.int64)
     items.seeds, items.where = codes, [where[c] for c in codes.tolist()]
+    items.held = [np.unique(w, return_counts=True) for w in items.words]
     items.store.clear()
 
 
+def most(held: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+    """The most that an alignment in the window can score: a match for each word that both have, as often as both do."""
+    words, times = held
+    k = np.minimum(np.searchsorted(words, window), len(words) - 1)
+    have = np.bincount(k[words[k] == window], minlength=len(words))
+    return MATCH * int(np.minimum(have, times).sum())
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Best local score of item against window, and the place in window after its last aligned word."""
     steps = np.arange(len(window) + 1) * GAP
@@ -124,30 +127,20 @@ def leaks(items: Items, text: str | None, leak: float = LEAK, width: int = SEED)
     out = []
     for i, starts in hits.items():
         w = items.words[i]
-        slack, best = len(w) // 2 + 4, None
+        slack, best, need = len(w) // 2 + 4, None, leak * MATCH * len(w)
         starts = np.sort(np.array(starts))
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > slack) + 1):
             a, b = max(0, int(part[0]) - slack), min(len(numbers), int(part[-1]) + len(w) + slack)
+            if most(items.held[i], numbers[a:b]) < need:
+                continue
             score, end = align(w, numbers[a:b])
             if best is None or score > best[0]:
                 best = (score, max(a, a + end - len(w)), a + end)
-        if best and best[0] >= leak * MATCH * len(w):
+        if best and best[0] >= need:
             out.append((i, best[0] / (MATCH * len(w)), best[1], best[2], len(starts)))
     return out
 
 
-def _count(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.vocab) + 1, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts += np.bincount(items.number(t) + 1, minlength=len(counts))
-        k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k - 1), pa.array(counts[k])], names=["w", "n"])
-
-    return run
-
-
 def _scan(items: Items, leak: float):
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
 
@@ -163,11 +156,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
     """(doc_id, item_id, score, first_word, end_word, seeds): a row per row of docs and item with a passage like the item.
 
     The benchmark is the query set, taken in blocks of about block_chars characters so that what a task holds is bounded.
-    For each block a first pass over all documents counts the items' words; n-grams of three words that would come
-    together by chance less than once in ten million places are seeds. A second pass looks up every document's n-grams
-    among the seeds, aligns each item around its seeds and keeps items whose best local alignment (match 2, mismatch and
-    gap -1) reaches `leak` of a perfect copy's score. score is that part, 1 for a copy; words count without bare
-    punctuation. Nothing is shuffled but word counts, so frequent passages need no care. Null or empty texts and items
+    For each block a pass looks up every document's n-grams of three words among all those of the items, aligns each item
+    around those it shares, unless the words there can't score enough in any order, and keeps items whose best local
+    alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score. score is that part, 1 for a copy;
+    words count without bare punctuation; seeds is the number of n-grams shared. So a passage that reaches the score is
+    found if three words in a row survive in it, however common. Nothing is shuffled, so frequent passages need no care. Null or empty texts and items
     match nothing; items of fewer than three words are too short for a seed and match nothing; a null identifier is
     carried as null; repeated rows and items are reported each.
     """
@@ -180,10 +173,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
     for k in range(blocks):
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = read_items([tuple(r) for r in block])
-        counts = np.full(len(items.vocab) + 1, 0.5)
-        for w, n in rows.select("text").mapInArrow(handing_back(_count(items)), "w long, n long").groupBy("w").agg(F.sum("n")).collect():
-            counts[w] += n
-        plant_seeds(items, counts / counts.sum())
+        plant_seeds(items)
         found = rows.mapInArrow(handing_back(_scan(items, leak)), "doc_id long, item_id long, score double, first_word long, end_word long, seeds long")
         out = found if out is None else out.unionByName(found)
     return out

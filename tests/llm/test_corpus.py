@@ -368,6 +368,21 @@ def test_decontamination(spark, corpus):
     assert left.count() == len(rows) - 2
 
 
+def test_decontamination_of_a_frequent_passage(spark):
+    rng = np.random.default_rng(8)
+    item = [f"p{k}" for k in range(16)]
+    other = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 200, n))
+    rows = [(i, f"{other(20)} {' '.join(item)} {other(20)}" if i % 3 == 0 else other(40)) for i in range(90)]
+    edits = {200 + k: [*item[:k], "edited", *item[k + 1 :]] for k in range(16)}  # a word changed, each in turn
+    rows += [(i, f"{other(10)} {' '.join(t)} {other(10)}") for i, t in edits.items()]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {i for i in range(0, 90, 3)} | set(edits)
+    for _ in range(300):
+        w, window = rng.integers(0, 6, int(rng.integers(1, 12))), rng.integers(-1, 8, int(rng.integers(0, 30)))
+        assert decontam.most(np.unique(w, return_counts=True), window) >= decontam.align(w, window)[0]
+
+
 def test_decontamination_finds_every_copy(spark, sf_dir, corpus):
     bench = [(r.item_id, " ".join(r.text.split())) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     holds = {(d, i) for d, t in corpus for i, b in bench if b in " ".join((t or "").split())}
