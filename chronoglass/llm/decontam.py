@@ -17,6 +17,8 @@ SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the score of a perfect copy at which a passage counts as leaked.
 LEAK = 0.5
+#: Or the words in a row whose score counts as leaked, however long the item.
+LEAK_WORDS = 13
 #: Characters of benchmark text held by a task at once; larger benchmarks are taken in blocks.
 BLOCK_CHARS = 16_000_000
 STORE = 400_000
@@ -40,8 +42,8 @@ class Items:
     ids: list
     words: list[np.ndarray]
     vocab: dict[str, int]
-    seeds: np.ndarray = None  # sorted codes of n-grams
-    where: list = field(default_factory=list)  # for each seed, (item, place) pairs
+    seeds: dict = field(default_factory=dict)  # by words of a seed, sorted codes of n-grams
+    where: dict = field(default_factory=dict)  # likewise, for each seed, (item, place) pairs
     held: list = field(default_factory=list)  # for each item, its different words in order, and how often it has them
     store: dict = field(default_factory=dict)
 
@@ -77,13 +79,14 @@ def read_items(rows: list[tuple]) -> Items:
 
 def plant_seeds(items: Items, width: int = SEED) -> None:
     """Takes every n-gram of every item for a seed. None is left out for being common: a passage that leaked often is
-    common for that, and an edited copy may keep no other. Items shorter than a seed have none."""
-    where: dict[int, list] = {}
+    common for that, and an edited copy may keep no other. Items shorter than a seed have one of all their words."""
+    where: dict[int, dict[int, list]] = {}
     for i, w in enumerate(items.words):
-        for p, c in enumerate(items.codes(w, width).tolist()):
-            where.setdefault(c, []).append((i, p))
-    codes = np.array(sorted(where), np.int64)
-    items.seeds, items.where = codes, [where[c] for c in codes.tolist()]
+        n = min(width, len(w))
+        for p, c in enumerate(items.codes(w, n).tolist() if n else []):
+            where.setdefault(n, {}).setdefault(c, []).append((i, p))
+    items.seeds = {n: np.array(sorted(x), np.int64) for n, x in where.items()}
+    items.where = {n: [x[c] for c in items.seeds[n].tolist()] for n, x in where.items()}
     items.held = [np.unique(w, return_counts=True) for w in items.words]
     items.store.clear()
 
@@ -112,22 +115,21 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return top, at
 
 
-def leaks(items: Items, text: str | None, leak: float = LEAK, width: int = SEED) -> list[tuple]:
+def leaks(items: Items, text: str | None, leak: float = LEAK, words: int = LEAK_WORDS) -> list[tuple]:
     """(item index, score, first word, word after the last, seeds) for each item with a passage in the text."""
     numbers = items.number(text)
-    codes = items.codes(numbers, width)
-    if not len(codes) or not len(items.seeds):
-        return []
-    at = np.searchsorted(items.seeds, codes)
-    at[at == len(items.seeds)] = 0
     hits: dict[int, list] = {}
-    for p in np.flatnonzero(items.seeds[at] == codes).tolist():
-        for i, q in items.where[at[p]]:
-            hits.setdefault(i, []).append(p - q)
+    for n, seeds in items.seeds.items():
+        codes = items.codes(numbers, n)
+        at = np.searchsorted(seeds, codes)
+        at[at == len(seeds)] = 0
+        for p in np.flatnonzero(seeds[at] == codes).tolist():
+            for i, q in items.where[n][at[p]]:
+                hits.setdefault(i, []).append(p - q)
     out = []
     for i, starts in hits.items():
         w = items.words[i]
-        slack, best, need = len(w) // 2 + 4, None, leak * MATCH * len(w)
+        slack, best, need = len(w) // 2 + 4, None, MATCH * min(leak * len(w), words)
         starts = np.sort(np.array(starts))
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > slack) + 1):
             a, b = max(0, int(part[0]) - slack), min(len(numbers), int(part[-1]) + len(w) + slack)
@@ -158,10 +160,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
     The benchmark is the query set, taken in blocks of about block_chars characters so that what a task holds is bounded.
     For each block a pass looks up every document's n-grams of three words among all those of the items, aligns each item
     around those it shares, unless the words there can't score enough in any order, and keeps items whose best local
-    alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score. score is that part, 1 for a copy;
+    alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score, or that of LEAK_WORDS words in a
+    row. score is the part of a perfect copy's, 1 for a copy;
     words count without bare punctuation; seeds is the number of n-grams shared. So a passage that reaches the score is
     found if three words in a row survive in it, however common. Nothing is shuffled, so frequent passages need no care. Null or empty texts and items
-    match nothing; items of fewer than three words are too short for a seed and match nothing; a null identifier is
+    match nothing; items of fewer than three words match all their words in a row; a null identifier is
     carried as null; repeated rows and items are reported each.
     """
     spark = docs.sparkSession

@@ -383,6 +383,14 @@ def test_decontamination_of_a_frequent_passage(spark):
         assert decontam.most(np.unique(w, return_counts=True), window) >= decontam.align(w, window)[0]
 
 
+def test_decontamination_of_parts_and_short_items(spark):
+    long = [f"p{k}" for k in range(200)]
+    rows = [(1, f"a b {' '.join(long[40:53])} c d"), (2, f"a b {' '.join(long[40:52])} c d"), (3, "to be two words here"), (4, "two of words"), (5, "a Single, b"), (6, None)]
+    bench = spark.createDataFrame([(0, " ".join(long)), (1, "Two words."), (2, "single"), (3, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 0): 13 / 200, (3, 1): 1.0, (5, 2): 1.0}
+
+
 def test_decontamination_finds_every_copy(spark, sf_dir, corpus):
     bench = [(r.item_id, " ".join(r.text.split())) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     holds = {(d, i) for d, t in corpus for i, b in bench if b in " ".join((t or "").split())}
