@@ -86,3 +86,8 @@ def whole(text: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_key(text: str, doc_id: str) -> Column:
+    """The identifier, null-safe, and a hash of the text, as one string."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(whole(text).cast("string")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, small_batches
+from .common import handing_back, row_key, small_batches
 
 #: Words of a seed.
 SEED = 3
@@ -144,11 +144,11 @@ def leaks(items: Items, text: str | None, leak: float = LEAK, words: int = LEAK_
 
 
 def _scan(items: Items, leak: float):
-    kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(d, items.ids[i], *rest) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, *rest in leaks(items, t, leak)]
+            found = [(d, key, items.ids[i], *rest) for d, key, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, *rest in leaks(items, t, leak)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     return run
@@ -167,9 +167,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
     match nothing; items of fewer than three words match all their words in a row; a null identifier is
     carried as null; repeated rows and items are reported each.
     """
+    return _contaminated(docs, bench, text, doc_id, item_id, leak, block_chars).drop("row_key")
+
+
+def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, item_id: str = "item_id", leak: float = LEAK, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """contaminated() with row_key."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id).alias("row_key"), F.col(text).cast("string").alias("text"))
     bench = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-int(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     out = None
@@ -177,12 +182,12 @@ def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id:
         block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = read_items([tuple(r) for r in block])
         plant_seeds(items)
-        found = rows.mapInArrow(handing_back(_scan(items, leak)), "doc_id long, item_id long, score double, first_word long, end_word long, seeds long")
+        found = rows.mapInArrow(handing_back(_scan(items, leak)), "doc_id long, row_key string, item_id long, score double, first_word long, end_word long, seeds long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that hold a benchmark passage; columns as they are. Null identifiers stay."""
-    lost = contaminated(docs, bench, text, doc_id).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("__lost_id"), "left_anti")
+    """docs without the rows that hold a benchmark passage, whatever their identifiers; columns as they are."""
+    lost = _contaminated(docs, bench, text, doc_id).select(F.col("row_key").alias("__row_key")).distinct()
+    return docs.withColumn("__row_key", row_key(text, doc_id)).join(lost, "__row_key", "left_anti").drop("__row_key")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, materialise, small_batches, spread_join, whole
+from .common import handing_back, materialise, row_key, small_batches, spread_join, whole
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -417,7 +417,7 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _similar_members(docs: DataFrame, text: str, doc_id: str, similarity: float, group: int) -> DataFrame:
-    """similar_groups with body, the hash of the row's text."""
+    """similar_groups with body, the hash of the row's text, and root, a number of the component."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _body(text).alias("body"), F.col(text).cast("string").alias("text"))
@@ -446,8 +446,8 @@ def _similar_members(docs: DataFrame, text: str, doc_id: str, similarity: float,
     roots = components(edges)
     known = materialise(sets.join(roots, "node", "left").select("sid", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = materialise(spread_join(known, first, ["root"]).select("sid", "component_id"), "wide-members")
-    return spread_join(prints.select("doc_id", "body", "sid"), members, ["sid"]).select("doc_id", "body", "component_id")
+    members = materialise(spread_join(known, first, ["root"]).select("sid", "root", "component_id"), "wide-members")
+    return spread_join(prints.select("doc_id", "body", "sid"), members, ["sid"]).select("doc_id", "body", "root", "component_id")
 
 
 def _body(text: str) -> Column:
@@ -455,7 +455,11 @@ def _body(text: str) -> Column:
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each component of similar texts, that of its smallest identifier; columns as they are."""
-    groups = similar_groups(docs, text, doc_id, similarity)
-    lost = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost_id")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("__lost_id"), "left_anti")
+    """docs with one row of each component of similar texts, that of its smallest identifier, or of the smaller hash where
+    texts share that; null identifiers come last. Columns as they are."""
+    rows = materialise(_similar_members(docs, text, doc_id, similarity, GROUP).select("doc_id", "body", "root"), "wide-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    kept = rows.groupBy("root").agg(F.min(order).alias("kept"))
+    lost = spread_join(rows, kept, ["root"]).where(~order.eqNullSafe(F.col("kept"))).select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "body").alias("__row_key"))
+    left = docs.withColumn("__row_key", row_key(text, doc_id)).join(lost.distinct(), "__row_key", "left_anti")
+    return left.dropDuplicates(["__row_key"]).drop("__row_key")

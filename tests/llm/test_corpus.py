@@ -391,6 +391,19 @@ def test_decontamination_of_parts_and_short_items(spark):
     assert got == {(1, 0): 13 / 200, (3, 1): 1.0, (5, 2): 1.0}
 
 
+def test_drops_go_by_row(spark):
+    words = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    near = words("a") + " end"
+    rows = [(1, words("a")), (None, near), (2, near), (2, words("b")), (3, words("c")), (3, words("c") + " end"), (None, words("d")), (None, words("d") + " end"), (4, words("e")), (4, words("e"))]
+    left = simhash.drop_near(docs_of(spark, rows))
+    assert left.columns == docs_of(spark, rows).columns
+    got = Counter((r.doc_id, r.text.split()[0][0]) for r in left.collect())
+    assert got == {(1, "a"): 1, (2, "b"): 1, (3, "c"): 1, (None, "d"): 1, (4, "e"): 1}
+    bench = spark.createDataFrame([(0, words("a"))], "item_id long, text string")
+    left = decontam.drop_contaminated(docs_of(spark, rows), bench)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter((i, t) for i, t in rows if t[0] != "a")
+
+
 def test_decontamination_finds_every_copy(spark, sf_dir, corpus):
     bench = [(r.item_id, " ".join(r.text.split())) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     holds = {(d, i) for d, t in corpus for i, b in bench if b in " ".join((t or "").split())}
