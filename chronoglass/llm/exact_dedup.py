@@ -2,49 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, spread_join, whole
+from .common import ascii_lower, materialise, whole
 
-SALTS = 64
+#: Bytes of a text that splitters hold before its 64-bit hash.
+HEAD = 32
+#: Copies of one text that are sorted in one place; a text with more, or with over a millionth of all rows, is split.
+HOT_ROWS = 20_000
 
 
-def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest") -> DataFrame:
+def _norm(text: str) -> Column:
+    return ascii_lower(whole(text))
+
+
+def _sort_keys(docs: DataFrame, text: str, hot_rows: int) -> DataFrame:
+    """docs with head, h and salt: what splitters are made of, and which part of a hot text a row is in.
+
+    Only texts that a count over all rows proves hot have salts but 0. They are under a million whatever the data, as
+    each has over a millionth of the rows; their hashes are broadcast. The salt comes from the row's place in the input,
+    so copies that share an identifier are dealt out too.
+    """
+    keyed = docs.withColumn("__head", F.substring(_norm(text).cast("binary"), 1, HEAD)).withColumn("__h", F.xxhash64(_norm(text)))
+    counts = docs.select(F.xxhash64(_norm(text)).alias("__h")).groupBy("__h").agg(F.count("*").alias("__n"))
+    counts = materialise(counts.where(F.col("__n") > hot_rows), "hot-texts")
+    limit = max(hot_rows, (counts.agg(F.sum("__n")).first()[0] or 0) // 1_000_000)
+    hot = counts.where(F.col("__n") > limit).select("__h", F.ceil(F.col("__n") / limit).alias("__parts"))
+    keyed = keyed.join(F.broadcast(hot), "__h", "left")
+    salt = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")))
+    return keyed.withColumn("__salt", salt.cast("int")).withColumn("__hot", F.col("__parts").isNotNull()).drop("__parts")
+
+
+def _order(doc_id: str, last: bool) -> Column:
+    return F.col(doc_id).asc_nulls_first() if last else F.col(doc_id).desc_nulls_first()
+
+
+def _sorted(docs: DataFrame, text: str, doc_id: str, last: bool, hot_rows: int) -> DataFrame:
+    """docs range-partitioned and sorted by content, with __last, whether no equal text follows, and __run, the number
+    of its run of equal neighbours in (head, h, salt)."""
+    rows = _sort_keys(docs, text, hot_rows).repartitionByRange("__head", "__h", "__salt")
+    return _compare(rows.withColumn("__norm", _norm(text)), ["__head", "__h", "__salt"], _order(doc_id, last)).drop("__norm")
+
+
+def _compare(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Sorts by keys, then by the whole of __norm, then by order; each row is compared in full with its neighbours."""
+    w = Window.partitionBy(*keys).orderBy("__norm", order)
+    rows = rows.withColumn("__first", (~F.lag("__norm").over(w).eqNullSafe(F.col("__norm"))).cast("int")).withColumn("__last", ~F.lead("__norm").over(w).eqNullSafe(F.col("__norm")))
+    return rows.withColumn("__run", F.sum("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Rows are range-partitioned by sampled splitters on (first 32 characters, 64-bit hash, salt) of the normalised text:
-    a bounded key, so that sampling never moves texts, and one under which equal texts are neighbours. Spark's external
-    sort orders each partition by the text itself, and each row is compared in full with the one before it. A salt from
-    the identifier cuts a hot text into 64 runs; runs are counted where they lie, and only runs with the same SHA-256,
-    one row each, meet again.
+    Rows are range-partitioned by sampled splitters on the first bytes of the normalised text and its 64-bit hash: a
+    bounded key, so that sampling never moves texts, and one under which equal texts are neighbours and no splitter can
+    part them. Spark's external sort orders each partition by that and then the whole text, and each row is compared in
+    full with its neighbours; a run of equal ones is a group. The hash only orders; equality is decided by the texts.
+
+    A text with over `hot_rows` copies is dealt out into several runs. The first text of each of its runs, so a bounded
+    number of them, is sorted and compared again, and what is counted in the runs is joined.
 
     Null texts count as empty ones and are a group of their own like any other. Of rows that share identifier and text,
     one is kept. A group whose identifiers are all null keeps one row; its keep_id is null. Other columns don't matter.
     keep: "largest" or "smallest" identifier stays.
     """
-    last = keep == "largest"
-    rows = docs.select(F.col(doc_id).alias("doc_id"), ascii_lower(whole(text)).alias("norm"))
-    rows = rows.select("doc_id", "norm", F.substring("norm", 1, 32).alias("head"), F.xxhash64("norm").alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
-    rows = rows.repartitionByRange("head", "h", "salt")
-    order = F.col("doc_id").asc_nulls_first() if last else F.col("doc_id").desc_nulls_first()
-    w = Window.partitionBy("head", "h", "salt").orderBy("norm", order)
-    rows = rows.select(
-        "doc_id", "salt", "norm", "head", "h",
-        (~F.lag("norm").over(w).eqNullSafe(F.col("norm"))).cast("int").alias("first"),
-        (~F.lead("norm").over(w).eqNullSafe(F.col("norm"))).alias("last"),
+    last, best = keep == "largest", F.max if keep == "largest" else F.min
+    rows = _sorted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", last, hot_rows)
+    rows = rows.withColumn("__rep", F.when(F.col("__hot") & (F.col("__first") == 1), F.col("text"))).withColumn("text_sha256", F.sha2(_norm("text"), 256)).drop("text")
+    run = Window.partitionBy("__head", "__h", "__salt", "__run")
+    rows = rows.withColumn("keep_id", best("doc_id").over(run)).withColumn("group_size", F.count("*").over(run))
+    rows = materialise(rows.withColumn("kept", F.col("__last")), "sorted")
+    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    cold = rows.where(~F.col("__hot")).select(*out)
+
+    firsts = rows.where("__hot AND __first = 1").select("__head", "__h", "__salt", "__run", "keep_id", "group_size", F.coalesce(_norm("__rep"), F.lit("")).alias("__norm"))
+    firsts = _compare(firsts.withColumnRenamed("__run", "__part"), ["__head", "__h"], F.col("__salt").asc())
+    group = Window.partitionBy("__head", "__h", "__run")
+    ahead = F.struct(F.coalesce(F.col("keep_id"), F.lit(0)) * (1 if last else -1), F.col("__salt"))
+    firsts = firsts.select(
+        "__head", "__h", "__salt", F.col("__part").alias("__run"), best("keep_id").over(group).alias("of_all"), F.sum("group_size").over(group).alias("n"),
+        (F.max(F.struct(F.col("keep_id").isNotNull(), ahead)).over(group) == F.struct(F.col("keep_id").isNotNull(), ahead)).alias("__keeps"),
     )
-    rows = rows.select("doc_id", "salt", "last", F.sum("first").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sha2("norm", 256).alias("text_sha256"))
-    rows = materialise(rows, "sorted")
-    best = F.max if last else F.min
-    runs = rows.groupBy("text_sha256", "salt", "run").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    groups = runs.groupBy("text_sha256").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.min(F.when(F.col("keep_id").isNull(), F.col("salt"))).alias("null_salt"))
-    out = spread_join(rows, groups, ["text_sha256"])
-    return out.select("doc_id", "keep_id", "group_size", (F.col("last") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
-
-
-def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without all but one row of each group of equal texts; columns as they are."""
-    kept = exact_groups(docs, text, doc_id).where("kept").select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_sha256").alias("__text_key"))
-    keyed = docs.withColumn("__text_key", F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.sha2(ascii_lower(whole(text)), 256)))
-    return keyed.join(kept, "__text_key", "left_semi").dropDuplicates(["__text_key"]).drop("__text_key")
+    hot = rows.where("__hot").join(F.broadcast(materialise(firsts, "hot-runs")), ["__head", "__h", "__salt", "__run"])
+    hot = hot.select("doc_id", F.col("of_all").alias("keep_id"), F.col("n").alias("group_size"), (F.col("kept") & F.col("__keeps")).alias("kept"), "text_sha256")
+    return cold.unionByName(hot)
+
+
+def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """docs without all but one row of each group of equal texts; columns as they are. Rows go through one content sort
+    with all their columns, and the survivors of a hot text's runs through another."""
+    columns, last = docs.columns, keep == "largest"
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # so that no column's name clashes
+    t, d = f"c{columns.index(text)}", f"c{columns.index(doc_id)}"
+    rows = materialise(_sorted(numbered, t, d, last, hot_rows).where("__last").select(*numbered.columns, "__head", "__h", "__hot"), "sorted")
+    hot = _compare(rows.where("__hot").withColumn("__norm", _norm(t)), ["__head", "__h"], _order(d, last)).where("__last")
+    return rows.where(~F.col("__hot")).select(*numbered.columns).unionByName(hot.select(*numbered.columns)).toDF(*columns)
