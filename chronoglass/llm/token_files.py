@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import materialise, new_folder, small_batches
 from .tokens import END, encoder
 
-WIDTHS = {2: "<u2", 4: "<u4"}
+WIDTHS = {1: "u1", 2: "<u2", 4: "<u4"}
 #: Units that a worker's encoder keeps; this operator holds little else.
 STORE = 450_000
 
@@ -62,10 +62,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, width: int = 4, t
     NAME.doc, a pair (known, doc_id) of 64-bit integers per document. Each attempt of a task writes files of its own, and
     the table names those that count, so that retried and lost tasks leave nothing half-written in it. manifest.json
     lists them with their bases, the prefix sums of the shards' tokens. Null texts are empty; null identifiers come first.
+    Rows of one identifier come in any order, and may be spread over several shards. A vocabulary that `width` bytes
+    can't number is refused.
     """
+    size = encoder(tokenizer, STORE).tok.get_vocab_size()
+    if size > 1 << 8 * width:
+        raise ValueError(f"{width} bytes can't hold the ids of {size} tokens")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     shards = materialise(rows.mapInArrow(_writer(folder, tokenizer, width), "shard long, name string, docs long, tokens long"), "shards")
     listed, at = [], 0
     for r in shards.orderBy("shard").collect():

@@ -31,6 +31,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _mark(token: str) -> str:
+    """What a text must hold as it is to hold a special token in any case: its longest part that is not letters or digits."""
+    return max(re.findall(r"[^\w\s]+", token), key=len, default="")
+
+
 class Kept(dict):
     """A store of what make(key) gives, in two generations: what the older one holds is kept on when it is asked for."""
 
@@ -59,7 +64,8 @@ class Encoder:
     its units' ids in order: for the byte-level one a unit takes the space before it along, and texts with two spaces in
     a row go through the library whole; for the one that drops white space, a unit is a word. A new unit of Latin text is
     cut into the tokenizer's own pieces, and new pieces go to the library's merge model; any other new unit goes through
-    the library as it is.
+    the library as it is. The library finds its special tokens anywhere in a text, so a text that may hold one goes
+    through it whole.
     """
 
     def __init__(self, path: str, size: int = STORE):
@@ -67,7 +73,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.marks = {_mark(t.content) for t in self.tok.get_added_tokens_decoder().values()}
         self.spaced = self.tok.encode("a b", add_special_tokens=False).ids != self.tok.encode("a  b", add_special_tokens=False).ids
         letter, number, ends = _class("L"), _class("N"), "'s|'t|'re|'ve|'m|'ll|'d"
         pattern = rf"{ends}| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+" if self.spaced else rf"{ends}|[{letter}]+|[{number}]|[^\s{letter}{number}]+"
@@ -98,7 +104,7 @@ class Encoder:
         get = self.units.__getitem__
         for t in texts:
             t = t or ""
-            if _ODD(t) or (self.spaced and "  " in t):
+            if _ODD(t) or (self.spaced and "  " in t) or any(m in t for m in self.marks):
                 yield self.plain(t)
             elif self.spaced:
                 first, *rest = t.split(" ")

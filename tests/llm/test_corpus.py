@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from chronoglass.llm import decontam, exact_dedup, graph, html_text, language, license, line_dedup, packing, pii, queries, simhash, token_files
 from chronoglass.llm.tokens import Encoder, public
@@ -45,8 +46,9 @@ def low(t):
     return (t or "").translate({i: i + 32 for i in range(65, 91)})
 
 
-def test_exact(docs, rows):
-    got = exact_dedup.exact_groups(docs).collect()
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_exact(docs, rows, hot):
+    got = exact_dedup.exact_groups(docs, hot_rows=hot).collect()
     assert len(got) == len(rows)
     groups = defaultdict(list)
     for i, t in rows:
@@ -58,23 +60,38 @@ def test_exact(docs, rows):
         kept[r.text_sha256] += r.kept
         assert not r.kept or r.doc_id == r.keep_id
     assert set(kept.values()) == {1}
-    left = exact_dedup.drop_exact(docs)
+    left = exact_dedup.drop_exact(docs, hot_rows=hot)
     assert left.columns == docs.columns and left.count() == len(groups)
-    small = exact_dedup.exact_groups(docs, keep="smallest").where("kept").collect()
+    assert {(r.doc_id, low(r.text)) for r in left.collect()} == {(max((i for i in ids if i is not None), default=None), next(low(t) for _, t in rows if hashlib.sha256(low(t).encode()).hexdigest() == h)) for h, ids in groups.items()}
+    small = exact_dedup.exact_groups(docs, keep="smallest", hot_rows=hot).where("kept").collect()
+    assert len(small) == len(groups)
     assert all(r.doc_id == min(i for i in groups[r.text_sha256] if i is not None) for r in small if r.keep_id is not None)
 
 
+def test_exact_goes_by_the_whole_sort(spark, monkeypatch):
+    rows = [(i, f"{'same start of all of them ' * 3}{i % 7}") for i in range(50)] + [(100 + i, "copy") for i in range(30)] + [(None, "copy")] * 9
+    want = {low(t): (max((j for j, u in rows if u == t and j is not None)), sum(u == t for _, u in rows)) for _, t in rows}
+    table = docs_of(spark, rows).repartition(5)
+    for hot in (1000, 4):
+        got = exact_dedup.exact_groups(table, hot_rows=hot).collect()
+        by = {hashlib.sha256(t.encode()).hexdigest(): x for t, x in want.items()}
+        assert all((r.keep_id, r.group_size) == by[r.text_sha256] for r in got) and sum(r.kept for r in got) == len(want) == 8
+    # without the order by content, equal texts are no neighbours and the groups fall apart
+    monkeypatch.setattr(exact_dedup, "_norm", lambda c: F.concat(exact_dedup.ascii_lower(exact_dedup.whole(c)), F.monotonically_increasing_id().cast("string")))
+    assert exact_dedup.exact_groups(table).where("kept").count() > 8
+
+
 def brute_lines(rows):
     strip = lambda s: low(s.strip(" \t\n\x0b\x0c\r"))
     where = defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
             if len(strip(line)) >= 20:
-                where[strip(line)].add(-(2**63) if i is None else i)
+                where[strip(line)].add(-(2**64) if i is None else i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        own = -(2**63) if i is None else i
+        own = -(2**64) if i is None else i
         kept = [x for x in lines if not (len(where.get(strip(x), ())) >= 3 and max(where[strip(x)]) != own)]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
@@ -89,11 +106,33 @@ def test_lines(docs, rows):
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     fresh = []
-    for batch in ([(1, 7, 7), (1, 8, 8)], [(2, 7, 7), (2, 9, 9)], [(3, 7, 7), (3, 9, 9)]):
+    for batch in ([(5, 7, 7), (5, 8, 8), (4, 8, 8), (4, 8, 8)], [(3, 7, 7), (3, 9, 9)], [(2, 7, 7), (None, 9, 9), (None, 9, 9)]):
         got = runs.add(spark.createDataFrame(batch, "doc_id long, h1 long, h2 long"))
-        fresh.append({r.h1 for r in got.where("fresh").collect()})
+        fresh.append({r.h1 for r in got.where("top IS NOT NULL").collect()})
     assert fresh == [{7, 8}, {9}, set()] and [len(x) for x in runs.levels] == [1, 1]
-    assert {r.h1: (r.n_docs, r.top) for r in runs.totals().collect()} == {7: (3, 3), 8: (1, 1), 9: (2, 3)}
+    assert {r.h1: (r.n_docs, r.top) for r in runs.totals().collect()} == {7: (3, 5), 8: (2, 5), 9: (2, 3)}
+    runs.close()
+
+
+def test_line_runs_merge_sorted_buckets(spark):
+    runs = line_dedup.LineRuns(spark)
+    rows = spark.range(2000).selectExpr("id AS doc_id", "id % 50 AS h1", "id % 50 AS h2")
+    runs.add(rows)
+    with line_dedup._sorted_scans(spark):
+        a, b = runs.runs()[0], runs._table(rows.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("top")), "batch")
+        plan = a.join(b.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.close()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_lines_by_the_batch_that_opened_them(spark, batches):
+    rng = np.random.default_rng(6)
+    lines = [f"a line of the corpus, number {k}" for k in range(12)] + ["short"]
+    rows = [(int(i) if i < 55 else None, "\n".join(lines[int(k)] for k in rng.integers(0, 13, int(rng.integers(0, 9))))) for i in rng.integers(0, 60, 80)]
+    rows += [(-(2**63), lines[0] + "\n" + lines[1]), *[(70, lines[2])] * 5]
+    got = [tuple(r) for r in line_dedup.dedup_lines(docs_of(spark, rows), batches=batches).select("doc_id", "text", "n_lines", "n_dropped").collect()]
+    assert Counter(got) == Counter(brute_lines(rows))
 
 
 def brute_fp(text):
@@ -234,16 +273,16 @@ def test_components_of_paths_and_hubs(spark):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder(name, corpus):
-    enc = Encoder(public(name))
-    texts = [*TEXTS, *(t for _, t in corpus)]
+    enc, fresh = Encoder(public(name)), Tokenizer.from_file(public(name))
+    texts = [*TEXTS, "see <|endoftext|> here", "a<|startoftext|>b <|ENDOFTEXT|> <|end", "<|endoftext|><|endoftext|>  it's", *(t for _, t in corpus)]
     for _ in range(2):
         for t, got in zip(texts, enc.encode(texts), strict=True):
-            assert np.frombuffer(got, "<u4").tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids
+            assert np.frombuffer(got, "<u4").tolist() == fresh.encode(t or "", add_special_tokens=False).ids
 
 
 def test_packing(docs, rows):
     path = public("word_bpe_49k.json")
-    tok = Encoder(path).tok
+    tok = Tokenizer.from_file(path)
     pieces = packing.pack(docs, path).collect()
     whole = Counter()
     for r in pieces:
@@ -266,7 +305,7 @@ def test_packing(docs, rows):
 @pytest.mark.parametrize("width", [2, 4])
 def test_token_files(docs, rows, width):
     path = public("byte_bpe_50k.json")
-    tok = Encoder(path).tok
+    tok = Tokenizer.from_file(path)
     got = token_files.token_round_trip(docs, path, width).collect()
     ids = {t: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for _, t in rows}
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t in rows)
@@ -275,6 +314,15 @@ def test_token_files(docs, rows, width):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
 
 
+def test_token_files_of_one_identifier(spark):
+    rows = [(7 if i % 3 else None, f"text {i}") for i in range(400)]
+    path = public("byte_bpe_50k.json")
+    got = token_files.token_round_trip(docs_of(spark, rows).repartition(8), path, 2).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 134 + [7] * 266 and got[-1].start + got[-1].n_tokens == sum(len(Tokenizer.from_file(path).encode(t).ids) + 1 for _, t in rows)
+    with pytest.raises(ValueError):
+        token_files.token_round_trip(docs_of(spark, rows), path, 1)
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
