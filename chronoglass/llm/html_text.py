@@ -18,7 +18,8 @@ from .common import small_batches
 
 #: Generated pages that the trees are fitted on, and the seed of their generator.
 FIT_PAGES, FIT_SEED = 500, 11
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # HTML's element classes.
@@ -27,6 +28,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"html", "head", "body", "title", "noscript", "template", "address", "article", "aside", "blockquote", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "iframe", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "select", "summary", "svg", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "tr", "ul", "video", "audio"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 SCOPE = {"table", "ul", "ol", "dl", "select", "td", "th", "button", "html", "body"}
+ROOTS = {"#root", "html", "body"}
 NEVER = {"head", "title", "noscript", "template", "iframe", "svg", "select", "option", "textarea", "button", "video", "audio"}
 TAG_GROUPS = [{"nav", "menu"}, {"header", "hgroup"}, {"footer"}, {"aside"}, {"form", "fieldset", "legend", "search"}, {"article"}, {"main"}, {"section"}, {"div"}, {"p"}, {"li"}, {"ul", "ol"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"table", "tbody", "tr", "td", "th", "thead", "caption"}, {"blockquote", "pre", "figure", "figcaption", "dl", "dt", "dd", "details", "summary"}]
 # Words of class, id and role by what they are used for.
@@ -52,76 +54,139 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # node, text, characters in links
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag, and of comments and declarations with an empty name.
+
+    Reads the source once: a quote that no other closes is a character like any other, and after the last > there is no
+    tag. What is between a RAW element's tags goes with the first of them.
+    """
+    at, last = 0, source.rfind(">")
+    while True:
+        m = _OPEN.search(source, at)
+        if m is None:
+            return
+        if m[1]:
+            end = source.find("-->", m.end())
+            at = len(source) if end < 0 else end + 3
+            yield m.start(), at, False, "", ""
+            continue
+        if m.start() > last:
+            return
+        if m[2]:
+            at = source.find(">", m.end()) + 1
+            yield m.start(), at, False, "", ""
+            continue
+        end = _ATTRS.match(source, m.end()).end()
+        while end < len(source) and source[end] != ">":
+            end = _ATTRS.match(source, end + 1).end()
+        if end >= len(source):
+            return
+        at, name = end + 1, m[4].lower()
+        attrs = source[m.end() : end]
+        if name in RAW and not m[3]:
+            close = re.compile(rf"</{name}\b", re.I).search(source, at)
+            stop = source.find(">", close.end()) if close else -1
+            at = len(source) if stop < 0 else stop + 1
+        yield m.start(), at, bool(m[3]), name, attrs
+
+
+class _Stack:
+    """Open elements with the block element each is in, and where the innermost of each name, scope and block is."""
+
+    def __init__(self):
+        self.open: list[tuple[str, int]] = [("#root", 0)]
+        self.where: dict[str, list[int]] = {}
+        self.scopes, self.blocks = [0], [0]
+
+    def push(self, tag: str, node: int) -> None:
+        k = len(self.open)
+        self.open.append((tag, node))
+        self.where.setdefault(tag, []).append(k)
+        if tag in SCOPE:
+            self.scopes.append(k)
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(k)
+
+    def pop(self) -> tuple[str, int]:
+        tag, node = self.open.pop()
+        self.where[tag].pop()
+        if tag in SCOPE:
+            self.scopes.pop()
+        if tag in BLOCK and tag != "p":
+            self.blocks.pop()
+        return tag, node
+
+    def at(self, tag: str) -> int:
+        """The innermost open element of the name, or 0."""
+        found = self.where.get(tag)
+        return found[-1] if found else 0
+
+
 def parse(source: str) -> Page:
-    """The page's block elements and its blocks of text, in order. Unclosed and misnested elements end as in browsers."""
+    """The page's block elements and its blocks of text, in order, in time linear in the source. Unclosed and misnested
+    elements end as in browsers. Text right under the root, html or body gets an element of its own, #text, so that it
+    is judged like any other."""
     page = Page(["#root"], [-1], [""], [])
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with the block element they are in
+    stack = _Stack()
     run: list[tuple[str, bool]] = []
     links = 0
 
+    def element(tag: str, node: int, attrs: str) -> int:
+        page.tags.append(tag)
+        page.parents.append(node)
+        page.attrs.append(attrs)
+        return len(page.tags) - 1
+
     def flush(node: int) -> None:
         if run:
             text = "".join([x for x, _ in run])
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                page.blocks.append((node, text, sum([len(x) for x, a in run if a])))
+                loose = page.tags[node] in ROOTS
+                page.blocks.append((element("#text", node, "") if loose else node, text, sum([len(x) for x, a in run if a])))
             run.clear()
 
     def close(k: int) -> None:
         nonlocal links
-        while len(stack) > k:
-            tag, node = stack[-1]
+        while len(stack.open) > k:
+            tag, node = stack.open[-1]
             if tag in BLOCK:
                 flush(node)
             links -= tag == "a"
             stack.pop()
 
-    at, size = 0, len(source)
-    while at < size:
-        m = _TAG.search(source, at)
-        if m is None:
-            run.append((source[at:], links > 0))
-            break
-        if m.start() > at:
-            run.append((source[at : m.start()], links > 0))
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+    at = 0
+    for begin, end, closes, tag, attrs in tags_of(source):
+        if begin > at:
+            run.append((source[at:begin], links > 0))
+        at = end
+        if not tag or tag in RAW:
             continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in SCOPE and tag not in BLOCK:
-                    break
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else size
+        if closes:
+            k = stack.at(tag)
+            if k and (tag in BLOCK or k >= stack.scopes[-1]):
+                close(k)
             continue
-        node = stack[-1][1]
+        node = stack.open[-1][1]
         if tag == "br":
             run.append((" ", False))
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(tag, ()):
-                    close(k)
-                    if tag not in CLOSES or stack[-1][0] not in CLOSES[tag]:
-                        break
-                elif stack[k][0] in SCOPE or stack[k][0] in BLOCK and tag not in CLOSES:
+            ends = CLOSES.get(tag, ())
+            while (k := max(map(stack.at, ("p", *ends)))) and k >= (stack.scopes[-1] if ends else stack.blocks[-1]):
+                close(k)
+                if stack.open[-1][0] not in ends:
                     break
-            node = stack[-1][1]
+            node = stack.open[-1][1]
             flush(node)
             if tag == "hr":
                 continue
-            page.tags.append(tag)
-            page.parents.append(node)
-            page.attrs.append(m[3])
-            node = len(page.tags) - 1
-        if tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "iframe")):
+            node = element(tag, node, attrs)
+        if tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path", "iframe")):
             links += tag == "a"
-            stack.append((tag, node))
+            stack.push(tag, node)
+    if at < len(source):
+        run.append((source[at:], links > 0))
     close(1)
     flush(0)
     return page
@@ -221,8 +286,7 @@ def decode(page: Page, log_odds: np.ndarray) -> np.ndarray:
 
 
 def text_of(page: Page, kept: np.ndarray) -> str:
-    """Blocks of kept elements; text right under the root, body or html belongs to no article."""
-    return "\n".join(t for node, t, _ in page.blocks if kept[node] and page.tags[node] not in ("#root", "html", "body"))
+    return "\n".join(t for node, t, _ in page.blocks if kept[node])
 
 
 class _Pages:
@@ -280,14 +344,18 @@ class _Pages:
             return f"<div{self.attrs(TOKEN_GROUPS[7], 0)}>{self.pick(self.links(2, 6), prose(1, 6))}</div>"
         return f"<form{self.attrs(TOKEN_GROUPS[8], 0.6)}><label>{prose(1, 4)}</label><input name=q>{self.pick('', f'<p>{prose(2, 15)}</p>')}<button>Go</button></form>"
 
-    def body(self) -> str:
-        """An article's elements."""
+    def loose(self) -> str:
+        """Text right under the body that belongs to no article."""
+        return self.pick(f"&copy; {self.prose(1, 12)}", self.prose(1, 4), f"<a href=#c>{self.prose(1, 4)}</a>", f"{self.prose(1, 3)} | {self.prose(1, 3)}")
+
+    def body(self, bare: float = 0.0) -> str:
+        """An article's elements, some of them text without a tag."""
         out = [self.pick("", f"<{(h := self.pick('h1', 'h2'))}>{self.prose(1, 12)}</{h}>", f"<h1>{self.prose(2, 12)}</h1>")]
         for _ in range(int(self.rng.integers(1, self.pick(2, 4, 12)))):
             k = int(self.rng.integers(14))
             p = self.prose(1, self.pick(12, 120))
             out.append(
-                f"<h2>{self.prose(1, 6)}</h2>" if k == 0 else f"<ul>{''.join(f'<li>{self.prose(1, 20)}</li>' for _ in range(4))}</ul>" if k == 1 else f"<blockquote>{self.pick(p, f'<p>{p}</p>')}</blockquote>" if k == 2
+                f"{p} <a href='/y'>{self.prose(1, 4)}</a>{self.pick('', '<br><br>' + self.prose(4, 80))}" if bare and self.rng.random() < bare else f"<h2>{self.prose(1, 6)}</h2>" if k == 0 else f"<ul>{''.join(f'<li>{self.prose(1, 20)}</li>' for _ in range(4))}</ul>" if k == 1 else f"<blockquote>{self.pick(p, f'<p>{p}</p>')}</blockquote>" if k == 2
                 else f"<table><tr><td>{self.prose(1, 3)}</td><td>{self.prose(1, 3)}</td></tr></table>" if k == 3 else f"<pre>{p}</pre>" if k == 4 else f"<p><b>{p}<br>" if k == 5
                 else f"<p>{p} <a href='/y'>{self.prose(1, 4)}</a> {self.prose(1, 9)}</p>" if k == 6 else f"<div>{p}</div>" if k == 7 else f"<p>{p}</p>"
             )
@@ -300,7 +368,13 @@ class _Pages:
         before, after = ("".join(self.side() for _ in range(int(self.rng.integers(0, 4)))) for _ in range(2))
         group = TOKEN_GROUPS[9]
         article = self.pick(f"<article{self.attrs(group, 0.7)}>\x03{self.body()}\x04</article>", f"<main{self.attrs(group, 0.7)}>\x03{self.body()}\x04</main>", f"<div{self.attrs(group, 0)}>\x03{self.body()}\x04</div>", f"<main><article>\x03{self.body()}\x04</article></main>", f"<div{self.attrs(group, 0)}><section>\x03{self.body()}\x04</section></div>")
-        article = "" if self.rng.random() < 0.05 else article
+        kind = self.rng.random()
+        if kind < 0.2:  # right under the body
+            article = f"\x03{self.body(self.pick(0.2, 0.5, 1.0))}\x04"
+        elif kind > 0.95:
+            article = ""
+        if self.rng.random() < 0.25:
+            before, after = self.pick((self.loose() + before, after), (before, after + self.loose()), (self.loose() + before, after + self.loose()))
         inner = before + article + after
         return f"<!DOCTYPE html><html><head><title>{self.prose(1, 9)}</title><script>var a='<p>';</script></head><body>{self.pick(inner, inner, f'<div{self.attrs(None)}>{inner}</div>')}{self.pick('</body></html>', '')}"
 
