@@ -158,7 +158,7 @@ def _presence(vocab: frozenset):
 def _scan(scanners: list[Scanner], cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best, scores, counts, files = [], [], [], []
+            best, scores, counts, files, names = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 found = []
                 lines = (t or "").split("\n")
@@ -174,21 +174,25 @@ def _scan(scanners: list[Scanner], cosine: float):
                 scores.append(-min(found)[0] if found else None)
                 counts.append(notices)
                 files.append(whole or bool(notices) and notices == sum(bool(x.strip()) for x in lines))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(files, pa.bool_())], names=[*b.schema.names[:-1], "license", "score", "n_notices", "is_file"])
+                names.append(sorted({name for _, name in found}))
+            new = [pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(files, pa.bool_()), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], "license", "score", "n_notices", "is_file", "licenses"])
 
     return run
 
 
 def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, cosine: float = COSINE, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of files: the carry columns, path, license, score, n_notices, is_file, effective, inherited_from.
+    """One row per row of files: the carry columns, path, license, score, n_notices, is_file, licenses, effective,
+    inherited_from.
 
     Document frequencies of the templates' terms are counted over all files. Every line of every whole text is compared to
     them, unless a bound from its terms shows that it cannot reach `cosine`, and so are its paragraphs, the paragraphs at its head together and the
-    text as a whole; license is the nearest template of all these that reach `cosine`, n_notices counts the lines. A file
+    text as a whole; license is the nearest template of all these that reach `cosine`, licenses has each of them once,
+    n_notices counts the lines. A file
     that is nothing but notices, or reaches it as a whole, is a licence file. A file without a notice of its own takes the license of the nearest
     directory above it that has a licence file (the first license by name if it has several): directories, each once, are
     joined to those of their ancestors that have one, and files to their directory, so neither a large directory nor the
-    root gathers rows. Null or empty texts have no license, null paths inherit nothing; ties, repeated rows and other
+    root gathers rows. The root is above every path, with a slash at its start or not; its name is empty. Null or empty texts have no license, null paths inherit nothing; ties, repeated rows and other
     columns change nothing.
     """
     spark = files.sparkSession
@@ -199,16 +203,17 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     scanners = scanners_of(templates, seen, seen.get("", 0))
     rows = files.select(*carry, F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(_scan(scanners, cosine), f"{kinds}, license string, score double, n_notices long, is_file boolean")
-    found = materialise(found.withColumn("dir", F.coalesce(F.regexp_replace("path", "/[^/]*$", ""), F.lit(""))), "licenses")
-    declared = materialise(found.where("is_file").groupBy("dir").agg(F.min("license").alias("declared")), "declared")
-    dirs = found.select("dir").distinct()
+    found = rows.mapInArrow(_scan(scanners, cosine), f"{kinds}, license string, score double, n_notices long, is_file boolean, licenses array<string>")
+    found = materialise(found.withColumn("dir", F.regexp_replace("path", "(^|/)[^/]*$", "")), "licenses")
+    declared = materialise(found.where("is_file AND dir IS NOT NULL").groupBy("dir").agg(F.min("license").alias("declared")), "declared")
+    dirs = found.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/", -1)
-    above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("up"))
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = dirs.select("dir", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), ups))).alias("up"))
     above = materialise(above, "ancestors")
     nearest = spread_join(above, declared.withColumnRenamed("dir", "up"), ["up"]).groupBy("dir").agg(F.max_by(F.struct("up", "declared"), F.length("up")).alias("from"))
     out = spread_join(found, materialise(nearest, "nearest"), ["dir"], "left")
     return out.select(
-        *carry, "path", "license", "score", "n_notices", "is_file", F.coalesce("license", F.col("from.declared")).alias("effective"),
+        *carry, "path", "license", "score", "n_notices", "is_file", "licenses", F.coalesce("license", F.col("from.declared")).alias("effective"),
         F.when(F.col("license").isNull(), F.col("from.up")).alias("inherited_from"),
     )
