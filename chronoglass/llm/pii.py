@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ SUPPORT, DISCLOSURE = 5, 0.75
 #: Candidate terms are broadcast up to this number, which their count is checked against; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
+#: Matches whose places are found in one array.
+PIECE, MATCH = 512, "struct<start:bigint,stop:bigint,match:string>"
 
 
 def _digits(match: Column) -> Column:
@@ -44,10 +48,20 @@ def _gate(kind: str, text: Column) -> Column:
     return {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike("[0-9]"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _positions(text: Column, pattern: str) -> Column:
-    """Array of (start, stop, match) of all matches, in code points: what split leaves between them gives the places."""
+    """Array of (start, stop, match) of all matches, in code points: what split leaves between them gives the places.
+
+    Matches are taken PIECE at a time, as an array that grows is copied with each step.
+    """
     both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint,match:string>>").alias("out"))
+
+    def empty(at: Column, kind: str) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -55,7 +69,15 @@ def _positions(text: Column, pattern: str) -> Column:
         found = F.struct(begin.alias("start"), stop.alias("stop"), x["match"].alias("match"))
         return F.struct(stop.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def piece(acc: Column, x: Column) -> Column:
+        inner = F.aggregate(x, empty(acc["at"], f"array<{MATCH}>"), step)
+        return let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def pieces(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(PIECE))
+        return F.aggregate(F.transform(starts, lambda k: F.slice(x, k, PIECE)), empty(F.lit(0), f"array<array<{MATCH}>>"), piece, lambda acc: F.flatten(acc["out"]))
+
+    return let(both, pieces)
 
 
 def base_spans(text: Column) -> Column:
@@ -78,64 +100,75 @@ def spans_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
-def _lines(text: Column) -> Column:
-    """Array of (at, line) of a text."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,line:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("line")))).alias("out"))
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda acc: acc["out"])
+def without_emails(text: Column) -> Column:
+    """The text with blanks for its email addresses: of the base matches, only these hold letters."""
+    gaps, found = F.split(text, PATTERNS["email"], -1), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    blanked = F.zip_with(gaps, found, lambda gap, match: F.concat(gap, F.repeat(F.lit(" "), F.coalesce(F.length(match), F.lit(0)))))
+    return F.when(_gate("email", text), F.array_join(blanked, "")).otherwise(text)
 
 
-def terms_of(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)))
+def kinds_of(line: Column) -> Column:
+    """Array of the kinds of which the line holds a valid match. No match of any kind spans lines."""
 
+    def of(i: int, kind: str) -> Column:
+        held = F.exists(F.regexp_extract_all(line, F.lit(PATTERNS[kind]), F.lit(0)), lambda x: _valid(kind, x))
+        return F.when(_gate(kind, line) & held, F.lit(i))
 
-def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """One row per row of docs: doc_id, base (array of start, kind, stop), spans (base and term spans, likewise).
+    return F.array_compact(F.array(*(of(i, kind) for i, kind in enumerate(KINDS[:4]))))
 
-    A term is a word in a line that holds a base match of kind k, outside the match. Over all lines of the corpus, with
-    n(t), n(k), n(t,k) lines of N, it tells PMI(t;k) = log(N n(t,k) / n(t) n(k)) of the information log(N / n(k)) in k.
-    Where that part reaches `disclosure`, with n(t,k) at least `support`, the term's places in lines with k are spans
-    too, to be generalised or removed with the match. n(t) counts all lines of all documents.
 
-    Only lines with matches leave their documents; candidate terms are counted where they lie before any shuffle. Null
-    and empty texts have no span. Rows that share identifier and text get the same spans, and their lines count each;
-    null identifiers are kept. Other columns don't matter.
+def terms_of(line: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda x: F.lower(x)))
+
+
+def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term, kinds) of texts (text): the terms that reveal a kind of personal data, and which.
+
+    Over all lines of all rows, with n(t), n(k), n(t,k) of the N lines that hold the term t, the kind k, and both, a term
+    tells PMI(t;k) = log(N n(t,k) / n(t) n(k)) of the information log(N / n(k)) in k. It reveals k where that part
+    reaches `disclosure`, with n(t,k) at least `support`. Repeated rows count each. Words of an email address are no terms.
     """
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2("text", 256))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).withColumn("base", base_spans(F.col("text")))
-    held = F.filter(
-        F.transform(_lines(F.col("text")), lambda x: F.struct(x["at"].alias("at"), x["line"].alias("line"), F.array_distinct(F.transform(F.filter("base", lambda s: (s["start"] >= x["at"]) & (s["stop"] <= x["at"] + F.length(x["line"]))), lambda s: s["kind"])).alias("kinds"))),
-        lambda x: F.size(x["kinds"]) > 0,
-    )
-    rows = rows.select(
-        "doc_id", "base", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"),
-        F.when(F.size("base") > 0, key).alias("key"), F.when(F.size("base") > 0, held).alias("held"),
-    )
-    rows = materialise(rows, "base")
-    lines = rows.where(F.col("key").isNotNull()).select("key", "base", F.explode("held").alias("x")).select("key", "base", "x.at", "x.line", "x.kinds")
-    words = lines.select("key", "base", "at", "kinds", F.explode(_positions(F.col("line"), WORD)).alias("w"))
-    words = words.select("key", "at", "kinds", F.lower("w.match").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.stop")).alias("stop"), "base")
-    words = words.where(~F.exists("base", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"]))).drop("base")
-    words = materialise(words, "words")
-
-    kinds = lines.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_k"))  # a row per kind
-    total = rows.agg(F.sum("n_lines").alias("n")).first()["n"] or 0
-    with_kind = words.select("key", "at", "term", F.explode("kinds").alias("kind")).distinct().groupBy("term", "kind").agg(F.count("*").alias("n_tk"))
+    lines = texts.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    held = lines.select(kinds_of(F.col("line")).alias("kinds"), "line").where(F.size("kinds") > 0)
+    held = materialise(held.select("kinds", terms_of(without_emails(F.col("line"))).alias("terms")), "held")
+    total = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n")).first()["n"] or 0
+    n_k = held.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n_k"))  # a row per kind
+    with_kind = held.select("kinds", F.explode("terms").alias("term")).select("term", F.explode("kinds").alias("kind")).groupBy("term", "kind").agg(F.count("*").alias("n_tk"))
     with_kind = materialise(with_kind.where(F.col("n_tk") >= support), "with-kind")
     candidates = with_kind.select("term").distinct()
-    few = candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    everywhere = docs.select(F.explode(F.split(whole(text), "\n", -1)).alias("line")).select(F.explode(terms_of(F.col("line"))).alias("term"))
-    if few:
+    everywhere = lines.select(F.explode(terms_of(without_emails(F.col("line")))).alias("term"))
+    if candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         everywhere = everywhere.join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         everywhere = everywhere.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term", "left_semi")
     n = F.lit(float(max(total, 1)))
     told = (F.log(n * F.col("n_tk") / (F.col("n_t") * F.col("n_k")))) / F.log(n / F.col("n_k"))
-    reveals = with_kind.join(everywhere, "term").join(F.broadcast(kinds), "kind").where((F.col("n_k") < n) & (told >= disclosure))
-    reveals = materialise(reveals.groupBy("term").agg(F.collect_set("kind").alias("told")), "reveals")
-    found = spread_join(words, reveals, ["term"]).where(F.arrays_overlap("kinds", "told"))
+    reveals = with_kind.join(everywhere, "term").join(F.broadcast(n_k), "kind").where((F.col("n_k") < n) & (told >= disclosure))
+    return materialise(reveals.groupBy("term").agg(F.array_sort(F.collect_set("kind")).alias("kinds")), "reveals")
+
+
+def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """One row per row of docs: doc_id, base (array of start, kind, stop), spans (base and term spans, likewise).
+
+    Base spans are the patterns' valid matches. The corpus tells which terms reveal a kind (revealing_terms); they are
+    spans too, to be generalised or removed, wherever they stand in any text, outside email addresses.
+
+    Texts never leave their place: what is shuffled are counts of terms, pre-aggregated, and places of revealing terms.
+    Null and empty texts have no span. Rows that share identifier and text get the same spans; null identifiers are kept.
+    Other columns don't matter.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), F.col("text"))))
+    base = materialise(rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base")), "base")
+    reveals = revealing_terms(rows, support, disclosure).select("term")
+    words = rows.select(key.alias("key"), without_emails(F.col("text")).alias("plain")).select("key", F.explode(_positions(F.col("plain"), WORD)).alias("w"))
+    words = words.select("key", F.lower("w.match").alias("term"), "w.start", "w.stop")
+    if reveals.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        found = words.join(F.broadcast(reveals), "term")
+    else:
+        found = spread_join(words, reveals, ["term"])
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("terms"))
-    out = rows.where(F.col("key").isNotNull()).join(found, "key", "left").unionByName(rows.where(F.col("key").isNull()).withColumn("terms", F.lit(None).cast(SPAN)))
+    out = spread_join(base, materialise(found, "terms"), ["key"], "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN)))).alias("spans"))
 
 
