@@ -16,6 +16,8 @@ from .common import handing_back, small_batches
 #: Labelled documents per language that the model is fitted on, in expectation; buckets of its trigram tables.
 FIT_DOCS, BUCKETS, PENALTY, SMOOTH = 1500, 1 << 16, 6.0, 0.3
 SCRIPT_SHARE = 0.01
+#: Languages at most: the model, BUCKETS floats of four bytes for each, goes to every task, and so is 256 MB at most.
+LANGS = 1000
 CHUNK = 1_000_000
 # First code point of each block of scripts, and the script's number (0: Latin and all that is not listed).
 SCRIPTS = [(0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x700, 0), (0x900, 6), (0x980, 7), (0xA00, 8), (0xB80, 9), (0xC00, 10), (0xE00, 11), (0xE80, 0), (0x10A0, 12), (0x1100, 13), (0x1200, 0), (0x1F00, 1), (0x2000, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0), (0xAC00, 13), (0xD7B0, 0), (0xF900, 15), (0xFB00, 0), (0x20000, 15), (0x32000, 0)]
@@ -104,15 +106,15 @@ def _counter(langs: list[str]):
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_docs: int = FIT_DOCS) -> Model:
     """Trigram counts of a bounded sample: of each language, documents whose hashed identifier falls below fit_docs / its
     count, so about fit_docs of them. Rows with null text or language are not learnt from. What comes to the driver is
-    languages x BUCKETS counts at most."""
+    languages x BUCKETS counts at most; over LANGS languages are refused."""
     docs = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit("fit"), F.col(doc_id)).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > LANGS:
+        raise ValueError(f"over {LANGS} languages")
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((16, 0), bool))
-    share = F.lit(0.0)
-    for x in langs:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, fit_docs / sizes[x]))).otherwise(share)
+    share = F.create_map(*(F.lit(x) for k in langs for x in (k, min(1.0, fit_docs / sizes[k]))))[F.col("lang")]
     small_batches(docs.sparkSession)
     sample = docs.where(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("text", "lang")
     counts = np.zeros((len(langs), BUCKETS + 16))
