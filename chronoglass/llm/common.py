@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SHARED = "spark.checkpoint.dir"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows that Python gets at once; documents may be long, so a batch holds few.
+#: Rows that Python gets at once; documents may be long, so a batch holds few. It is read when a plan runs, so all of this
+#: package sets the same number.
 BATCH_ROWS = "1000"
 
 
@@ -28,12 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders made by this process and not yet removed, in order.
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/chronoglass/{uuid.uuid4().hex}-{tag}"
+    folder = f"{shared_dir(spark).rstrip('/')}/chronoglass/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{tag}"
+    _made.append(folder)
+    return folder
+
+
+def made() -> int:
+    """How many folders there are; for remove()."""
+    return len(_made)
+
+
+def latest() -> str:
+    return _made[-1]
+
+
+def remove(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Deletes the folders made since then but those to keep. Results that were not written elsewhere read from them, so
+    call it when they have been."""
+    gone = [f for f in _made[since:] if f not in keep]
+    _made[since:] = [f for f in _made[since:] if f in keep]
+    for folder in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation.
+    The folder stays until remove() or whoever sweeps the shared folder by application."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -64,7 +91,7 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
     Keys with more than 1/share of left's rows are fewer than share, so their rows of right are broadcast whatever the
     data; all other keys meet in a shuffle in which no key has more than that part. Counts come from all rows of left,
-    which should be a written table, as it is read twice. Keys must not be null. how: inner or left.
+    which should be a written table, as it is read four times. Rows with a null key meet nothing. how: inner or left.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = left.count()

@@ -153,7 +153,6 @@ def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int,
 
 def _dealt(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, group: int) -> DataFrame:
     """Rows of keys sorted by (t, k, i, j); i and j are the chunks of a large key that are to be compared."""
-    spark = keys.sparkSession
     limit = max(group, rows // 1_000_000)
     large = materialise(counted.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large-keys")
     keys = keys.join(F.broadcast(large.limit(1_000_000)), ["t", "k"], "left")
@@ -163,9 +162,7 @@ def _dealt(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, gro
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
     )
     dealt = keys.select(*carry, "t", "k", F.explode(pairs).alias("p")).select("t", "k", "p.i", "p.j", *carry)
-    dealt = dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", carry[0])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    return dealt
+    return dealt.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", carry[0])
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -239,6 +236,12 @@ def prefix_length(n: int, similarity: float = SIMILARITY) -> int:
     return n - ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def may_reach(n: np.ndarray, at: np.ndarray, n2: np.ndarray, at2: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets of n and n2, whose first shingle in common is at these places of the order, can be as similar: no
+    more is in common than what follows there. A pair that meets under several keys passes under the first if at all."""
+    return np.minimum(n - at, n2 - at2) + 1e-9 >= similarity / (1 + similarity) * (n + n2)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both + 1e-9 >= similarity * (len(a) + len(b) - both)
@@ -272,28 +275,33 @@ def _wide_prints(common: dict[int, int], similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sids, fps, firsts = [], [], []
+            sids, fps, firsts, sizes = [], [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t)
+                sizes.append(len(h))
                 sids.append(xxhash.xxh3_128_digest(h.tobytes()))
                 fps.append(wide_bits(h))
                 firsts.append(prefix(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in (sids, fps, firsts))], names=["doc_id", "body", "sid", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in (sids, fps, firsts)), pa.array(sizes, pa.int64())], names=["doc_id", "body", "sid", "fp", "prefix", "n"])
 
     return run
 
 
 def _prefix_keys(whole_row: bool):
-    """(node, fp, prefix) to a row for each shingle of the prefix."""
+    """(node, n, fp, prefix) to a row for each shingle of the prefix, with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
-            firsts = b.column(2).to_pylist()
+            firsts = b.column(3).to_pylist()
             k = np.frombuffer(b"".join(firsts), np.int64)
             own = [pa.array(np.zeros(len(k), np.int32)), pa.array(k)]
-            at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) // 8 for x in firsts])) if whole_row else None
-            carried = [b.column(0).take(at), b.column(1).take(at)] if whole_row else []
-            yield pa.RecordBatch.from_arrays([*carried, *own], names=[*(["node", "fp"] if whole_row else []), "t", "k"])
+            if not whole_row:
+                yield pa.RecordBatch.from_arrays(own, names=["t", "k"])
+                continue
+            sizes = np.array([len(x) // 8 for x in firsts], np.int64)
+            row = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            place = pa.array(np.arange(len(k)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), place, b.column(1).take(row), b.column(2).take(row), *own], names=["node", "at", "n", "fp", "t", "k"])
 
     return run
 
@@ -323,48 +331,55 @@ def _three(u: list, v: list, k: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(joined, names=["u", "v", "k"])
 
 
-def _candidates(near: int, distance: int):
-    """Sorted rows of (t, k, i, j, node, fp) to (u, v, 0), pairs that may be similar: all of a small group within `distance`;
-    of a large one a spanning forest within `near`, and (node, -1, k) for its members."""
+def _candidates(near: int, distance: int, similarity: float):
+    """Sorted rows of (t, k, i, j, node, at, n, fp) to (u, v, 0), pairs that may be similar: all of a small group within
+    `distance`; of a large one a spanning forest within `near`, and (node, -1 - at, k) for its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, names, fps, bounds in _sorted_groups(batches):
-            sizes, names, u, v, k = np.diff(bounds), names[:, 0], [], [], []
+        for keys, numbers, fps, bounds in _sorted_groups(batches):
+            sizes, (names, at, n), u, v, k = np.diff(bounds), numbers.T, [], [], []
+
+            def good(x: np.ndarray, y: np.ndarray, n=n, at=at) -> np.ndarray:
+                return may_reach(n[x], at[x], n[y], at[y], similarity)
+
             two = bounds[:-1][sizes == 2]
+            two = two[good(two, two + 1)]
             two = two[differing(fps[two], fps[two + 1]) <= distance]
             u.append(names[two])
             v.append(names[two + 1])
             k.append(np.zeros(len(two), np.int64))
-            for s, n in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                part = names[s : s + n]
-                if n <= SMALL:
-                    x, y = np.nonzero(np.triu(differing(fps[s : s + n, None], fps[None, s : s + n]) <= distance, 1))
+            for s, m in zip(bounds[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                if m <= SMALL:
+                    x, y = np.nonzero(np.triu(differing(fps[s : s + m, None], fps[None, s : s + m]) <= distance, 1))
                 else:
-                    x = cluster(fps[s : s + n], near)
-                    y = np.flatnonzero(x != np.arange(n))
+                    x = cluster(fps[s : s + m], near)
+                    y = np.flatnonzero(x != np.arange(m))
                     x = x[y]
-                    u.append(part)
-                    v.append(np.full(n, -1))
-                    k.append(np.full(n, keys[s, 1]))
-                u.append(part[x])
-                v.append(part[y])
-                k.append(np.zeros(len(x), np.int64))
+                    u.append(names[s : s + m])
+                    v.append(-1 - at[s : s + m])
+                    k.append(np.full(m, keys[s, 1]))
+                x, y = x + s, y + s
+                ok = good(x, y)
+                u.append(names[x[ok]])
+                v.append(names[y[ok]])
+                k.append(np.zeros(int(ok.sum()), np.int64))
             yield _three(u, v, k)
 
     return run
 
 
-def _apart(distance: int):
-    """Sorted rows of (t, k, i, j, node, root, fp) to all pairs (u, v, 0) of different roots within `distance`."""
+def _apart(distance: int, similarity: float):
+    """Sorted rows of (t, k, i, j, node, root, at, n, fp) to all pairs (u, v, 0) of different roots that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, names, fps, bounds in _sorted_groups(batches):
+        for _, numbers, fps, bounds in _sorted_groups(batches):
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                nodes, roots = names[s:e, 0], names[s:e, 1]
+                nodes, roots, at, n = numbers[s:e].T
                 u, v = [], []
                 if (roots != roots[0]).any():
                     for a in range(e - s - 1):
-                        other = np.flatnonzero(roots[a + 1 :] != roots[a]) + a + 1
+                        rest = slice(a + 1, None)
+                        other = np.flatnonzero((roots[rest] != roots[a]) & may_reach(n[rest], at[rest], n[a], at[a], similarity)) + a + 1
                         other = other[differing(fps[s:e][other], fps[s + a]) <= distance]
                         u.append(np.full(len(other), nodes[a]))
                         v.append(nodes[other])
@@ -407,8 +422,8 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     64-bit fingerprints of such texts differ by ten bits and more, too many for blocks, so these have WIDE bits of the set
     of shingles, and meet under shingles: of each set the first prefix_length() ones in an order that puts common ones
     last are its keys, and two sets of the similarity share one for certain. Pairs that share a key and differ by no more
-    bits than the similarity explains, with DEVIATIONS to spare, are candidates; each is verified on all shingles. In
-    groups over SMALL a spanning forest of close fingerprints goes first, and then all candidates whose ends the verified
+    bits than the similarity explains, with DEVIATIONS to spare, are candidates, unless what follows the key in their
+    order is too little for the similarity; each is verified on all shingles. In groups over SMALL a spanning forest of close fingerprints goes first, and then all candidates whose ends the verified
     links leave apart, so that a large group of copies costs no square of pairs. Equal sets of shingles collapse first;
     keys with very many sets are compared in chunks, as in links(). Null and empty texts are linked to each other, texts
     under five words are one shingle. Null or repeated identifiers as in near_groups(); other columns don't matter.
@@ -422,25 +437,25 @@ def _similar_members(docs: DataFrame, text: str, doc_id: str, similarity: float,
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _body(text).alias("body"), F.col(text).cast("string").alias("text"))
     common = _common_shingles(rows)
-    prints = materialise(rows.mapInArrow(handing_back(_wide_prints(common, similarity)), "doc_id long, body string, sid binary, fp binary, prefix binary"), "wide-prints")
-    sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
+    prints = materialise(rows.mapInArrow(handing_back(_wide_prints(common, similarity)), "doc_id long, body string, sid binary, fp binary, prefix binary, n long"), "wide-prints")
+    sets = prints.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("body").alias("body"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
     sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "wide-fps")
-    nodes = sets.select("node", "fp", "prefix")
-    keys, counted = nodes.mapInArrow(handing_back(_prefix_keys(True)), "node long, fp binary, t int, k long"), nodes.mapInArrow(handing_back(_prefix_keys(False)), "t int, k long")
+    nodes = sets.select("node", "n", "fp", "prefix")
+    keys, counted = nodes.mapInArrow(handing_back(_prefix_keys(True)), "node long, at long, n long, fp binary, t int, k long"), nodes.mapInArrow(handing_back(_prefix_keys(False)), "t int, k long")
     n_keys = sets.agg(F.sum(F.length("prefix"))).first()[0] or 0
     distance = wide_distance(similarity, DEVIATIONS, TIED_SHARE if similarity >= SIMILARITY else 0.0)
-    found = _dealt(keys, counted, ["node", "fp"], n_keys // 8, group).select("t", "k", "i", "j", "node", "fp")
-    found = materialise(found.mapInArrow(handing_back(_candidates(wide_distance(similarity), distance)), "u long, v long, k long").distinct(), "wide-candidates")
+    found = _dealt(keys, counted, ["node", "at", "n", "fp"], n_keys // 8, group).select("t", "k", "i", "j", "node", "at", "n", "fp")
+    found = materialise(found.mapInArrow(handing_back(_candidates(wide_distance(similarity), distance, similarity)), "u long, v long, k long").distinct(), "wide-candidates")
     pairs = found.where("v >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     edges = _similar_pairs(materialise(pairs, "wide-pairs"), sets, rows, similarity)
-    large = found.where("v < 0").select(F.col("u").alias("node"), "k")
+    large = found.where("v < 0").select(F.col("u").alias("node"), "k", (-1 - F.col("v")).alias("at"))
     if not large.isEmpty():
         roots = components(edges)
-        large = materialise(large.join(roots, "node", "left").select("node", "k", F.coalesce("root", "node").alias("root")), "wide-large")
+        large = materialise(large.join(roots, "node", "left").select("node", "k", "at", F.coalesce("root", "node").alias("root")), "wide-large")
         several = large.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).where("a != z").select("k")
-        large = materialise(spread_join(large, several, ["k"]).join(sets.select("node", "fp"), "node").select("node", "root", F.lit(0).alias("t"), "k", "fp"), "wide-apart")
-        dealt = _dealt(large, large, ["node", "root", "fp"], large.count(), group).select("t", "k", "i", "j", "node", "root", "fp")
-        more = dealt.mapInArrow(handing_back(_apart(distance)), "u long, v long, k long")
+        large = materialise(spread_join(large, several, ["k"]).join(sets.select("node", "n", "fp"), "node").select("node", "root", "at", "n", F.lit(0).alias("t"), "k", "fp"), "wide-apart")
+        dealt = _dealt(large, large, ["node", "root", "at", "n", "fp"], large.count(), group).select("t", "k", "i", "j", "node", "root", "at", "n", "fp")
+        more = dealt.mapInArrow(handing_back(_apart(distance, similarity)), "u long, v long, k long")
         more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         edges = edges.unionByName(_similar_pairs(materialise(more, "wide-more"), sets, rows, similarity))
     roots = components(edges)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoglass.llm import decontam, exact_dedup, language, packing, simhash
-from chronoglass.llm.common import materialise, table
+from chronoglass.llm.common import latest, made, materialise, remove, table
 from chronoglass.llm.tokens import public
 
 
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages applied to documents. Once a stage's result is written, all that was written before it goes."""
+    docs, before = table(spark, sf_dir, "documents"), made()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name)
+            remove(spark, before, keep=(latest(),))
     return docs
