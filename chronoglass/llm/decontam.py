@@ -1,16 +1,17 @@
-"""Benchmark decontamination: n-gram seeds, a bound on what they can score, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, row_key, small_batches
+from .common import handing_back, materialise, row_key, small_batches, spread_join
 
 #: Words of a seed.
 SEED = 3
@@ -19,10 +20,13 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 LEAK = 0.5
 #: Or the words in a row whose score counts as leaked, however long the item.
 LEAK_WORDS = 13
-#: Characters of benchmark text held by a task at once; larger benchmarks are taken in blocks.
-BLOCK_CHARS = 16_000_000
+#: Bits of the seeds' filter for each seed, and at most (32 MB, which is what goes to every task); places in it that a
+#: seed sets. A filter that is too full lets more n-grams into the join and loses none.
+FILTER_BITS, FILTER_LOG, FILTER_PLACES = 32, 28, 4
+#: Bytes of the items' words up to which they are broadcast; their sum is checked.
+BROADCAST_BYTES = 64_000_000
 STORE = 400_000
-SKIP = -2
+_MIX = (np.random.default_rng(17).integers(1, 2**63, FILTER_PLACES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def norm(token: str) -> str:
@@ -35,65 +39,60 @@ def norm(token: str) -> str:
     return token[i:j].lower()
 
 
-@dataclass
-class Items:
-    """A block of the benchmark: word numbers of each item, and which n-gram comes where."""
-
-    ids: list
-    words: list[np.ndarray]
-    vocab: dict[str, int]
-    seeds: dict = field(default_factory=dict)  # by words of a seed, sorted codes of n-grams
-    where: dict = field(default_factory=dict)  # likewise, for each seed, (item, place) pairs
-    held: list = field(default_factory=list)  # for each item, its different words in order, and how often it has them
-    store: dict = field(default_factory=dict)
-
-    def number(self, text: str | None) -> np.ndarray:
-        """Word numbers of a text, -1 for words that no item has; tokens without a letter or digit are left out."""
-        tokens, store = (text or "").split(), self.store
-        if len(store) > STORE:
-            store.clear()
-        for t in set(tokens).difference(store):
-            w = norm(t)
-            store[t] = self.vocab.get(w, -1) if w else SKIP
-        out = np.fromiter(map(store.__getitem__, tokens), np.int64, len(tokens))
-        return out[out != SKIP]
-
-    def codes(self, numbers: np.ndarray, width: int) -> np.ndarray:
-        """A number for each n-gram; -1 if a word of it is unknown."""
-        if len(numbers) < width:
-            return np.zeros(0, np.int64)
-        n, base = len(numbers) - width + 1, len(self.vocab) + 1
-        parts = [numbers[i : i + n] for i in range(width)]
-        out = np.zeros(n, np.uint64)
-        for p in parts:
-            out = out * np.uint64(base) + p.astype(np.uint64) if base**width < 2**63 else (out ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        out = (out & np.uint64(2**63 - 1)).astype(np.int64)
-        return np.where(np.min(parts, axis=0) < 0, -1, out)
-
-
-def read_items(rows: list[tuple]) -> Items:
-    vocab: dict[str, int] = {}
-    words = [np.array([vocab.setdefault(w, len(vocab)) for w in map(norm, (t or "").split()) if w], np.int64) for _, t in rows]
-    return Items([i for i, _ in rows], words, vocab)
-
-
-def plant_seeds(items: Items, width: int = SEED) -> None:
-    """Takes every n-gram of every item for a seed. None is left out for being common: a passage that leaked often is
-    common for that, and an edited copy may keep no other. Items shorter than a seed have one of all their words."""
-    where: dict[int, dict[int, list]] = {}
-    for i, w in enumerate(items.words):
-        n = min(width, len(w))
-        for p, c in enumerate(items.codes(w, n).tolist() if n else []):
-            where.setdefault(n, {}).setdefault(c, []).append((i, p))
-    items.seeds = {n: np.array(sorted(x), np.int64) for n, x in where.items()}
-    items.where = {n: [x[c] for c in items.seeds[n].tolist()] for n, x in where.items()}
-    items.held = [np.unique(w, return_counts=True) for w in items.words]
-    items.store.clear()
-
-
-def most(held: tuple[np.ndarray, np.ndarray], window: np.ndarray) -> int:
+class _Words(dict):
+    """Token to its word's 64-bit hash; 0 for tokens without a letter or digit."""
+
+    def __missing__(self, token: str) -> int:
+        w = norm(token)
+        self[token] = h = (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1) if w else 0
+        return h
+
+
+@lru_cache(maxsize=1)
+def _store() -> _Words:
+    return _Words()
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words; tokens without a letter or digit are left out."""
+    store = _store()
+    if len(store) > STORE:
+        store.clear()
+    tokens = (text or "").split()
+    out = np.fromiter(map(store.__getitem__, tokens), np.uint64, len(tokens))
+    return out[out != 0]
+
+
+def gram_codes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit code for each n-gram of `width` words."""
+    n = len(words) - width + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out = (out ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def filter_places(codes: np.ndarray, log: int) -> np.ndarray:
+    """FILTER_PLACES places of each code in a filter of 2**log bits."""
+    return ((codes.view(np.uint64)[:, None] * _MIX) >> np.uint64(64 - log)).astype(np.int64)
+
+
+def passes(codes: np.ndarray, bits: np.ndarray, log: int) -> np.ndarray:
+    ok = np.ones(len(codes), bool)
+    for mix in _MIX:
+        at = ((codes.view(np.uint64) * mix) >> np.uint64(64 - log)).astype(np.int64)
+        ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def most(item: np.ndarray, window: np.ndarray) -> int:
     """The most that an alignment in the window can score: a match for each word that both have, as often as both do."""
-    words, times = held
+    words, times = np.unique(item, return_counts=True)
+    if not len(words):
+        return 0
     k = np.minimum(np.searchsorted(words, window), len(words) - 1)
     have = np.bincount(k[words[k] == window], minlength=len(words))
     return MATCH * int(np.minimum(have, times).sum())
@@ -115,76 +114,143 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return top, at
 
 
-def leaks(items: Items, text: str | None, leak: float = LEAK, words: int = LEAK_WORDS) -> list[tuple]:
-    """(item index, score, first word, word after the last, seeds) for each item with a passage in the text."""
-    numbers = items.number(text)
-    hits: dict[int, list] = {}
-    for n, seeds in items.seeds.items():
-        codes = items.codes(numbers, n)
-        at = np.searchsorted(seeds, codes)
-        at[at == len(seeds)] = 0
-        for p in np.flatnonzero(seeds[at] == codes).tolist():
-            for i, q in items.where[n][at[p]]:
-                hits.setdefault(i, []).append(p - q)
-    out = []
-    for i, starts in hits.items():
-        w = items.words[i]
-        slack, best, need = len(w) // 2 + 4, None, MATCH * min(leak * len(w), words)
-        starts = np.sort(np.array(starts))
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > slack) + 1):
-            a, b = max(0, int(part[0]) - slack), min(len(numbers), int(part[-1]) + len(w) + slack)
-            if most(items.held[i], numbers[a:b]) < need:
-                continue
-            score, end = align(w, numbers[a:b])
-            if best is None or score > best[0]:
-                best = (score, max(a, a + end - len(w)), a + end)
-        if best and best[0] >= need:
-            out.append((i, best[0] / (MATCH * len(w)), best[1], best[2], len(starts)))
-    return out
-
-
-def _scan(items: Items, leak: float):
-    kinds = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
+def slack(words: int) -> int:
+    """Words around an item's place that an edited copy may take more."""
+    return words // 2 + 4
+
+
+def best_passage(item: np.ndarray, words: np.ndarray, starts: np.ndarray, leak: float = LEAK, row: int = LEAK_WORDS) -> tuple | None:
+    """(score, first word, word after the last) of the best alignment of item in words near the starts that seeds give it,
+    if it reaches the score that counts as leaked."""
+    best, need, room = None, MATCH * min(leak * len(item), row), slack(len(item))
+    for part in np.split(starts, np.flatnonzero(np.diff(starts) > room) + 1):
+        a, b = max(0, int(part[0]) - room), min(len(words), int(part[-1]) + len(item) + room)
+        if most(item, words[a:b]) < need:
+            continue
+        score, end = align(item, words[a:b])
+        if score >= need and (best is None or score > best[0]):
+            best = (score, max(a, a + end - len(item)), a + end)
+    return best
+
+
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([word_hashes(t).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["ino", "item_id", "item"])
+
+
+def _seeds_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for ino, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = np.frombuffer(raw, np.uint64)
+            width = min(SEED, len(words))
+            codes = gram_codes(words, width) if width else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), ino)), pa.array(codes), pa.array(np.arange(len(codes))), pa.array(np.full(len(codes), width))], names=["ino", "code", "q", "width"])
+
+
+def _set_bits(log: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(filter_places(b.column(0).to_numpy(), log))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], names=["part", "bit"])
+
+    return run
+
+
+def _passages(bits: np.ndarray, log: int, widths: list[int], reach: int):
+    kinds = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.string()), ("begin", pa.int64()), ("words", pa.binary()), ("codes", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rid, doc, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, codes, places = word_hashes(text), [], []
+                for width in widths:
+                    c = gram_codes(words, width)
+                    at = np.flatnonzero(passes(c, bits, log))
+                    codes.append(c[at])
+                    places.append(at)
+                codes, places = np.concatenate(codes), np.concatenate(places)
+                if not len(places):
+                    continue
+                order = np.argsort(places, kind="stable")
+                codes, places = codes[order], places[order]
+                cuts = np.flatnonzero(np.diff(places) > 2 * reach) + 1
+                for c, p in zip(np.split(codes, cuts), np.split(places, cuts), strict=True):
+                    begin = max(0, int(p[0]) - reach)
+                    out.append((rid, doc, key, begin, words[begin : int(p[-1]) + reach].tobytes(), c, p - begin))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
+
+    return run
+
+
+def _align(leak: float):
+    kinds = pa.schema([("rid", pa.int64()), ("ino", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.string()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("seeds", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(d, key, items.ids[i], *rest) for d, key, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, *rest in leaks(items, t, leak)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(kinds)], schema=kinds)
+            out = []
+            for ino, starts, item_id, item, rid, doc, key, begin, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                item = np.frombuffer(item, np.uint64)
+                best = best_passage(item, np.frombuffer(words, np.uint64), np.array(starts, np.int64), leak)
+                if best:
+                    out.append((rid, ino, doc, key, item_id, best[0] / (MATCH * len(item)), begin + best[1], begin + best[2], len(starts)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     return run
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", leak: float = LEAK, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", leak: float = LEAK) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, seeds): a row per row of docs and item with a passage like the item.
 
-    The benchmark is the query set, taken in blocks of about block_chars characters so that what a task holds is bounded.
-    For each block a pass looks up every document's n-grams of three words among all those of the items, aligns each item
-    around those it shares, unless the words there can't score enough in any order, and keeps items whose best local
-    alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score, or that of LEAK_WORDS words in a
-    row. score is the part of a perfect copy's, 1 for a copy;
-    words count without bare punctuation; seeds is the number of n-grams shared. So a passage that reaches the score is
-    found if three words in a row survive in it, however common. Nothing is shuffled, so frequent passages need no care. Null or empty texts and items
-    match nothing; items of fewer than three words match all their words in a row; a null identifier is
-    carried as null; repeated rows and items are reported each.
+    Seeds are the items' n-grams of three words, all of them: a passage that leaked often is common for that, and an
+    edited copy may keep no other. One pass over the documents keeps the n-grams that a filter of the seeds, of bounded
+    size, lets through, with the words around them as far as an edited copy may reach. They join the seeds, so that each
+    passage meets the items it shares one with, and there the item is aligned, unless the words can't score enough in any
+    order. Items whose best local alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score, or
+    that of LEAK_WORDS words in a row, are found. score is the part of a perfect copy's, 1 for a copy; words count
+    without bare punctuation; seeds is the number of n-grams shared around there. So a passage that reaches the score is
+    found if three words in a row survive in it, however common.
+
+    Frequent n-grams, long documents and frequent items are met by spread_join. Null or empty texts and items match
+    nothing; items of fewer than three words match all their words in a row; a null identifier is carried as null;
+    repeated rows and items are reported each; of equally good passages of an item in a row the first is.
     """
-    return _contaminated(docs, bench, text, doc_id, item_id, leak, block_chars).drop("row_key")
+    return _contaminated(docs, bench, text, doc_id, item_id, leak).drop("row_key")
 
 
-def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, item_id: str = "item_id", leak: float = LEAK, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, item_id: str = "item_id", leak: float = LEAK) -> DataFrame:
     """contaminated() with row_key."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id).alias("row_key"), F.col(text).cast("string").alias("text"))
-    bench = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    blocks = max(1, -(-int(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    out = None
-    for k in range(blocks):
-        block = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        items = read_items([tuple(r) for r in block])
-        plant_seeds(items)
-        found = rows.mapInArrow(handing_back(_scan(items, leak)), "doc_id long, row_key string, item_id long, score double, first_word long, end_word long, seeds long")
-        out = found if out is None else out.unionByName(found)
-    return out
+    items = bench.select(F.monotonically_increasing_id().alias("ino"), F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
+    items = materialise(items.mapInArrow(_words_of_items, "ino long, item_id long, item binary"), "items")
+    seeds = materialise(items.select("ino", "item").mapInArrow(_seeds_of_items, "ino long, code long, q long, width long"), "seeds")
+    size, longest = items.agg(F.sum(F.length("item")), F.max(F.length("item"))).first()
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # 1 to 3
+    log = min(FILTER_LOG, max(16, int(np.ceil(np.log2(max(1, FILTER_BITS * seeds.count()))))))
+    bits = np.zeros(1 << log - 3, np.uint8)
+    set_bits = seeds.select("code").mapInArrow(_set_bits(log), "part long, bit long").groupBy("part").agg(F.call_function("bitmap_construct_agg", "bit").alias("bits"))
+    for r in set_bits.collect():
+        bits[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id).alias("row_key"), F.col(text).cast("string").alias("text"))
+    if not widths:
+        rows = rows.limit(0)
+    reach = (longest or 0) // 8 + slack((longest or 0) // 8) + SEED
+    found = rows.mapInArrow(handing_back(_passages(bits, log, widths, reach)), "rid long, doc_id long, row_key string, begin long, words binary, codes array<long>, places array<long>")
+    found = materialise(found.withColumn("pid", F.monotonically_increasing_id()), "passages")
+    grams = materialise(found.select("pid", F.explode(F.arrays_zip("codes", "places")).alias("g")).select("pid", F.col("g.codes").alias("code"), F.col("g.places").alias("p")), "grams")
+    starts = spread_join(grams, seeds.select("code", "ino", "q"), ["code"]).groupBy("pid", "ino").agg(F.sort_array(F.collect_list(F.col("p") - F.col("q"))).alias("starts"))
+    starts = materialise(starts, "starts")
+    passages = found.select("pid", "rid", "doc_id", "row_key", "begin", "words")
+    if (size or 0) <= BROADCAST_BYTES:
+        pairs = spread_join(starts, passages, ["pid"]).join(F.broadcast(items), "ino")
+    else:
+        pairs = spread_join(materialise(spread_join(starts, items, ["ino"]), "items-met"), passages, ["pid"])
+    pairs = pairs.select("ino", "starts", "item_id", "item", "rid", "doc_id", "row_key", "begin", "words")
+    aligned = pairs.mapInArrow(handing_back(_align(leak)), "rid long, ino long, doc_id long, row_key string, item_id long, score double, first_word long, end_word long, seeds long")
+    best = aligned.groupBy("rid", "ino").agg(F.max_by(F.struct("doc_id", "row_key", "item_id", "score", "first_word", "end_word"), F.struct("score", -F.col("first_word"))).alias("b"), F.sum("seeds").alias("seeds"))
+    return best.select("b.*", "seeds")
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

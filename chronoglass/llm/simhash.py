@@ -154,9 +154,9 @@ def _compared(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int,
 def _dealt(keys: DataFrame, counted: DataFrame, carry: list[str], rows: int, group: int) -> DataFrame:
     """Rows of keys sorted by (t, k, i, j); i and j are the chunks of a large key that are to be compared."""
     limit = max(group, rows // 1_000_000)
-    large = materialise(counted.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit), "large-keys")
+    large = materialise(counted.groupBy("t", "k").agg(F.count("*").alias("rows")).where(F.col("rows") > limit), "large-keys")
     keys = keys.join(F.broadcast(large.limit(1_000_000)), ["t", "k"], "left")
-    chunks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(limit)).cast("int")
+    chunks = F.ceil(F.coalesce("rows", F.lit(1)) / F.lit(limit)).cast("int")
     own = F.pmod(F.xxhash64(carry[0]), chunks).cast("int")
     pairs = F.when(chunks == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))

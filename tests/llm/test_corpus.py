@@ -3,11 +3,13 @@
 import hashlib
 import importlib.metadata
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -317,8 +319,9 @@ def test_token_files(docs, rows, width):
 def test_token_files_of_one_identifier(spark):
     rows = [(7 if i % 3 else None, f"text {i}") for i in range(400)]
     path = public("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
     got = token_files.token_round_trip(docs_of(spark, rows).repartition(8), path, 2).orderBy("start").collect()
-    assert [r.doc_id for r in got] == [None] * 134 + [7] * 266 and got[-1].start + got[-1].n_tokens == sum(len(Tokenizer.from_file(path).encode(t).ids) + 1 for _, t in rows)
+    assert [r.doc_id for r in got] == [None] * 134 + [7] * 266 and got[-1].start + got[-1].n_tokens == sum(len(tok.encode(t).ids) + 1 for _, t in rows)
     with pytest.raises(ValueError):
         token_files.token_round_trip(docs_of(spark, rows), path, 1)
 
@@ -349,15 +352,47 @@ def test_pii_base(spark, docs, rows, corpus):
         assert all(set(map(tuple, r.base)) <= set(map(tuple, r.spans)) for r in got)
 
 
-def test_pii_terms(spark):
-    rows = [(i, f"nothing here\nPatient zero{i} a{i}@b.cd ward") for i in range(8)] + [(100 + i, "the ward is nice") for i in range(30)]
-    got = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == 4] for r in pii.find_pii(docs_of(spark, rows)).collect()}
-    assert (13, 20) in got[0]
-    assert not got[100] and all((34, 38) not in x for x in got.values())
-    clean = pii.sanitise(docs_of(spark, rows), pii.find_pii(docs_of(spark, rows))).where("doc_id = 0").first().text
+WORD = regex.compile(r"\p{L}{2,}")
+
+
+def brute_terms(rows, support, disclosure):
+    """Spans of revealing terms by a plain reading of the definition."""
+    lines, blank = [], lambda t: re.sub(PLAIN["email"], lambda m: " " * len(m[0]), t or "")
+    for _, t in rows:
+        lines += [({k for _, k, _ in brute_base(x)}, {w.lower() for w in WORD.findall(blank(x))}) for x in (t or "").split("\n")]
+    n, n_k, n_t, n_tk = len(lines), Counter(), Counter(), Counter()
+    for kinds, terms in lines:
+        n_k.update(kinds)
+        n_t.update(terms)
+        n_tk.update((t, k) for t in terms for k in kinds)
+    told = {t for (t, k), m in n_tk.items() if m >= support and n_k[k] < n and np.log(n * m / (n_t[t] * n_k[k])) / np.log(n / n_k[k]) >= disclosure}
+    return told, [(i, tuple(sorted([*brute_base(t), *((m.start(), 4, m.end()) for m in WORD.finditer(blank(t)) if m[0].lower() in told)]))) for i, t in rows]
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_pii_terms(spark, rows, corpus, broadcast, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    small = [(i, f"nothing here\nPatient zero{i} a{i}@b.cd ward") for i in range(8)] + [(100 + i, "the ward is nice") for i in range(30)] + [(200, "a Patient without, PATIENT\n" * 2)]
+    small += [(7, "call +1 555 123 4567 now\nİstanbul calls")] * 6 + [(None, "call +1 555 123 4567 now")] * 2 + [(None, None), (300, "")]
+    for data, support in ((small, 5), (rows, 2), *([(corpus, 5)] if broadcast else [])):
+        told, want = brute_terms(data, support, 0.75)
+        got = pii.find_pii(docs_of(spark, data), support=support).collect()
+        assert Counter((r.doc_id, tuple(tuple(s) for s in r.spans)) for r in got) == Counter(want)
+        if data is small:
+            assert {"patient", "call", "now"} <= told and "ward" not in told
+            assert (2, 9) in {(s.start, s.stop) for r in got if r.doc_id == 200 for s in r.spans}  # far from any address
+    clean = pii.sanitise(docs_of(spark, small[:39]), pii.find_pii(docs_of(spark, small[:39]))).where("doc_id = 0").first().text
     assert "@" not in clean and "[email]" in clean and "[term]" in clean and clean.startswith("nothing here\n") and clean.endswith(" ward")
 
 
+def test_pii_of_long_texts(spark):
+    text = "mail a@b.cd\n" * 20_000
+    began = time.time()
+    got = pii.find_pii(docs_of(spark, [(1, text), (2, "x" * 10**6), (3, "word " * 200_000)])).collect()
+    assert {r.doc_id: (len(r.base), r.base[-1].stop if r.base else 0) for r in got} == {1: (20_000, len(text) - 1), 2: (0, 0), 3: (0, 0)}
+    assert time.time() - began < 120
+
+
 def test_language(spark, sf_dir, docs):
     got = queries.op6_language(spark, sf_dir)
     held = got.where("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id")
@@ -371,6 +406,49 @@ def test_language(spark, sf_dir, docs):
     assert len(out) == docs.count() and all(r.lang_pred == "und" for r in out if r.doc_id in (0, 1, 2, 3))
 
 
+def brute_language(model, text):
+    """Language and score of a text, a word and a trigram at a time."""
+    words, scores, k = re.findall(r"[^\W\d_]+", text), [], len(model.langs)
+    words = [w for w in re.split(r"\s", "".join(c if c.isalpha() else " " for c in text)) if w]
+    if not words:
+        return "und", 0.0
+    mask = (1 << 64) - 1
+    for w in words:
+        low_word = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in w]
+        codes, total = [2, *low_word, 3], np.zeros(k, np.float32)
+        for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+            h = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F & mask ^ c * 0x165667B19E3779F9) & mask
+            h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask
+            total += model.table[(h >> 48) % language.BUCKETS]
+        script = max((s for s in language.SCRIPTS if s[0] <= low_word[0]))[1]
+        fits = model.scripts[script]
+        scores.append(np.where(fits, total, total.min() - 50) if fits.any() else total)
+    best, back = list(scores[0]), []
+    for s in scores[1:]:
+        top = int(np.argmax(best))
+        come = [j if best[j] >= best[top] - language.PENALTY else top for j in range(k)]
+        best = [max(best[j], best[top] - language.PENALTY) + s[j] for j in range(k)]
+        back.append(come)
+    path = [int(np.argmax(best))]
+    for come in reversed(back):
+        path.append(come[path[-1]])
+    letters = Counter()
+    for w, j in zip(words, reversed(path), strict=True):
+        letters[j] += len(w)
+    j = min(letters, key=lambda x: (-letters[x], x))
+    return model.langs[j], letters[j] / sum(letters.values())
+
+
+def test_language_against_brute_force(spark, sf_dir, corpus):
+    model = language.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").where(~language.held_out()))
+    texts = [t for t in TEXTS if t != LONG] + [t[:3000] if t else t for _, t in corpus[:60]] + ["the die und le " * 9, "x1y2 Привет über"]
+    got = language.identify(docs_of(spark, [*enumerate(texts), (5, texts[5]), (5, texts[5])]), model, carry=["doc_id"]).collect()
+    assert len(got) == len(texts) + 2 and sum(r.doc_id == 5 for r in got) == 3
+    for r in got:
+        lang, score = brute_language(model, texts[r.doc_id] or "")
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
+
+
 def test_viterbi_against_all_paths():
     from itertools import product
 
@@ -401,15 +479,16 @@ def test_align():
         assert decontam.align(a, b)[0] == brute_align(a, b)
 
 
-def test_decontamination(spark, corpus):
+def test_decontamination(spark, monkeypatch):
     rng = np.random.default_rng(4)
     items = [" ".join(f"w{int(x)}" for x in rng.integers(0, 3000, 30)) + "." for _ in range(5)]
     other = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 3000, n))
     edited = [w if i % 6 else "changed" for i, w in enumerate(items[1].split())]
     rows = [(i, other(80)) for i in range(40)] + [(100, f"{other(50)} {items[0].upper()} {other(10)}"), (101, other(9) + " " + " ".join(edited)), (102, " ".join(items[2].split()[:6])), (103, None), (104, "")]
     bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id long, text string")
-    for block in (16_000_000, 200):
-        got = decontam.contaminated(docs_of(spark, rows), bench, block_chars=block).collect()
+    for size in (decontam.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", size)
+        got = decontam.contaminated(docs_of(spark, rows), bench).collect()
         assert sorted((r.doc_id, r.item_id) for r in got) == [(100, 0), (101, 1)]
     assert max(r.score for r in got) == 1.0
     left = decontam.drop_contaminated(docs_of(spark, rows), bench)
@@ -427,8 +506,44 @@ def test_decontamination_of_a_frequent_passage(spark):
     got = {r.doc_id for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
     assert got == {i for i in range(0, 90, 3)} | set(edits)
     for _ in range(300):
-        w, window = rng.integers(0, 6, int(rng.integers(1, 12))), rng.integers(-1, 8, int(rng.integers(0, 30)))
-        assert decontam.most(np.unique(w, return_counts=True), window) >= decontam.align(w, window)[0]
+        w, window = rng.integers(0, 6, int(rng.integers(1, 12))), rng.integers(0, 8, int(rng.integers(0, 30)))
+        assert decontam.most(w, window) >= decontam.align(w, window)[0]
+
+
+def test_decontamination_of_edited_copies(spark):
+    """Against Smith-Waterman over whole texts, for items with 0 to 40 % of their words replaced; what has no three words
+    in a row left is all that may be lost."""
+    bench = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").limit(40).collect()]
+    bench += [(9001, "to be or not to be that is the question"), (9002, "the end of it"), (9003, "of the"), (9003, "of the")]
+    rng, rows = np.random.default_rng(12), []
+    pool = [w for _, t in bench for w in t.split()]
+    for share in (0, 0.1, 0.2, 0.3, 0.4):
+        for k, (_, t) in enumerate(bench):
+            words = [f"new{rng.integers(10**6)}" if rng.random() < share else w for w in t.split()]
+            around = [pool[int(x)] if rng.random() < 0.5 else f"w{x}" for x in rng.integers(0, len(pool), 80)]
+            rows.append((int(share * 10) * 1000 + k, " ".join([*around[:40], *words, *around[40:]])))
+    got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect())
+    want, bare = Counter(), 0
+    for d, t in rows:
+        words = decontam.word_hashes(t)
+        for i, x in bench:
+            item = decontam.word_hashes(x)
+            need = 2 * min(0.5 * len(item), 13)
+            if decontam.most(item, words) >= need and decontam.align(item, words)[0] >= need:
+                if set(decontam.gram_codes(item, min(3, len(item)))) & set(decontam.gram_codes(words, min(3, len(item)))):
+                    want[d, i] += 1
+                else:
+                    bare += i < 9000  # a short item's words are scattered anywhere
+    assert got == want and len(want) > 170 and bare <= 3
+
+
+def test_decontamination_of_long_and_repeated_rows(spark):
+    item = [f"p{k}" for k in range(30)]
+    long = " ".join([*(f"w{k % 977}" for k in range(200_000)), *item, *(f"w{k % 31}" for k in range(200_000)), *item[:20]])
+    rows = [(1, long), (1, long), (None, long), (2, " ".join(item)), (2, " ".join(item)), (None, "p1 p2"), (3, "")]
+    bench = spark.createDataFrame([(0, " ".join(item)), (0, " ".join(item)), (None, "w1 w2 w3 p1")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.score, r.first_word) for r in decontam.contaminated(docs_of(spark, rows), bench).where("item_id = 0").collect())
+    assert got == {(1, 0, 1.0, 200_000): 4, (None, 0, 1.0, 200_000): 2, (2, 0, 1.0, 0): 4}
 
 
 def test_decontamination_of_parts_and_short_items(spark):
@@ -466,6 +581,56 @@ def test_license(spark):
     assert (got["a/b/c/x.txt"].effective, got["a/b/c/x.txt"].inherited_from) == ("Apache-2.0", "a/b") and got["d/z.txt"].effective is None and got[None].license == "MIT"
 
 
+def test_license_root_and_several(spark):
+    mit = "Released under the MIT License."
+    rows = [("LICENSE", mit), ("src/a.py", "words"), ("README", "words"), ("src/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("src/b/c/d.py", "words"), (None, "words"), ("/x/y", "words"), ("z/both.txt", mit + "\nand " + "more words " * 30 + "\nLicensed under CC BY-NC 4.0."), ("src/a.py", "words")]
+    got = license.scan_licenses(spark.createDataFrame([(*r, "x", "y") for r in rows], "path string, text string, dir string, license string")).collect()
+    got.sort(key=lambda r: [p for p, _ in rows].index(r.path))
+    assert Counter((r.path, r.effective, r.inherited_from) for r in got) == Counter(
+        [("LICENSE", "MIT", None), ("README", "MIT", ""), ("src/b/LICENSE", "Apache-2.0", None), ("src/b/c/d.py", "Apache-2.0", "src/b"), (None, None, None), ("/x/y", "MIT", ""), ("z/both.txt", next(r.license for r in got if r.path == "z/both.txt"), None), *[("src/a.py", "MIT", "")] * 2]
+    )
+    assert next(r.licenses for r in got if r.path == "z/both.txt") == ["CC-BY-NC-4.0", "MIT"]
+
+
+def test_license_against_dense_cosines(spark, corpus):
+    """All vectors in full, every line, paragraph, head and whole text against every template of its kind."""
+    texts = [t or "" for _, t in corpus[:25]] + [x for _, x in license.TEMPLATES[:40]] + ["word " * 30_000 + "\nReleased under the MIT License.\n\nmore\nof it", "", None]
+    bags = [license.terms(x or "") for x in texts]
+    kinds = [[t for t in license.TEMPLATES if ("\n" in t[1].strip()) == several] for several in (False, True)]
+    df, n = Counter(t for b in bags for t in b), len(texts)
+
+    def best(bag):
+        found = (None, 0.0)
+        for templates in kinds:
+            vocab = {t for _, x in templates for t in license.terms(x)}
+            idf = lambda t: np.log((n + 1) / ((df[t] if t in vocab else 0) + 1)) + 1
+            v = {t: c * idf(t) for t, c in bag.items()}
+            top = (None, 0.0)
+            for name, x in templates:
+                u = {t: c * idf(t) for t, c in license.terms(x).items()}
+                c = sum(w * u.get(t, 0) for t, w in v.items()) / (np.sqrt(sum(w * w for w in v.values()) * sum(w * w for w in u.values())) or 1)
+                top = max(top, (name, c), key=lambda f: round(f[1], 12))
+            found = max(found, top, key=lambda f: f[1]) if top[1] >= license.COSINE else found
+        return found
+
+    got = {r.doc: r for r in license.scan_licenses(spark.createDataFrame([(i, f"d/{i}", t) for i, t in enumerate(texts)], "doc int, path string, text string"), carry=["doc"]).collect()}
+    seen = 0
+    for i, t in enumerate(texts):
+        lines = [license.terms(x) for x in (t or "").split("\n")]
+        parts = [[]]
+        for x in lines:
+            parts = [*parts[:-1], [*parts[-1], x]] if x else [*parts, []]
+        parts = [p for p in parts if p]
+        sums = [sum(p, Counter()) for p in parts]
+        tried = [*lines, *(s for s, p in zip(sums, parts, strict=True) if len(p) > 1), *(sum(sums[:k], Counter()) for k in range(2, min(license.HEAD, len(sums)) + 1)), sum(sums, Counter())]
+        names = [best(x) for x in tried if x]
+        want = max(names, key=lambda f: f[1], default=(None, 0.0))
+        assert (got[i].score is None and want[0] is None) or abs(got[i].score - want[1]) < 1e-9
+        assert set(got[i].licenses) == {k for k, _ in names if k}
+        seen += want[0] is not None
+    assert seen >= 30
+
+
 def test_license_files(spark):
     def real(dist, name):
         return next(f for f in importlib.metadata.files(dist) if f.name == name).read_text()
@@ -514,6 +679,34 @@ def test_html(spark, sf_dir):
     assert out[1] == "Title & more\nFirst part, of it.\nSecond part." and out[2] == out[3] == ""
 
 
+PAGES = [  # pages as others write them, and their text
+    ("<html><body bgcolor=white><center><a href=/>Home</a> | <a href=/b>News</a></center><h1>Rivers in spring</h1>The river rises in March, when the snow melts, and floods the lower meadows.<p>Farmers wait for it, as it feeds the soil. Nothing is sown before.<p>In May it falls again.<hr><font size=1>&copy; 1999 A. Smith</font></body></html>",
+     "Rivers in spring\nThe river rises in March, when the snow melts, and floods the lower meadows.\nFarmers wait for it, as it feeds the soil. Nothing is sown before.\nIn May it falls again."),
+    ("<body><div id=menu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><div class=post-body><p>A bridge of stone, three hundred years old, was closed on Monday.</p><p>Engineers found cracks, and the town has no money to mend them.</p><div class='ad-slot'>Buy bridges now</div></div><div id=comments><p>What a pity, I crossed it daily.</p></div></body>",
+     "A bridge of stone, three hundred years old, was closed on Monday.\nEngineers found cracks, and the town has no money to mend them."),
+    ("<body><main><h2>Soup</h2><ul><li>two onions, chopped, and a carrot</li><li>a litre of water, salted</li></ul><p>Boil it all for an hour; stir now and then, and taste.</p></main><aside class=related><a href=x>More soups</a></aside><footer><p>Contact us at the office.</p></footer></body>",
+     "Soup\ntwo onions, chopped, and a carrot\na litre of water, salted\nBoil it all for an hour; stir now and then, and taste."),
+]
+
+
+def test_html_of_other_markup():
+    got = html_text.main_text(html_text.trained(), [p for p, _ in PAGES] * 2)
+    assert got == [t for _, t in PAGES] * 2
+
+
+def test_html_text_under_the_body():
+    got = html_text.main_text(html_text.trained(), ["<body><nav><a href=/>Home</a><a href=/x>Other</a></nav>The whole of the text stands here, without any element, and goes on for some time, as it may.<footer>&copy; x</footer></body>"])
+    assert got == ["The whole of the text stands here, without any element, and goes on for some time, as it may."]
+
+
+def test_html_in_linear_time():
+    n = 16_000
+    for source in ("<div>" * n + "</section>" * n, "<a " * 5 * n, '<a "' * n + ">", "<a <a " * n + '"', "<div>" * n + "<dd></dd>" * n, "<i><table><td>" + "<b>" * n + "</i>" * n, "<script>" + "</script " * n, "<b>" * n + "<div></div>" * n, "<" * 50 * n, "x" * 1_000_000):
+        began = time.time()
+        html_text.parse(source)
+        assert time.time() - began < 5, source[:30]
+
+
 def test_html_held_out():
     make, right = html_text._Pages(12345), 0
     for _ in range(100):
