@@ -10,7 +10,7 @@ from .common import ascii_lower, materialise, whole
 #: Bytes of a text that splitters hold before its 64-bit hash.
 HEAD = 32
 #: Copies of one text that are sorted in one place; a text with more, or with over a millionth of all rows, is split.
-HOT_ROWS = 20_000
+HOT_ROWS = 1000
 
 
 def _norm(text: str) -> Column:
