@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -39,23 +40,20 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return folder
 
 
-def made() -> int:
-    """How many folders there are; for remove()."""
-    return len(_made)
+def made() -> list[str]:
+    """The folders that there are."""
+    return list(_made)
 
 
-def latest() -> str:
-    return _made[-1]
-
-
-def remove(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the folders made since then but those to keep. Results that were not written elsewhere read from them, so
-    call it when they have been."""
-    gone = [f for f in _made[since:] if f not in keep]
-    _made[since:] = [f for f in _made[since:] if f in keep]
-    for folder in gone:
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes folders, and lets go of the shuffle files of results that nothing refers to. What was read from them must
+    have been written elsewhere."""
+    for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

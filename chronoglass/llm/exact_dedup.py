@@ -38,10 +38,10 @@ def _order(doc_id: str, last: bool) -> Column:
     return F.col(doc_id).asc_nulls_first() if last else F.col(doc_id).desc_nulls_first()
 
 
-def _sorted(docs: DataFrame, text: str, doc_id: str, last: bool, hot_rows: int) -> DataFrame:
-    """docs range-partitioned and sorted by content, with __last, whether no equal text follows, and __run, the number
-    of its run of equal neighbours in (head, h, salt)."""
-    rows = _sort_keys(docs, text, hot_rows).repartitionByRange("__head", "__h", "__salt")
+def _sorted(keyed: DataFrame, text: str, doc_id: str, last: bool) -> DataFrame:
+    """Rows with their sort keys, range-partitioned and sorted by content, with __last, whether no equal text follows, and
+    __run, the number of its run of equal neighbours in (head, h, salt)."""
+    rows = keyed.repartitionByRange("__head", "__h", "__salt")
     return _compare(rows.withColumn("__norm", _norm(text)), ["__head", "__h", "__salt"], _order(doc_id, last)).drop("__norm")
 
 
@@ -68,7 +68,7 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
     keep: "largest" or "smallest" identifier stays.
     """
     last, best = keep == "largest", F.max if keep == "largest" else F.min
-    rows = _sorted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "doc_id", last, hot_rows)
+    rows = _sorted(_sort_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", hot_rows), "text", "doc_id", last)
     rows = rows.withColumn("__rep", F.when(F.col("__hot") & (F.col("__first") == 1), F.col("text"))).withColumn("text_sha256", F.sha2(_norm("text"), 256)).drop("text")
     run = Window.partitionBy("__head", "__h", "__salt", "__run")
     rows = rows.withColumn("keep_id", best("doc_id").over(run)).withColumn("group_size", F.count("*").over(run))
@@ -91,10 +91,12 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
 def drop_exact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "largest", hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs without all but one row of each group of equal texts; columns as they are. Rows go through one content sort
-    with all their columns, and the survivors of a hot text's runs through another."""
+    with all their columns, and the survivors of a hot text's runs, which alone are written, through another."""
     columns, last = docs.columns, keep == "largest"
     numbered = docs.toDF(*(f"c{i}" for i in range(len(columns))))  # so that no column's name clashes
     t, d = f"c{columns.index(text)}", f"c{columns.index(doc_id)}"
-    rows = materialise(_sorted(numbered, t, d, last, hot_rows).where("__last").select(*numbered.columns, "__head", "__h", "__hot"), "sorted")
-    hot = _compare(rows.where("__hot").withColumn("__norm", _norm(t)), ["__head", "__h"], _order(d, last)).where("__last")
-    return rows.where(~F.col("__hot")).select(*numbered.columns).unionByName(hot.select(*numbered.columns)).toDF(*columns)
+    keyed = _sort_keys(numbered, t, hot_rows)
+    cold = _sorted(keyed.where(~F.col("__hot")), t, d, last).where("__last").select(*numbered.columns)
+    runs = _sorted(keyed.where("__hot"), t, d, last).where("__last").select(*numbered.columns, "__head", "__h")
+    hot = _compare(materialise(runs, "hot-runs").withColumn("__norm", _norm(t)), ["__head", "__h"], _order(d, last)).where("__last")
+    return cold.unionByName(hot.select(*numbered.columns)).toDF(*columns)

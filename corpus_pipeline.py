@@ -6,14 +6,39 @@ one's docs.
 
 from __future__ import annotations
 
+from functools import partial, wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoglass.llm import decontam, exact_dedup, language, packing, simhash
-from chronoglass.llm.common import latest, made, materialise, remove, table
+from chronoglass.llm.common import made, materialise, remove, table
 from chronoglass.llm.tokens import public
 
 
+#: Folders that a stage made on the way to its result.
+_passing: list[str] = []
+
+
+def stage(run, last=False):
+    """A stage that first removes what the one before it made on the way: its result is written by now. Folders that
+    docs itself is read from stay, and so do those of the last stage, whose result nobody may have written yet."""
+
+    @wraps(run)
+    def once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        gone = [f for f in _passing if f in made() and not any(f.rsplit("/", 1)[1] in x for x in read)]
+        _passing.clear()
+        remove(spark, gone)
+        before = set(made())
+        out = run(spark, docs, sf_dir)
+        _passing.extend(f for f in made() if f not in before and not last)
+        return out
+
+    return once
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without a letter (`und`) go. A document whose lang is null gets the predicted one."""
     columns = docs.columns
@@ -26,22 +51,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn(lang, F.coalesce(lang, "lang_pred")).select(*numbered.columns).toDF(*columns)
 
 
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest identifier."""
     return exact_dedup.drop_exact(docs).select(*docs.columns)
 
 
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles are at least 0.8 similar, that of the
     smallest identifier."""
     return simhash.drop_near(docs).select(*docs.columns)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+@partial(stage, last=True)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens, with their ids' checksum."""
     out = packing.pack(docs, public("word_bpe_49k.json"))
@@ -55,11 +84,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents. Once a stage's result is written, all that was written before it goes."""
-    docs, before = table(spark, sf_dir, "documents"), made()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    """All stages applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, apply) in enumerate(STAGES):
+        docs = apply(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name)
-            remove(spark, before, keep=(latest(),))
     return docs
