@@ -98,6 +98,27 @@ def points(v: np.ndarray, tau: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return p[ok], np.flatnonzero(ok)
 
 
+def distances(p: np.ndarray) -> np.ndarray:
+    """Between all points, a coordinate at a time."""
+    out = np.zeros((len(p), len(p)))
+    for x in p.T:
+        out += (x[:, None] - x) ** 2
+    return np.sqrt(out, out=out)
+
+
+def effective_dimension(v: np.ndarray, tau: int, dim: int, share: float = 0.99) -> int | None:
+    """Leading eigenvalues of the embedded points' covariance that make up `share` of its trace, 2 to dim of them; null
+    where the points hardly vary or are fewer than dim."""
+    p, _ = points(v, tau, dim)
+    if dim < 2 or len(p) < max(2, dim):
+        return None
+    part = np.sort(np.linalg.eigvalsh(np.cov(p.T)))[::-1]
+    if part.sum() < 1e-9:
+        return None
+    reached = np.cumsum(np.clip(part, 0, None)) >= share * part.sum()
+    return int(np.clip(np.argmax(reached) + 1 if reached.any() else dim, 2, dim))
+
+
 def fnn_dimension(v: np.ndarray, tau: int, top: int = 10, r_tol: float = 15.0, a_tol: float = 2.0) -> int:
     """First dimension with under 5 % false neighbours, or before their share rises."""
     sd, last = np.nanstd(v), None
@@ -105,7 +126,7 @@ def fnn_dimension(v: np.ndarray, tau: int, top: int = 10, r_tol: float = 15.0, a
         p, at = points(v, tau, m + 1)
         if len(p) < 3:
             return max(2, m)
-        d = np.linalg.norm(p[:, None, :m] - p[None, :, :m], axis=2)
+        d = distances(p[:, :m])
         np.fill_diagonal(d, np.inf)
         k = d.argmin(axis=1)
         near, extra = d[np.arange(len(p)), k], np.abs(p[:, m] - p[k, m])
@@ -127,21 +148,16 @@ def rqa(v: np.ndarray, tau: int, dim: int, share: float = 0.05, theiler: int = 5
     far = at[None, :] - at[:, None] > t
     if n < 10 or not far.any():
         return {"rr": None, "det": None, "entr": None}
-    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    d = distances(p)
     rec = (d < np.quantile(d[far], share)) & far
-    lengths = []
+    apart, lengths = np.diff(at) != 1, [np.zeros(0, np.int64)]
     for k in range(t + 1, n):
-        on = np.diagonal(rec, k)
-        seam = np.concatenate([[True], (np.diff(at[: n - k]) != 1) | (np.diff(at[k:]) != 1)])
-        run = 0
-        for x, s in zip(on, seam, strict=True):
-            if run and (s or not x):
-                lengths.append(run)
-                run = 0
-            run += bool(x)
-        if run:
-            lengths.append(run)
-    lengths = np.array(lengths)
+        on = np.flatnonzero(np.diagonal(rec, k))
+        if len(on):
+            cut = (np.diff(on) != 1) | apart[on[1:] - 1] | apart[on[1:] + k - 1]
+            ends = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(on)]])
+            lengths.append(np.diff(ends))
+    lengths = np.concatenate(lengths)
     if not lengths.sum():
         return {"rr": float(rec.sum() / far.sum()), "det": 0.0, "entr": 0.0}
     long = lengths[lengths >= line]
@@ -157,7 +173,9 @@ def sample_entropy(v: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
 
     def pairs(k: int) -> int:
         p = np.lib.stride_tricks.sliding_window_view(v, k)
-        d = np.abs(p[:, None] - p[None]).max(axis=2)
+        d = np.zeros((len(p), len(p)))
+        for x in p.T:
+            np.maximum(d, np.abs(x[:, None] - x), out=d)
         return int((d <= tol).sum() - len(p)) // 2
 
     a, b = pairs(m + 1), pairs(m)
@@ -174,7 +192,7 @@ def simplex(v: np.ndarray, dim: int, tau: int = 1) -> float | None:
     p, y = p[ok], y[ok]
     if len(p) < dim + 3:
         return None
-    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    d = distances(p)
     np.fill_diagonal(d, np.inf)
     k = np.argsort(d, axis=1, kind="stable")[:, : dim + 1]
     near = np.take_along_axis(d, k, 1)
@@ -191,7 +209,7 @@ def smap_gain(v: np.ndarray, dim: int, thetas: tuple = (0, 0.5, 1, 2, 4, 8)) ->
     y = v[at + dim]
     ok = ~np.isnan(y)
     p, y = p[ok], y[ok]
-    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    d = distances(p)
     x, rhos = np.column_stack([np.ones(len(p)), p]), []
     for theta in thetas:
         f = np.empty(len(p))
@@ -245,9 +263,13 @@ def engine(pdf: pd.DataFrame, tau_max: int, least: int) -> pd.DataFrame:
     else:
         smooth = low_pass(v)
         row["tau"] = tau_of(v, tau_max, max(8, least // 2))
-        row["dim"] = min(fnn_dimension(smooth, row["tau"]), 4)
-        row |= rqa(smooth, row["tau"], row["dim"])
-        row["sampen"], row["rho"] = sample_entropy(v), simplex(v, row["dim"])
+        row["dim"] = effective_dimension(smooth, row["tau"], fnn_dimension(smooth, row["tau"]))
+        if row["dim"] is None:
+            row["error"] = "no dimension"
+        else:
+            row |= rqa(smooth, row["tau"], row["dim"])
+            row["rho"] = simplex(v, row["dim"])
+        row["sampen"] = sample_entropy(v)
     return pd.DataFrame([row])
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from chronoglass import catalog
 from chronoglass.functions.scalar import DAY, MINUTE
+from chronoglass.operators import cleaning as C
+from chronoglass.operators import dynamics as D
+from chronoglass.operators import models as M
 from chronoglass.operators import dynamics, events, joins, models, series, stats
 from chronoglass.plans.spec import ColumnSpec, assert_complete, conform, validate
 from chronoglass.sources import tables
@@ -158,3 +161,67 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 
 def test_day_constant():
     assert DAY == 1440 * MINUTE
+
+
+def test_effective_dimension_of_trivial_signals():
+    i = np.arange(576)
+    sine = 6 + np.sin(2 * np.pi * i / 72)
+    noise = 6 + np.random.default_rng(0).normal(0, 0.4, 576)
+    assert D.effective_dimension(sine, 18, 5) == 2 and D.effective_dimension(noise, 1, 5) == 5
+    assert D.effective_dimension(np.full(100, 6.0), 1, 3) is None and D.effective_dimension(sine[:3], 1, 4) is None
+    assert D.rqa(sine, 18, 2)["det"] >= 0.9 > D.rqa(noise, 1, 2)["det"]
+
+
+def test_recurrence_lines_against_every_cell():
+    rng = np.random.default_rng(4)
+    v = np.cumsum(rng.normal(size=90))
+    v[[20, 55, 56]] = np.nan
+    p, at = D.points(v, 2, 2)
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    far = at[None, :] - at[:, None] > 5
+    rec, lines = (d < np.quantile(d[far], 0.05)) & far, []
+    for k in range(6, len(p)):
+        run = 0
+        for i in range(len(p) - k):
+            if run and (not rec[i, i + k] or at[i] - at[i - 1] != 1 or at[i + k] - at[i + k - 1] != 1):
+                lines.append(run)
+                run = 0
+            run += int(rec[i, i + k])
+        lines += [run] if run else []
+    got = D.rqa(v, 2, 2)
+    assert np.isclose(got["det"], sum(x for x in lines if x > 1) / sum(lines)) and np.isclose(got["rr"], rec.sum() / far.sum())
+
+
+def test_nonnegative_ridge_meets_its_conditions():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 6))
+    y = x @ np.array([2, 0, -1, 0.5, 0, -3]) + rng.normal(size=200)
+    w = M.nonnegative_ridge(x, y, 0.7)
+    slope = x.T @ (x @ w - y) + 0.7 * w
+    assert (w >= 0).all() and np.abs(slope[w > 0]).max() < 1e-6 and (slope[w == 0] >= -1e-6).all()
+
+
+@pytest.mark.parametrize("name", [k for k, f in catalog.QUERIES.items() if f.__module__.endswith("catalog_cleaning")])
+def test_cleaning_query_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("events", "documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    got = catalog.QUERIES[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    rows = lambda x: sorted((tuple(r) for r in x), key=lambda r: [(v is None, 0 if v is None else v) for v in r])
+    mine, theirs = rows(got.select(*columns).collect()), rows(con.execute(f"SELECT {', '.join(columns)} FROM ({catalog.SQL[name]})").fetchall())
+    assert len(mine) == len(theirs)
+    for a, b in zip(mine, theirs, strict=True):
+        assert all(x == y or isinstance(x, float) and abs(x - y) < 2e-6 for x, y in zip(a, b, strict=True))
+
+
+def test_one_to_one_refuses_repeated_keys(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, a string"), spark.createDataFrame([(1, "x"), (1, "y")], "k long, b string")
+    with pytest.raises(Exception, match="comes twice"):
+        C.one_to_one(left, right, ["k"]).collect()
+
+
+def test_positions_are_dropped_twice(spark):
+    rows = spark.createDataFrame([(1, k, float(k)) for k in range(6)], "id long, us long, v double")
+    assert [r.us for r in C.drop_positions(rows, "us", [0, 2]).orderBy("us").collect()] == [3, 5]
+    assert [r.us for r in C.drop_positions(rows, "us", [0, 2], times=1).orderBy("us").collect()] == [1, 3, 4, 5]
