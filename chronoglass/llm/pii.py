@@ -22,11 +22,12 @@ WORD = r"\p{L}{2,}"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A term must share this many lines with a kind, and tell this part of what knowing the kind would tell.
 SUPPORT, DISCLOSURE = 5, 0.75
-#: Candidate terms are broadcast up to this number, which their count is checked against; more are joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: Terms are broadcast, or go with the plan, up to this number and this many characters, which are counted first; more are
+#: joined by shuffle.
+BROADCAST_TERMS, BROADCAST_CHARS = 200_000, 8_000_000
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint>>"
-#: Matches whose places are found in one array.
-PIECE, MATCH = 512, "struct<start:bigint,stop:bigint,match:string>"
+#: Matches whose places are found in one array: each match copies half a piece on average, and each piece all before it.
+PIECE, MATCH = 64, "struct<start:bigint,stop:bigint,match:string>"
 
 
 def _digits(match: Column) -> Column:
@@ -53,12 +54,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _positions(text: Column, pattern: str) -> Column:
+def _positions(text: Column, pattern: str, keep: Column | None = None) -> Column:
     """Array of (start, stop, match) of all matches, in code points: what split leaves between them gives the places.
 
-    Matches are taken PIECE at a time, as an array that grows is copied with each step.
+    keep: array of a boolean for each match, false where its place isn't wanted. Matches are taken PIECE at a time, as an
+    array that grows is copied with each step.
     """
-    both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    wanted = F.transform(found, lambda x: F.lit(True)) if keep is None else keep
+    both = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), found.alias("match"), wanted.alias("keep"))
 
     def empty(at: Column, kind: str) -> Column:
         return F.struct(at.cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
@@ -67,7 +71,7 @@ def _positions(text: Column, pattern: str) -> Column:
         begin = acc["at"] + x["gap"]
         stop = begin + F.coalesce(F.length(x["match"]), F.lit(0))
         found = F.struct(begin.alias("start"), stop.alias("stop"), x["match"].alias("match"))
-        return F.struct(stop.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
+        return F.struct(stop.alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"))
 
     def piece(acc: Column, x: Column) -> Column:
         inner = F.aggregate(x, empty(acc["at"], f"array<{MATCH}>"), step)
@@ -121,6 +125,19 @@ def terms_of(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda x: F.lower(x)))
 
 
+def listed(words: str, terms: list[str]) -> Column:
+    """Array of a boolean for each word of the column named: whether its lower-case form is a term. Terms hold no quotes.
+
+    The set goes with the plan, and a look-up costs the same whatever its size.
+    """
+    return F.expr(f"transform({words}, w -> lower(w) IN ({','.join(f"'{t}'" for t in terms)}))") if terms else F.transform(words, lambda w: F.lit(False))
+
+
+def _few(terms: DataFrame) -> bool:
+    n = terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+    return n["n"] <= BROADCAST_TERMS and n["chars"] <= BROADCAST_CHARS
+
+
 def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, kinds) of texts (text): the terms that reveal a kind of personal data, and which.
 
@@ -137,7 +154,7 @@ def revealing_terms(texts: DataFrame, support: int = SUPPORT, disclosure: float
     with_kind = materialise(with_kind.where(F.col("n_tk") >= support), "with-kind")
     candidates = with_kind.select("term").distinct()
     everywhere = lines.select(F.explode(terms_of(without_emails(F.col("line")))).alias("term"))
-    if candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    if _few(candidates):
         everywhere = everywhere.join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         everywhere = everywhere.groupBy("term").agg(F.count("*").alias("n_t")).join(candidates, "term", "left_semi")
@@ -161,12 +178,15 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", suppor
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), F.col("text"))))
     base = materialise(rows.select("doc_id", key.alias("key"), base_spans(F.col("text")).alias("base")), "base")
     reveals = revealing_terms(rows, support, disclosure).select("term")
-    words = rows.select(key.alias("key"), without_emails(F.col("text")).alias("plain")).select("key", F.explode(_positions(F.col("plain"), WORD)).alias("w"))
-    words = words.select("key", F.lower("w.match").alias("term"), "w.start", "w.stop")
-    if reveals.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        found = words.join(F.broadcast(reveals), "term")
+    plain = rows.select(key.alias("key"), without_emails(F.col("text")).alias("plain"))
+    if _few(reveals):
+        terms = [r["term"] for r in reveals.collect()]
+        flagged = plain.withColumn("words", F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))).withColumn("keep", listed("words", terms))
+        places = flagged.where(F.exists("keep", lambda x: x)).select("key", F.explode(_positions(F.col("plain"), WORD, F.col("keep"))).alias("w"))
+        found = places.select("key", "w.start", "w.stop")
     else:
-        found = spread_join(words, reveals, ["term"])
+        words = plain.select("key", F.explode(_positions(F.col("plain"), WORD)).alias("w"))
+        found = spread_join(words.select("key", F.lower("w.match").alias("term"), "w.start", "w.stop"), reveals, ["term"])
     found = found.groupBy("key").agg(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "stop")).alias("terms"))
     out = spread_join(base, materialise(found, "terms"), ["key"], "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN)))).alias("spans"))
