@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, materialise, row_key, small_batches, spread_join, whole
+from .common import handing_back, made, materialise, remove, row_key, small_batches, spread_join, whole
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -27,9 +27,14 @@ WORDS, SIMILARITY, WIDE = 5, 0.8, 512
 TIED_SHARE, DEVIATIONS = 3 / 16, 5
 #: All pairs of groups up to this size are candidates at once; in larger ones, those that first links leave apart.
 SMALL = 32
+#: Rounds at most in which each set of a large group is compared to the nearest one that links leave apart, before all that
+#: are still apart are compared, and the share of a round's pairs that must be links for another. They only settle how many
+#: pairs need no comparison.
+ROUNDS, FRUITFUL = 6, 0.1
 #: Documents, taken by hash, whose shingles tell which ones are common, and how many of these are known to the tasks. It
 #: only settles an order, so the result does not depend on it.
 ORDER_DOCS, ORDER_TERMS = 5000, 50_000
+LINKS = "wide-links"
 #: Groups up to this size are compared as one matrix.
 MATRIX = 256
 #: Fingerprints whose keys are made at once, as each becomes many rows.
@@ -368,8 +373,9 @@ def _candidates(near: int, distance: int, similarity: float):
     return run
 
 
-def _apart(distance: int, similarity: float):
-    """Sorted rows of (t, k, i, j, node, root, at, n, fp) to all pairs (u, v, 0) of different roots that may be similar."""
+def _apart(distance: int, similarity: float, nearest: bool):
+    """Sorted rows of (t, k, i, j, node, root, at, n, fp) to pairs (u, v, 0) of different roots that may be similar: all of
+    them, or for each row that of the fewest differing bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, numbers, fps, bounds in _sorted_groups(batches):
@@ -377,10 +383,13 @@ def _apart(distance: int, similarity: float):
                 nodes, roots, at, n = numbers[s:e].T
                 u, v = [], []
                 if (roots != roots[0]).any():
-                    for a in range(e - s - 1):
-                        rest = slice(a + 1, None)
-                        other = np.flatnonzero((roots[rest] != roots[a]) & may_reach(n[rest], at[rest], n[a], at[a], similarity)) + a + 1
-                        other = other[differing(fps[s:e][other], fps[s + a]) <= distance]
+                    for a in range(e - s):
+                        rest = slice(0 if nearest else a + 1, None)
+                        other = np.flatnonzero((roots[rest] != roots[a]) & may_reach(n[rest], at[rest], n[a], at[a], similarity)) + rest.start
+                        bits = differing(fps[s:e][other], fps[s + a])
+                        other = other[bits <= distance]
+                        if nearest and len(other):
+                            other = other[[bits[bits <= distance].argmin()]]
                         u.append(np.full(len(other), nodes[a]))
                         v.append(nodes[other])
                 yield _three(u, v, [np.zeros(len(x), np.int64) for x in u])
@@ -404,7 +413,9 @@ def _hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (u, v), a written table, whose texts' shingles are as similar as that, compared in full."""
+    """Those of pairs (u, v), a written table, whose texts' shingles are as similar as that, compared in full; the shingles
+    are removed."""
+    before = made()
     small_batches(rows.sparkSession)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     ends = ends.join(sets.select("node", "body"), "node").select("node", "body")
@@ -412,7 +423,17 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarit
     hashes = materialise(bodies.mapInArrow(handing_back(_hash_sets), "node long, h binary"), "wide-sets")
     first = materialise(spread_join(pairs.select("u", "v"), hashes.toDF("u", "a"), ["u"]), "wide-firsts")
     both = spread_join(first, hashes.toDF("v", "z"), ["v"]).select("u", "v", "a", "z")
-    return materialise(both.mapInArrow(handing_back(_verified(similarity)), "u long, v long"), "wide-links")
+    links = materialise(both.mapInArrow(handing_back(_verified(similarity)), "u long, v long"), LINKS)
+    remove(pairs.sparkSession, [f for f in made() if f not in before and not f.endswith(LINKS)])
+    return links
+
+
+def _rooted_apart(large: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (node, k, at) of large whose key has several roots, with t, root, n and fp."""
+    rooted = materialise(large.join(roots, "node", "left").select("node", "k", "at", F.coalesce("root", "node").alias("root")), "wide-large")
+    several = rooted.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a != z").select("k")
+    apart = spread_join(rooted, several, ["k"]).join(sets.select("node", "n", "fp"), "node")
+    return materialise(apart.select("node", "root", "at", "n", F.lit(0).alias("t"), "k", "fp"), "wide-apart")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
@@ -423,8 +444,10 @@ def similar_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of shingles, and meet under shingles: of each set the first prefix_length() ones in an order that puts common ones
     last are its keys, and two sets of the similarity share one for certain. Pairs that share a key and differ by no more
     bits than the similarity explains, with DEVIATIONS to spare, are candidates, unless what follows the key in their
-    order is too little for the similarity; each is verified on all shingles. In groups over SMALL a spanning forest of close fingerprints goes first, and then all candidates whose ends the verified
-    links leave apart, so that a large group of copies costs no square of pairs. Equal sets of shingles collapse first;
+    order is too little for the similarity; each is verified on all shingles. In groups over SMALL a
+    spanning forest of close fingerprints goes first, then for ROUNDS rounds each set's nearest candidate among those that
+    the verified links leave apart, and then all candidates still apart, so that a large group of copies costs no square
+    of pairs. Equal sets of shingles collapse first;
     keys with very many sets are compared in chunks, as in links(). Null and empty texts are linked to each other, texts
     under five words are one shingle. Null or repeated identifiers as in near_groups(); other columns don't matter.
     """
@@ -449,16 +472,25 @@ def _similar_members(docs: DataFrame, text: str, doc_id: str, similarity: float,
     pairs = found.where("v >= 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     edges = _similar_pairs(materialise(pairs, "wide-pairs"), sets, rows, similarity)
     large = found.where("v < 0").select(F.col("u").alias("node"), "k", (-1 - F.col("v")).alias("at"))
-    if not large.isEmpty():
-        roots = components(edges)
-        large = materialise(large.join(roots, "node", "left").select("node", "k", "at", F.coalesce("root", "node").alias("root")), "wide-large")
-        several = large.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("n")).where("a != z").select("k")
-        large = materialise(spread_join(large, several, ["k"]).join(sets.select("node", "n", "fp"), "node").select("node", "root", "at", "n", F.lit(0).alias("t"), "k", "fp"), "wide-apart")
-        dealt = _dealt(large, large, ["node", "root", "at", "n", "fp"], large.count(), group).select("t", "k", "i", "j", "node", "root", "at", "n", "fp")
-        more = dealt.mapInArrow(handing_back(_apart(distance, similarity)), "u long, v long, k long")
-        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        edges = edges.unionByName(_similar_pairs(materialise(more, "wide-more"), sets, rows, similarity))
     roots = components(edges)
+    nearest, rounds = True, 0
+    while rounds or not large.isEmpty():
+        before = made()
+        apart = _rooted_apart(large, roots, sets)
+        if apart.isEmpty():
+            break
+        dealt = _dealt(apart, apart, ["node", "root", "at", "n", "fp"], apart.count(), group).select("t", "k", "i", "j", "node", "root", "at", "n", "fp")
+        more = dealt.mapInArrow(handing_back(_apart(distance, similarity, nearest)), "u long, v long, k long")
+        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more = materialise(more, "wide-more")
+        linked = _similar_pairs(more, sets, rows, similarity)
+        fruitful = linked.count() >= FRUITFUL * more.count()
+        remove(spark, [f for f in made() if f not in before and not f.endswith(LINKS)])
+        roots = components(roots.toDF("u", "v").unionByName(linked))
+        if not nearest:
+            break
+        rounds += 1
+        nearest = fruitful and rounds < ROUNDS
     known = materialise(sets.join(roots, "node", "left").select("sid", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
     first = known.groupBy("root").agg(F.min("least").alias("component_id"))
     members = materialise(spread_join(known, first, ["root"]).select("sid", "root", "component_id"), "wide-members")
