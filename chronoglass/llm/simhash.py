@@ -35,6 +35,9 @@ ROUNDS, FRUITFUL = 6, 0.1
 #: only settles an order, so the result does not depend on it.
 ORDER_DOCS, ORDER_TERMS = 5000, 50_000
 LINKS = "wide-links"
+#: Texts to compare are picked from the corpus by a broadcast of their hashes up to this number (some 60 bytes each), which is
+#: counted; more meet in a shuffle of all texts.
+BROADCAST_ENDS = 250_000
 #: Groups up to this size are compared as one matrix.
 MATRIX = 256
 #: Fingerprints whose keys are made at once, as each becomes many rows.
@@ -418,7 +421,9 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, similarit
     before = made()
     small_batches(rows.sparkSession)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ends = ends.join(sets.select("node", "body"), "node").select("node", "body")
+    ends = materialise(ends.join(sets.select("node", "body"), "node").select("node", "body"), "wide-ends")
+    if ends.count() <= BROADCAST_ENDS:
+        ends = F.broadcast(ends)
     bodies = rows.select("body", "text").join(ends, "body").dropDuplicates(["node"]).select("node", "text")
     hashes = materialise(bodies.mapInArrow(handing_back(_hash_sets), "node long, h binary"), "wide-sets")
     first = materialise(spread_join(pairs.select("u", "v"), hashes.toDF("u", "a"), ["u"]), "wide-firsts")
