@@ -68,11 +68,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+#: Caches that a worker keeps from task to task, as filling them is costly; only tasks of the same operator use them.
+_caches: list = []
+
+
+def kept_by_worker(cached):
+    """cached, a function with a cache, such that tasks of other operators empty it."""
+    _caches.append(cached)
+    return cached
+
+
+def empty_caches() -> None:
+    full = [x for x in _caches if x.cache_info().currsize]
+    for cached in full:
+        cached.cache_clear()
+    if full:
+        gc.collect()  # an encoder and its stores refer to each other
+
+
 def handing_back(run):
     """run, a function of batches, such that its worker hands unused memory back to the system at the end of a task:
-    workers are kept for later tasks, and what one stage needed would be held through all others."""
+    workers are kept for later tasks, and what one stage needed would be held through all others. What another operator
+    keeps in the worker goes first."""
 
     def held(batches):
+        empty_caches()
         try:
             yield from run(batches)
         finally:

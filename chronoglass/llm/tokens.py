@@ -11,6 +11,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import kept_by_worker
+
 END = 2
 #: Units, and pieces of them, that a Python worker keeps of the two newest generations; the longest unit it keeps.
 STORE, LONGEST = 250_000, 48
@@ -113,9 +115,10 @@ class Encoder:
                 yield b"".join(map(get, (t if t.isascii() else unicodedata.normalize("NFC", t)).split()))
 
 
+@kept_by_worker
 @lru_cache(maxsize=4)
 def encoder(path: str, size: int = STORE) -> Encoder:
-    """One per Python worker and file, so that its store outlives a task."""
+    """One per Python worker and file, so that its store outlives a task, until a task of another operator comes."""
     return Encoder(path, size)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import importlib.metadata
 import re
 import time
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronoglass.llm import decontam, exact_dedup, graph, html_text, language, license, line_dedup, packing, pii, queries, simhash, token_files
+from chronoglass.llm import common, decontam, exact_dedup, graph, html_text, language, license, line_dedup, packing, pii, queries, simhash, token_files, tokens
 from chronoglass.llm.tokens import Encoder, public
 
 LONG = "x" * 40_000 + " " + "word " * 9000 + "12 " * 3000
@@ -273,6 +274,13 @@ def test_components_of_paths_and_hubs(spark):
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(300)}
 
 
+def test_other_operators_empty_the_token_store():
+    store = weakref.ref(tokens.encoder(public("word_bpe_49k.json"), 1000))
+    assert tokens.encoder(public("word_bpe_49k.json"), 1000) is store()
+    assert list(common.handing_back(lambda batches: (b for b in batches))([1, 2])) == [1, 2]
+    assert store() is None and tokens.encoder.cache_info().currsize == 0
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder(name, corpus):
     enc, fresh = Encoder(public(name)), Tokenizer.from_file(public(name))
