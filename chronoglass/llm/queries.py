@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_text, language, license, line_dedup, packing, pii, simhash, token_files
+from . import decontam, exact_dedup, html_text, language, license, line_dedup, manifest, packing, pii, simhash, token_files
 from .common import LOWER, UPPER, table
 from .tokens import public
 
@@ -60,11 +60,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every proof is folded from the leaf that the row has after a seventh of the rows had n_chars raised by 1."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    out = manifest.document_manifest(table(spark, sf_dir, "documents"), altered={"n_chars": tampered})
+    out = out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), manifest.fold(F.col("other_leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash, op11_manifest)}
 
 _LOW = f"translate({{}}, '{UPPER}', '{LOWER}')"
 _KEY = _LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_CRC32 = """xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 SQL = {
     "op4_lines": f"""
 WITH lines AS (
@@ -79,4 +96,39 @@ FROM marked GROUP BY doc_id""",
 WITH n AS (SELECT doc_id, {_LOW.format("coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op11_manifest": f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, {_leaf("n_chars")} AS h,
+         CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS other
+  FROM documents
+), nodes AS (
+  SELECT lang, 0 AS level, i, n, h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(next, ''))
+  FROM (SELECT *, lead(h) OVER (PARTITION BY lang, level ORDER BY i) AS next FROM nodes WHERE n > 1) WHERE i % 2 = 0
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(h || coalesce(next, ''))
+  FROM (SELECT *, lead(h) OVER (PARTITION BY level ORDER BY i) AS next FROM tops WHERE n > 1) WHERE i % 2 = 0
+), paths AS (
+  SELECT l.lang, l.i, list(x.h ORDER BY s.level) AS siblings, list((l.i >> s.level) & 1 ORDER BY s.level) AS bits
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) s ON s.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN nodes x ON x.lang IS NOT DISTINCT FROM l.lang AND x.level = s.level AND x.i = xor(l.i >> s.level, 1) GROUP BY ALL
+), top_paths AS (
+  SELECT r.lang, list(x.h ORDER BY s.level) AS siblings, list((r.i >> s.level) & 1 ORDER BY s.level) AS bits
+  FROM subroots r JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) s ON true LEFT JOIN tops x ON x.level = s.level AND x.i = xor(r.i >> s.level, 1) GROUP BY ALL
+), whole AS (
+  SELECT l.doc_id, l.h AS leaf, r.subroot, (SELECT h FROM tops WHERE n = 1) AS root, coalesce(p.siblings, []) || coalesce(t.siblings, []) AS siblings, coalesce(p.bits, []) || coalesce(t.bits, []) AS bits, l.other AS h, 1 AS k
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN paths p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i LEFT JOIN top_paths t ON t.lang IS NOT DISTINCT FROM l.lang
+), folded AS (
+  SELECT * FROM whole
+  UNION ALL
+  SELECT * REPLACE (k + 1 AS k, sha256(CASE WHEN bits[k] = 1 THEN siblings[k] || h ELSE h || coalesce(siblings[k], '') END) AS h) FROM folded WHERE k <= len(bits)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_filter(siblings, lambda x: x IS NOT NULL), '')) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM folded WHERE k = len(bits) + 1""",
 }
