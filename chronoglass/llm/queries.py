@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_text, language, license, line_dedup, manifest, packing, pii, simhash, token_files
+from . import decontam, exact_dedup, html_text, language, license, line_dedup, manifest, packing, pii, quality, simhash, token_files
 from .common import LOWER, UPPER, table
 from .tokens import public
 
@@ -68,7 +68,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash, op11_manifest)}
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash, op11_manifest, op12_quality)}
 
 _LOW = f"translate({{}}, '{UPPER}', '{LOWER}')"
 _KEY = _LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
@@ -131,4 +136,29 @@ WITH RECURSIVE leaves AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_filter(siblings, lambda x: x IS NOT NULL), '')) AS proof_sha256, h AS folded_root, h = root AS verified
 FROM folded WHERE k = len(bits) + 1""",
+    "op12_quality": f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, source, md5(coalesce(text, '')) AS t, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS words FROM documents
+), lines AS (SELECT r, source, t, unnest(string_split(text, chr(10))) AS line FROM docs
+), keyed AS (
+  SELECT r, source, t, line, {_LOW.format("regexp_replace(trim(regexp_replace(line, '[ \\t-\\r]+', ' ', 'g')), '[1-9]', '0', 'g')")} AS key FROM lines
+), worded AS (SELECT * FROM keyed WHERE key <> ''
+), common AS (
+  SELECT k.source, key FROM worded k GROUP BY k.source, key
+  HAVING count(DISTINCT t) > {quality.LINE_DOCS} AND count(DISTINCT t) * 100 > {quality.LINE_PERCENT} * (SELECT count(DISTINCT t) FROM docs d WHERE d.source IS NOT DISTINCT FROM k.source)
+), lost AS (
+  SELECT r, sum(len(string_split(k.key, ' '))) AS n FROM worded k JOIN common c ON c.key = k.key AND c.source IS NOT DISTINCT FROM k.source GROUP BY r
+), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r
+), grams AS (
+  SELECT r, i, words[i : i + {quality.WINDOW - 1}] AS g FROM (SELECT r, words, unnest(range(1, len(words) - {quality.WINDOW - 2})) AS i FROM docs)
+), often AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), inside AS (SELECT r, count(DISTINCT i + k) AS n FROM often, range({quality.WINDOW}) AS w(k) GROUP BY r
+), counted AS (
+  SELECT d.r, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(u.n, 0) AS n_dup_lines, coalesce(i.n, 0) AS n_repeat_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lost_words
+  FROM docs d LEFT JOIN dup u USING (r) LEFT JOIN inside i USING (r) LEFT JOIN lost l USING (r)
+), judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_words, base_failed,
+       NOT base_failed AND 100 * (n_words - n_lost_words) >= {quality.LEFT_PERCENT} * n_words AS kept FROM judged""",
 }
