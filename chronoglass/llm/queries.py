@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_text, language, license, line_dedup, manifest, packing, pii, quality, simhash, token_files
+from . import alignment, decontam, exact_dedup, html_text, language, license, line_dedup, manifest, packing, pii, quality, simhash, token_files
 from .common import LOWER, UPPER, table
 from .tokens import public
 
@@ -73,7 +73,11 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash, op11_manifest, op12_quality)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), public("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license, op2_pii, op3_html, op4_lines, op5_exact, op6_language, op7_packing, op8_decontamination, op9_token_files, op10_simhash, op11_manifest, op12_quality, op13_alignment)}
 
 _LOW = f"translate({{}}, '{UPPER}', '{LOWER}')"
 _KEY = _LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
