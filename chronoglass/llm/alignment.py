@@ -12,79 +12,91 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import handing_back, kept_by_worker, materialise, small_batches, spread_join
-from .tokens import Encoder, Kept, _byte_letters
+from .tokens import _LATIN, _ODD, Encoder
 
 #: Id pairs up to which their counts are broadcast; they are counted first, and more meet in a shuffle.
 BROADCAST_PAIRS = 1_000_000
-STORE = 250_000
 SPACE = "▁"
+#: The first character of three bytes.
+TWO_BYTES = "\u0800"
 LOW = (1 << 31) - 1
 #: On a mark that is B's, on a link that closes its group, and instead of a link for a mark that gives none.
 B_MARK, CLOSES, NONE = 1 << 31, 1 << 62, -1
+#: Stands before the first closing link; that is less than a step from it, if its group is one token of each side.
+START = CLOSES - LOW - 2
 
 
-class BytePieces(Encoder):
-    """A byte-level tokenizer's ids of space and text, special tokens' strings as plain text, and each token's bytes."""
+class BytePieces:
+    """A byte-level tokenizer's ids of space and text, special tokens' strings as plain text, and each token's bytes.
 
-    def __init__(self, path: str, size: int = STORE):
-        super().__init__(path, size)
+    The file's merges are in the order of their ids, so these are ranks, by which tiktoken encodes. A file where they are
+    not goes through the tokenizers library, and so do texts that are not Latin, as the two may know other versions of
+    Unicode's letters.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        own = Encoder(path, 1)
+        self.tok = own.tok
         self.tok.encode_special_tokens = True
-        self.marks = set()
-        byte_of = {chr(b): b for b in range(256)} | {letter: b for b, letter in self.letters.items()}
-        vocabulary = self.tok.get_vocab()
-        self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        byte_of = {chr(b): b for b in range(256)} | {letter: b for b, letter in own.letters.items()}
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        vocabulary = {t: i for t, i in self.tok.get_vocab().items() if t not in special}
+        self.bytes = [b""] * (max(self.tok.get_vocab().values()) + 1)
         for token, i in vocabulary.items():
-            self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+            self.bytes[i] = bytes(map(byte_of.get, token))
+        with open(path, "rb") as f:
+            merged = [x if isinstance(x, list) else x.split(" ") for x in json.load(f)["model"]["merges"]]
+        order = [vocabulary[a + b] for a, b in merged]
+        self.ranked = order == sorted(order) and own.spaced
+        self.bpe = tiktoken.Encoding("ids-are-ranks", pat_str=PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocabulary.values()}, special_tokens={}) if self.ranked else None
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        return self.encode([" " + t for t in texts])
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked and max(text) < _LATIN and not _ODD(text):
+            return self.bpe.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int32)
+        return np.array(self.tok.encode(" " + text, add_special_tokens=False).ids, np.int32)
 
 
 class SentencePieces:
-    """A sentencepiece model's ids of texts, unit by unit, and each piece's bytes.
+    """A sentencepiece BPE model's ids of texts, before which it puts a space, and each piece's bytes.
 
-    No piece of the models this is for holds a space after another character, or a line's end, so no merge crosses the
-    place before a run of spaces or a \\n; texts with two spaces in a row or one at the end go through the library whole,
-    and so do all texts of a model that has other pieces.
+    The model merges characters in the order of the pieces' scores. Where all characters of a text have one or two bytes,
+    merges of bytes give the same if those that make a character come first, then the pieces by score, and what no piece
+    holds stays bytes; tiktoken encodes by these ranks, run of spaces and word by word, as no piece holds a space after
+    another character. Other texts, and models with other pieces, go through the library.
     """
 
-    def __init__(self, path: str, size: int = STORE):
+    def __init__(self, path: str):
         import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        known = {p: i for i, p in enumerate(pieces)}
-        self.space, self.end = (self._packed([known.get(p, 0)]) for p in (SPACE, "<0x0A>"))
-        self.whole = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces) or self.plain("\n") != self.space + self.end
-        self.first, self.inner = Kept(lambda u: self.plain(u) if u else self.space, size), Kept(lambda u: self.plain("\n" + u)[8:], size)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def plain(self, text: str) -> bytes:
-        return self._packed(self.model.encode(text, num_threads=1))
-
-    def _unit(self, unit: str) -> bytes:
-        if "\n" not in unit:
-            return self.first[unit]
-        first, *rest = unit.split("\n")
-        return self.first[first] + b"".join(self.end + (self.inner[x] if x else b"") for x in rest)
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        self.first.turn()
-        self.inner.turn()
-        for t in texts:
-            if self.whole or not t or t.startswith(" ") or t.endswith(" ") or "  " in t or SPACE in t:
-                yield self.plain(t)
-            else:
-                yield b"".join(map(self._unit, t.split(" ")))
+        import tiktoken
+
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
+        self.bytes = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        normal = [i for i in range(len(pieces)) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        self.ranked = not any(SPACE in p.lstrip(SPACE) for p in pieces) and sum(map(m.is_byte, range(len(pieces)))) == 256
+        ids, ranks = dict.fromkeys(range(256), 0), {bytes([b]): b for b in range(256)}
+        ids |= {self.bytes[i][0]: i for i in range(len(pieces)) if m.is_byte(i)}
+        ids |= {self.bytes[i][0]: i for i in normal if len(self.bytes[i]) == 1}
+        first = [i for i in normal if len(pieces[i]) == 1 and len(self.bytes[i]) == 2]
+        for i in [*first, *sorted((i for i in normal if len(pieces[i]) > 1), key=lambda i: -m.get_score(i))]:
+            ids[len(ids)], ranks[self.bytes[i]] = i, len(ids)
+        self.table = np.array(list(ids.values()), np.int32)
+        self.bpe = tiktoken.Encoding("scores-are-ranks", pat_str=r" *[^ ]+| +", mergeable_ranks=ranks, special_tokens={}) if self.ranked else None
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranked and max(text) < TWO_BYTES and SPACE not in text:
+            return self.table[self.bpe.encode_to_numpy(" " + text, disallowed_special=())]
+        return np.array(self.model.encode(text, num_threads=1), np.int32)
 
 
 @kept_by_worker
 @lru_cache(maxsize=2)
-def pieces(kind: str, path: str) -> BytePieces | SentencePieces:
+def side(kind: str, path: str) -> BytePieces | SentencePieces:
     return (BytePieces if kind == "a" else SentencePieces)(path)
 
 
@@ -92,23 +104,30 @@ def _tokens(path_a: str, path_b: str):
     kinds = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *((f"{s}_{c}", pa.list_(pa.int32())) for s in "ab" for c in ("ids", "ends"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [pieces("a", path_a), pieces("b", path_b)]
-        lengths = [np.array([len(x) for x in s.bytes], np.int32) for s in sides]
+        sides = [side("a", path_a), side("b", path_b)]
+        known = [pa.array(s.bytes, pa.binary()) for s in sides]
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
-            found = [[], []]
-            for t, *both in zip(texts, *(s.ids(texts) for s in sides), strict=True):
-                ids = [np.frombuffer(x, "<i4") for x in both]
-                raw = (" " + t).encode()
-                same = t and all(b"".join(map(s.bytes.__getitem__, x.tolist())) == raw for s, x in zip(sides, ids, strict=True))
-                for k in range(2):
-                    found[k].append(ids[k] if same else ids[k][:0])
+            raws = [(" " + t).encode() for t in texts]
+            found, same = [], [bool(t) for t in texts]
+            for s, table in zip(sides, known, strict=True):
+                ids = [s.ids(t) if t else np.zeros(0, np.int32) for t in texts]
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+                flat = np.concatenate([np.zeros(0, np.int32), *ids])
+                joined = table.take(pa.array(flat))  # all tokens' bytes, one after another
+                ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+                data = memoryview(joined.buffers()[2] or b"").cast("B")
+                at = ends[cuts]
+                same = [ok and data[x:y] == raw for ok, x, y, raw in zip(same, at[:-1].tolist(), at[1:].tolist(), raws, strict=True)]
+                found.append((flat, ends, cuts, at))
+            keep = np.array(same, bool)
             columns = [b.column(0), b.column(1)]
-            for k in range(2):
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found[k]])]).astype(np.int32)
-                flat = np.concatenate(found[k]) if len(texts) else np.zeros(0, np.int32)
-                places = np.concatenate([np.cumsum(lengths[k][x], dtype=np.int32) for x in found[k]]) if len(texts) else flat
-                columns += [pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for v in (flat, places)]
+            for flat, ends, cuts, at in found:
+                n = np.diff(cuts)
+                inside = np.repeat(keep, n)
+                places = ends[1:] - np.repeat(at[:-1], n)
+                lists = pa.array(np.concatenate([[0], np.cumsum(n * keep)]).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(lists, pa.array(v[inside], pa.int32())) for v in (flat, places)]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
     return run
@@ -124,38 +143,28 @@ def token_ends(docs: DataFrame, path_a: str, path_b: str, text: str = "text", do
     return rows.mapInArrow(handing_back(_tokens(path_a, path_b)), kinds)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: inside a lambda a plain expression would be computed for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _end(mark: Column) -> Column:
-    return F.shiftright(mark, 32)
-
-
 def _marks() -> Column:
     """Both sides' ends in order as end, side and index; where both end, A's comes first."""
 
-    def side(ends: str, flag: int) -> Column:
-        return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long") + F.lit(flag)))
+    def of(ends: str, flag: int) -> Column:
+        return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(flag)))
 
-    return F.sort_array(F.concat(side("a_ends", 0), side("b_ends", B_MARK)))
+    return F.sort_array(F.concat(of("a_ends", 0), of("b_ends", B_MARK)))
 
 
-def _links(marks: Column) -> Column:
-    """A link as index in A, index in B, and whether it closes a group, for each stretch between two marks.
+def _link(x: Column, j: Column) -> Column:
+    """A link as index in A, index in B, and whether it closes a group, for the stretch that ends at mark x of `marks`.
 
     Before the k-th mark of a side, at place j of all, there are j - k of the other: the index of the token that overlaps.
+    A stretch ends once: of the two marks of a common end, A's is the link's.
     """
-
-    def link(x: Column, j: Column) -> Column:
-        own = x.bitwiseAND(F.lit(LOW))
-        other = j.cast("long") - own
-        of_b = F.when(_end(F.get(marks, j - 1)) == _end(x), F.lit(NONE)).otherwise(F.shiftleft(other, 31).bitwiseOR(own))
-        of_a = F.shiftleft(own, 31).bitwiseOR(other) + F.when(_end(F.get(marks, j + 1)) == _end(x), F.lit(CLOSES)).otherwise(F.lit(0))
-        return F.when(x.bitwiseAND(F.lit(B_MARK)) == 0, of_a).otherwise(of_b)
-
-    return F.array_remove(F.transform(marks, link), F.lit(NONE))
+    own = x.bitwiseAND(F.lit(LOW))
+    of_a = own * F.lit(LOW) + j  # own * 2**31 + (j - own)
+    of_b = F.shiftleft(j - own, 31) + own
+    end = F.shiftright(x, 32)
+    closes = F.shiftright(F.get("marks", j + 1), 32) == end
+    twice = F.shiftright(F.get("marks", j - 1), 32) == end
+    return F.when(x.bitwiseAND(F.lit(B_MARK)) == 0, F.when(closes, of_a + F.lit(CLOSES)).otherwise(of_a)).otherwise(F.when(twice, F.lit(NONE)).otherwise(of_b))
 
 
 def _a(link: Column) -> Column:
@@ -166,49 +175,45 @@ def _b(link: Column) -> Column:
     return link.bitwiseAND(F.lit(LOW)).cast("int")
 
 
-def _counted(pairs: Column) -> Column:
-    """(pair, times) for each different one of sorted pairs."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda j: (j == 0) | (F.get(pairs, j) != F.get(pairs, j - 1)))
-    return let(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(pairs, p).alias("pair"), (F.coalesce(F.get(s, k + 1), F.size(pairs)) - p).alias("times"))))
-
-
-def _text(links: Column) -> Column:
-    """Groups as `a1,a2|b1;a3|b2,b3`."""
+def _group(link: Column, k: Column) -> Column:
+    """The k-th group's text, `a1,a2|b1`, from its closing link and the one before in `cuts`, which begins with one at -1."""
+    before = F.get("cuts", k)
+    single = F.concat(F.get("a_text", _a(link)), F.lit("|"), F.get("b_text", _b(link)))
 
-    def part(ids: Column, low: Column, high: Column) -> Column:
-        return F.when(high - low == 1, F.get(ids, low)).otherwise(F.array_join(F.slice(ids, low + 1, high - low), ","))
+    def part(text: str, at: Callable[[Column], Column]) -> Column:
+        low = at(before) + 1
+        return F.array_join(F.slice(text, low + 1, at(link) + 1 - low), ",")
 
-    def group(cuts: Column, a: Column, b: Column) -> Column:
-        def one(v: Column, k: Column) -> Column:
-            before = F.get(cuts, k - 1)
-            low_a, low_b = (F.coalesce(at(before) + 1, F.lit(0)) for at in (_a, _b))
-            return F.concat(part(a, low_a, _a(v) + 1), F.lit("|"), part(b, low_b, _b(v) + 1))
-
-        return F.array_join(F.transform(cuts, one), ";")
-
-    kind = "array<string>"
-    return let(F.filter(links, lambda v: v >= F.lit(CLOSES)), lambda cuts: let(F.col("a_ids").cast(kind), lambda a: let(F.col("b_ids").cast(kind), lambda b: group(cuts, a, b))))
+    first = before == F.lit(START)
+    low = lambda at: F.when(first, F.lit(-1)).otherwise(at(before))
+    many = F.concat(part("a_text", lambda x: _a(x) if x is link else low(_a)), F.lit("|"), part("b_text", lambda x: _b(x) if x is link else low(_b)))
+    return F.when(link - before == F.lit(LOW + 2), single).otherwise(many)
 
 
 def align(tokens: DataFrame) -> DataFrame:
     """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of token_ends(): groups end where both sides do,
-    links are the pairs of tokens that overlap, pairs are their different ids (A's in the high 32 bits) with times."""
+    links are the pairs of tokens that overlap, pairs are their ids (A's in the high 32 bits), sorted, repeats included.
 
-    def pairs(links: Column) -> Column:
-        made = F.transform(links, lambda v: F.shiftleft(F.get("a_ids", _a(v)).cast("long"), 32).bitwiseOR(F.get("b_ids", _b(v)).cast("long")))
-        return let(F.sort_array(made), _counted)
-
-    done = let(_marks(), lambda m: let(_links(m), lambda l: F.struct(F.size(l).alias("n_links"), F.sha2(_text(l), 256).alias("groups_sha256"), pairs(l).alias("pairs"))))
-    some = F.size("a_ids") > 0
+    Each step is a column of its own, which the next reads several times: so it is made once, and sorting runs compiled
+    on plain numbers. Every step is linear in the tokens, but for that sort.
+    """
+    own, size = ["rid", "doc_id", "n_a", "n_b", "n_groups"], lambda c: F.size(c).cast("long")
     common = F.array_intersect("a_ends", "b_ends")
-    rows = tokens.select("rid", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size(common).cast("long").alias("n_groups"), F.when(some, done).alias("d"))
-    return rows.select("rid", "doc_id", "n_a", "n_b", "n_groups", F.coalesce("d.n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("d.groups_sha256", F.lit("")).alias("groups_sha256"), "d.pairs")
+    rows = tokens.select("rid", "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size(common).alias("n_groups"), "a_ids", "b_ids", _marks().alias("marks"))
+    rows = rows.select(*own, "a_ids", "b_ids", F.array_remove(F.transform("marks", _link), F.lit(NONE)).alias("links"))
+    id_at = lambda ids, k: F.coalesce(F.get(ids, k), F.lit(0)).cast("long")
+    pairs = F.transform("links", lambda v: F.shiftleft(id_at("a_ids", _a(v)), 32) + id_at("b_ids", _b(v)))
+    cuts = F.concat(F.array(F.lit(START)), F.filter("links", lambda v: v >= F.lit(CLOSES)))
+    text = lambda c: F.col(c).cast("array<string>")
+    rows = rows.select(*own, size("links").alias("n_links"), F.sort_array(pairs).alias("pairs"), cuts.alias("cuts"), text("a_ids").alias("a_text"), text("b_ids").alias("b_text"))
+    groups = F.array_join(F.transform(F.slice("cuts", 2, F.size("cuts")), _group), ";")
+    return rows.select(*own, "n_links", F.when(F.col("n_a") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"), "pairs")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n_docs, best) of align(), written: in how many documents an id pair is linked, and whether no other pair of
     its A id is in more. An A id has at most as many pairs as B has ids."""
-    counts = aligned.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
+    counts = aligned.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
     top = F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return materialise(counts.withColumn("best", F.col("n_docs") == top), "pair-counts")
 
@@ -227,8 +232,11 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc
     """
     aligned = materialise(align(token_ends(docs, path_a, path_b, text, doc_id)), "aligned")
     counts = pair_counts(aligned)
-    held = aligned.select("rid", F.explode("pairs").alias("p")).select("rid", "p.pair", "p.times")
-    met = held.join(F.broadcast(counts), "pair") if counts.count() <= broadcast_pairs else spread_join(held, counts, ["pair"])
+    held = aligned.select("rid", F.explode("pairs").alias("pair"))
+    if counts.count() <= broadcast_pairs:
+        met = held.join(F.broadcast(counts), "pair").withColumn("times", F.lit(1))
+    else:
+        met = spread_join(materialise(held.groupBy("rid", "pair").agg(F.count("*").alias("times")), "pairs-held"), counts, ["pair"])
     sums = met.groupBy("rid").agg(F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
     return aligned.drop("pairs").join(sums, "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")
