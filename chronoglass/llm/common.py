@@ -136,3 +136,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(text: str, doc_id: str) -> Column:
     """The identifier, null-safe, and a hash of the text, as one string."""
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.md5(whole(text).cast("string")))
+
+
+def keyed_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(row_key, row): docs with all columns as one, by place, so that no name of theirs clashes with others."""
+    return docs.select(row_key(text, doc_id).alias("row_key"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
+
+
+def unkeyed_rows(keyed: DataFrame, columns: list[str]) -> DataFrame:
+    return keyed.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """docs without the rows whose row_key is among keys; columns as they are."""
+    return unkeyed_rows(keyed_rows(docs, text, doc_id).join(keys.distinct(), "row_key", "left_anti"), docs.columns)

@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, materialise, row_key, small_batches, spread_join
+from .common import handing_back, materialise, row_key, small_batches, spread_join, without_rows
 
-#: Words of a seed.
-SEED = 3
+#: Words of a seed: the fewest at which few items hold it. At the most, it counts as a leak by itself.
+LADDER = (3, 5, 8, 13)
+#: Items that may share a seed; one that more share gives way to the longer ones around it.
+SEED_ITEMS = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Part of the score of a perfect copy at which a passage counts as leaked.
 LEAK = 0.5
@@ -139,12 +141,38 @@ def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _seeds_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All n-grams of each item at each step of the ladder, the last of which is the whole item if that is short."""
     for b in batches:
         for ino, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = np.frombuffer(raw, np.uint64)
-            width = min(SEED, len(words))
-            codes = gram_codes(words, width) if width else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), ino)), pa.array(codes), pa.array(np.arange(len(codes))), pa.array(np.full(len(codes), width))], names=["ino", "code", "q", "width"])
+            for step, width in enumerate(sorted({min(w, len(words)) for w in LADDER} - {0})):
+                codes = gram_codes(words, width)
+                n = len(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ino)), pa.array(codes), pa.array(np.arange(n)), pa.array(np.full(n, width)), pa.array(np.full(n, step)), pa.array(np.full(n, width == min(LADDER[-1], len(words))))], names=["ino", "code", "q", "width", "step", "last"])
+
+
+def rare_seeds(grams: DataFrame, items: int = SEED_ITEMS) -> DataFrame:
+    """(ino, code, q, width), written: of an item's n-grams, those that at most `items` items hold, or that are the
+    ladder's last, but for longer ones that need none: at each step only n-grams around one too common of the step before
+    go on. So a passage that shares a rare n-gram with an item meets it, and a common n-gram alone brings nobody together."""
+    spark, out = grams.sparkSession, None
+    held = grams.groupBy("code").agg(F.count_distinct("ino").alias("items"))
+    grams = materialise(grams.join(held, "code").withColumn("common", (F.col("items") > items) & ~F.col("last")), "seeds-all")
+    open_at = None
+    for step in range(len(LADDER)):
+        here = grams.where(F.col("step") == step)
+        if open_at is not None:
+            around = open_at.withColumnRenamed("width", "short").withColumn("long", F.least(F.lit(LADDER[step]), F.col("n")))
+            around = around.select("ino", F.explode(F.sequence(F.greatest(F.col("q") + F.col("short") - F.col("long"), F.lit(0).cast("long")), F.least("q", F.col("n") - F.col("long")))).alias("q")).distinct()
+            here = here.join(around, ["ino", "q"], "left_semi")
+        here = materialise(here, "seeds-step")
+        found = here.where("NOT common").select("ino", "code", "q", "width")
+        out = found if out is None else out.unionByName(found)
+        sizes = grams.groupBy("ino").agg(F.max(F.col("q") + F.col("width")).alias("n"))
+        open_at = here.where("common").select("ino", "q", "width").join(sizes, "ino")
+        if open_at.isEmpty():
+            break
+    return materialise(out, "seeds") if out is not None else spark.createDataFrame([], "ino long, code long, q long, width long")
 
 
 def _set_bits(log: int):
@@ -202,14 +230,15 @@ def _align(leak: float):
 def contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", leak: float = LEAK) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, seeds): a row per row of docs and item with a passage like the item.
 
-    Seeds are the items' n-grams of three words, all of them: a passage that leaked often is common for that, and an
-    edited copy may keep no other. One pass over the documents keeps the n-grams that a filter of the seeds, of bounded
+    Seeds are the items' n-grams of three words that at most SEED_ITEMS items hold; around those that more items hold, of
+    five, eight and at last thirteen words, or the whole item. How many documents hold one doesn't matter: a passage that
+    leaked often is common for that. So an n-gram brings a passage to few items, unless it is a leak itself. One pass over the documents keeps the n-grams that a filter of the seeds, of bounded
     size, lets through, with the words around them as far as an edited copy may reach. They join the seeds, so that each
     passage meets the items it shares one with, and there the item is aligned, unless the words can't score enough in any
     order. Items whose best local alignment (match 2, mismatch and gap -1) reaches `leak` of a perfect copy's score, or
     that of LEAK_WORDS words in a row, are found. score is the part of a perfect copy's, 1 for a copy; words count
     without bare punctuation; seeds is the number of n-grams shared around there. So a passage that reaches the score is
-    found if three words in a row survive in it, however common.
+    found if three words in a row survive in it that few items share, or more words in a row where these are in many.
 
     Frequent n-grams, long documents and frequent items are met by spread_join. Null or empty texts and items match
     nothing; items of fewer than three words match all their words in a row; a null identifier is carried as null;
@@ -224,9 +253,9 @@ def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, ite
     small_batches(spark)
     items = bench.select(F.monotonically_increasing_id().alias("ino"), F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
     items = materialise(items.mapInArrow(_words_of_items, "ino long, item_id long, item binary"), "items")
-    seeds = materialise(items.select("ino", "item").mapInArrow(_seeds_of_items, "ino long, code long, q long, width long"), "seeds")
+    seeds = rare_seeds(items.select("ino", "item").mapInArrow(_seeds_of_items, "ino long, code long, q long, width long, step long, last boolean"))
     size, longest = items.agg(F.sum(F.length("item")), F.max(F.length("item"))).first()
-    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # 1 to 3
+    widths = sorted(r["width"] for r in seeds.select("width").distinct().collect())  # 1 to 13
     log = min(FILTER_LOG, max(16, int(np.ceil(np.log2(max(1, FILTER_BITS * seeds.count()))))))
     bits = np.zeros(1 << log - 3, np.uint8)
     set_bits = seeds.select("code").mapInArrow(_set_bits(log), "part long, bit long").groupBy("part").agg(F.call_function("bitmap_construct_agg", "bit").alias("bits"))
@@ -236,11 +265,12 @@ def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, ite
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), row_key(text, doc_id).alias("row_key"), F.col(text).cast("string").alias("text"))
     if not widths:
         rows = rows.limit(0)
-    reach = (longest or 0) // 8 + slack((longest or 0) // 8) + SEED
+    reach = (longest or 0) // 8 + slack((longest or 0) // 8) + LADDER[-1]
     found = rows.mapInArrow(handing_back(_passages(bits, log, widths, reach)), "rid long, doc_id long, row_key string, begin long, words binary, codes array<long>, places array<long>")
     found = materialise(found.withColumn("pid", F.monotonically_increasing_id()), "passages")
     grams = materialise(found.select("pid", F.explode(F.arrays_zip("codes", "places")).alias("g")).select("pid", F.col("g.codes").alias("code"), F.col("g.places").alias("p")), "grams")
-    starts = spread_join(grams, seeds.select("code", "ino", "q"), ["code"]).groupBy("pid", "ino").agg(F.sort_array(F.collect_list(F.col("p") - F.col("q"))).alias("starts"))
+    held = seeds.groupBy("code").agg(F.collect_list(F.struct("ino", "q")).alias("held"))  # of few items, or of equal passages
+    starts = spread_join(grams, held, ["code"]).select("pid", "p", F.explode("held").alias("s")).select("pid", "p", "s.ino", "s.q").groupBy("pid", "ino").agg(F.sort_array(F.collect_list(F.col("p") - F.col("q"))).alias("starts"))
     starts = materialise(starts, "starts")
     passages = found.select("pid", "rid", "doc_id", "row_key", "begin", "words")
     if (size or 0) <= BROADCAST_BYTES:
@@ -255,5 +285,4 @@ def _contaminated(docs: DataFrame, bench: DataFrame, text: str, doc_id: str, ite
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the rows that hold a benchmark passage, whatever their identifiers; columns as they are."""
-    lost = _contaminated(docs, bench, text, doc_id).select(F.col("row_key").alias("__row_key")).distinct()
-    return docs.withColumn("__row_key", row_key(text, doc_id)).join(lost, "__row_key", "left_anti").drop("__row_key")
+    return without_rows(docs, _contaminated(docs, bench, text, doc_id).select("row_key"), text, doc_id)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import handing_back, made, materialise, remove, row_key, small_batches, spread_join, whole
+from .common import handing_back, keyed_rows, made, materialise, remove, small_batches, spread_join, unkeyed_rows, whole
 from .graph import components
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -512,6 +512,6 @@ def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simil
     rows = materialise(_similar_members(docs, text, doc_id, similarity, GROUP).select("doc_id", "body", "root"), "wide-rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     kept = rows.groupBy("root").agg(F.min(order).alias("kept"))
-    lost = spread_join(rows, kept, ["root"]).where(~order.eqNullSafe(F.col("kept"))).select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "body").alias("__row_key"))
-    left = docs.withColumn("__row_key", row_key(text, doc_id)).join(lost.distinct(), "__row_key", "left_anti")
-    return left.dropDuplicates(["__row_key"]).drop("__row_key")
+    lost = spread_join(rows, kept, ["root"]).where(~order.eqNullSafe(F.col("kept"))).select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "body").alias("row_key"))
+    left = keyed_rows(docs, text, doc_id).join(lost.distinct(), "row_key", "left_anti")
+    return unkeyed_rows(left.dropDuplicates(["row_key"]), docs.columns)
