@@ -16,6 +16,8 @@ from chronoglass.llm.common import made, materialise, remove, table
 from chronoglass.llm.tokens import public
 
 
+#: Units of text that a worker's encoder keeps in the last stage: executors have grown by then.
+TOKEN_STORE = 80_000
 #: Folders that a stage made on the way to its result.
 _passing: list[str] = []
 
@@ -73,7 +75,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @partial(stage, last=True)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens, with their ids' checksum."""
-    out = packing.pack(docs, public("word_bpe_49k.json"))
+    out = packing.pack(docs, public("word_bpe_49k.json"), store=TOKEN_STORE)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
