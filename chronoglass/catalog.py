@@ -683,4 +683,4 @@ def h13_max_statistic(spark, sf):
     return H.max_statistic(spark, sample, ["b", "first"], "a", 200, 7)
 
 
-from . import catalog_cleaning  # noqa: E402, F401  registers more queries
+from . import catalog_cleaning, catalog_phase  # noqa: E402, F401  register more queries
