@@ -232,7 +232,8 @@ def w07_rolling(spark, sf):
     return readings(spark, sf).select("id", "us", F.round(F.avg("v").over(R.by_time().rowsBetween(-1, 1)), 6).alias("v"))
 
 
-@query()
+@query(""", s1 AS (SELECT *, CASE WHEN floor((us - lag(us) OVER (PARTITION BY id ORDER BY us)) / 60000000) > 1440 THEN 1 ELSE 0 END AS nw FROM r), s2 AS (SELECT id, us, v, sum(nw) OVER (PARTITION BY id ORDER BY us) AS seg FROM s1), k AS (SELECT *, row_number() OVER (PARTITION BY id, seg ORDER BY us) AS k FROM s2)
+SELECT id, CAST(seg AS BIGINT) AS seg, us, round(v, 6) AS v FROM (WITH RECURSIVE m AS (SELECT id, seg, us, k, v FROM k WHERE k = 1 UNION ALL SELECT k.id, k.seg, k.us, k.k, 0.3 * k.v + 0.7 * m.v FROM m JOIN k ON k.id = m.id AND k.seg = m.seg AND k.k = m.k + 1) SELECT * FROM m)""")
 def w08_ema(spark, sf):
     return W.ema(R.segments(readings(spark, sf), GAP), 0.3).select("id", "seg", "us", *r6("v"))
 
@@ -263,7 +264,9 @@ def w16_merge_events(spark, sf):
     return W.merge_events(kind(spark, sf, "purchase"), 2 * DAY).withColumnRenamed("at", "tm")
 
 
-@query()
+@query(f""", x AS (SELECT id, us AS tm, v, row_number() OVER (PARTITION BY id ORDER BY v DESC, us) AS k FROM e)
+SELECT id, tm AS at, v FROM (WITH RECURSIVE m AS (SELECT id, k, tm, v, [tm] AS kept, true AS fresh FROM x WHERE k = 1 UNION ALL
+ SELECT x.id, x.k, x.tm, x.v, CASE WHEN len(list_filter(m.kept, lambda t: abs(t - x.tm) < {3 * DAY})) = 0 THEN list_append(m.kept, x.tm) ELSE m.kept END, len(list_filter(m.kept, lambda t: abs(t - x.tm) < {3 * DAY})) = 0 FROM m JOIN x ON x.id = m.id AND x.k = m.k + 1) SELECT * FROM m) WHERE fresh""")
 def w18_suppress(spark, sf):
     return W.suppress(raw(spark, sf).select("id", F.col("us").alias("at"), "v"), 3 * DAY)
 
@@ -294,9 +297,13 @@ def r04_densify(spark, sf):
     return R.densify(readings(spark, sf), 180, 240, 900).select("id", F.col("us").cast("long").alias("us"), *r6("v"))
 
 
-@query()
+@query(f""", s1 AS (SELECT *, CASE WHEN floor((us - lag(us) OVER (PARTITION BY id ORDER BY us)) / {MINUTE}) > {GAP} THEN 1 ELSE 0 END AS nw FROM r), s2 AS (SELECT id, us, v, sum(nw) OVER (PARTITION BY id ORDER BY us) AS seg FROM s1),
+ends AS (SELECT id, CAST(floor(min(us) / {STEP}) AS BIGINT) AS a, CAST(ceil(max(us) / {STEP}) AS BIGINT) AS z FROM r GROUP BY id), grid AS (SELECT id, unnest(generate_series(a, z)) * {STEP} AS us FROM ends), sz AS (SELECT id, seg, min(us) AS t0, max(us) AS t1, count(*) AS n, any_value(v) AS v FROM s2 GROUP BY ALL),
+ins AS (SELECT g.id, g.us, CASE WHEN q.us = p.us THEN p.v ELSE p.v + (q.v - p.v) * (g.us - p.us) / (q.us - p.us) END AS v FROM grid g JOIN sz ON sz.id = g.id AND sz.n > 1 AND g.us BETWEEN sz.t0 AND sz.t1 ASOF JOIN s2 p ON p.id = sz.id AND p.seg = sz.seg AND g.us >= p.us ASOF JOIN s2 q ON q.id = sz.id AND q.seg = sz.seg AND g.us <= q.us),
+lone AS (SELECT id, CAST(round_even(t0 / {STEP}, 0) * {STEP} AS BIGINT) AS us, v FROM sz WHERE n = 1), f AS (SELECT id, us, avg(v) AS v FROM (FROM ins UNION ALL FROM lone) GROUP BY ALL)
+SELECT grid.id, grid.us, round(f.v, 9) AS v FROM grid LEFT JOIN f USING (id, us)""")
 def r05_regularize(spark, sf):
-    return R.regularize(readings(spark, sf), GRID, GAP).select("id", "us", *r6("v"))
+    return R.regularize(readings(spark, sf), GRID, GAP).select("id", "us", F.round("v", 9).alias("v"))
 
 
 @query(f", t AS (SELECT unnest([360, 720, 1440, 2880]) AS gap), l AS (SELECT id, us, us - lag(us) OVER (PARTITION BY id ORDER BY us) AS d FROM r), c AS (SELECT gap, id, us, sum(CASE WHEN floor(d / {MINUTE}) > gap THEN 1 ELSE 0 END) OVER (PARTITION BY gap, id ORDER BY us) AS seg FROM l, t), n AS (SELECT gap, id, seg, count(*) AS n FROM c GROUP BY ALL) SELECT gap, count(*) AS segments, round(100.0 * avg(CASE WHEN n > 8 THEN 1 ELSE 0 END), 6) AS pct FROM n GROUP BY gap")

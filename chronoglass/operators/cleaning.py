@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import DAY
 from .series import by_time, lerp
+from .windows import cumulated
 
 
 
@@ -101,6 +102,8 @@ def first_rows(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame
 
 
 def at_most(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group in order. Spark keeps n of each group in every part of the table before it shuffles
+    (WindowGroupLimit), so a group with most of the rows is not sorted in one place."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -155,8 +158,7 @@ def median_split_auc(df: DataFrame, split: str, score: str) -> DataFrame:
     mid = df.agg(F.median(split).alias("_m"))  # one row
     x = df.crossJoin(F.broadcast(mid)).withColumn("_high", (F.col(split) > F.col("_m")).cast("long"))
     c = x.groupBy(score).agg(F.sum("_high").alias("p"), F.sum(1 - F.col("_high")).alias("n"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))  # a row per distinct score
-    u = c.withColumn("u", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2)).agg((F.sum("u") / (F.sum("p") * F.sum("n"))).alias("auc"))
+    u = cumulated(c, score, ["n"]).withColumn("u", F.col("p") * (F.col("below_n") + F.col("n") / 2)).agg((F.sum("u") / (F.sum("p") * F.sum("n"))).alias("auc"))
     both = x.agg(F.median(F.when(F.col("_high") == 1, F.col(score))).alias("high"), F.median(F.when(F.col("_high") == 0, F.col(score))).alias("low"))
     return u.crossJoin(F.broadcast(both))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,7 +91,7 @@ def ood_ids(df: DataFrame, share: float, seed: int) -> DataFrame:
     """ceil(n x share) ids, the first by SHA-256 of id and seed: a top-k, never a sort of all rows in one task."""
     ids = df.select("id").distinct().withColumn("h", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))), 256))
     n = ids.count()
-    return ids.orderBy("h").limit(-(-int(n * share * 1000) // 1000) if share else 0).select("id")
+    return ids.orderBy("h").limit(math.ceil(Fraction(str(share)) * n)).select("id")
 
 
 def split(grid: DataFrame, history: int, length: int) -> DataFrame:

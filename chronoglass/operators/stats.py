@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import average_rank, cumulated, ranked
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -19,10 +19,9 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 def separation(df: DataFrame, x: str, label: str) -> DataFrame:
     """(auc, n1, n0) = P(positive > negative) + P(equal) / 2, from counts per value: no pair of rows is made."""
-    c = df.groupBy(x).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.sum("n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1))
-    c = c.withColumn("u", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
-    return c.agg((F.sum("u") / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("n1"), F.sum("n").alias("n0"))
+    c = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    c = cumulated(c, x, ["n"]).withColumn("u", F.col("p") * (F.col("below_n") + F.col("n") / 2))
+    return c.agg((F.sum("u") / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"), F.sum("p").alias("n1"), F.sum("n").alias("n0"))
 
 
 def agreement(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -44,10 +43,9 @@ def holm(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 
 def threshold_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """(threshold, sensitivity, specificity) for each distinct score, from counts per score."""
-    c = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down, up = Window.orderBy(F.desc("threshold")), Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    allp, alln = F.sum("p").over(Window.partitionBy()), F.sum("n").over(Window.partitionBy())
-    return c.select("threshold", (F.sum("p").over(down) / allp).alias("sensitivity"), (F.coalesce(F.sum("n").over(up), F.lit(0)) / alln).alias("specificity"))
+    c = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    c = cumulated(c, "threshold", ["p", "n"])
+    return c.select("threshold", (1 - F.col("below_p") / F.nullif("all_p", F.lit(0))).alias("sensitivity"), (F.col("below_n") / F.nullif("all_n", F.lit(0))).alias("specificity"))
 
 
 def theil_sen(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -105,21 +103,34 @@ def replicates(spark, sample: pd.DataFrame, stat, n: int, seed: int, shuffle: st
     return spark.range(n).mapInPandas(run, "rep long, value double")
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def normal_tail(z: Column) -> Column:
+    """erfc(|z| / sqrt 2), the two-sided tail: the normal integral's power series near 0, its continued fraction beyond 3.
+    Both are folds over fixed steps, so that the column stays small and in the JVM."""
+    density = lambda a: F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
+    steps = F.sequence(F.lit(1), F.lit(60))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def grown(a: Column, acc: Column, k: Column) -> Column:
+        t = acc["t"] * a * a / (2 * k + 1)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+
+    def of(a: Column) -> Column:
+        series = a * F.aggregate(steps, start, lambda acc, k: grown(a, acc, k), lambda acc: acc["s"])
+        fraction = F.aggregate(F.reverse(steps), a, lambda acc, k: a + k / acc)
+        return F.when(a < 3, 1 - 2 * density(a) * series).otherwise(2 * density(a) / fraction)
+
+    return F.get(F.transform(F.array(F.abs(z)), of), F.lit(0))
 
 
 def rank_sum(df: DataFrame, x: str, label: str) -> DataFrame:
     """(u, auc, p, n1, n0): Mann-Whitney with ties, two-sided by the normal form with continuity; counts per value only."""
     c = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     t = F.col("p") + F.col("n")
-    s = c.withColumn("u", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("u").alias("u"), F.sum("p").alias("n1"), F.sum("n").alias("n0"), F.sum(t * t * t - t).alias("ties"))
+    s = cumulated(c, x, ["n"]).withColumn("u", F.col("p") * (F.col("below_n") + F.col("n") / 2)).agg(F.sum("u").alias("u"), F.sum("p").alias("n1"), F.sum("n").alias("n0"), F.sum(t * t * t - t).alias("ties"))
     n = F.col("n1") + F.col("n0")
     sd = F.sqrt(F.col("n1") * F.col("n0") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = F.greatest(F.abs(F.col("u") - F.col("n1") * F.col("n0") / 2) - 0.5, F.lit(0.0)) / sd
-    tail = F.pandas_udf(lambda v: v.map(_normal_tail), "double")
-    return s.select("u", (F.col("u") / (F.col("n1") * F.col("n0"))).alias("auc"), z.alias("z"), tail(z).alias("p"), "n1", "n0")
+    return s.select("u", (F.col("u") / (F.col("n1") * F.col("n0"))).alias("auc"), z.alias("z"), normal_tail(z).alias("p"), "n1", "n0")
 
 
 def friedman(df: DataFrame, block: str, treatment: str, x: str) -> DataFrame:
@@ -139,22 +150,24 @@ def friedman(df: DataFrame, block: str, treatment: str, x: str) -> DataFrame:
 def paired(df: DataFrame, a: str, b: str) -> DataFrame:
     """(n, mean, d, up, down, signed): differences a - b, Cohen's d, their signs and the signed-rank sum, ties averaged."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b)).withColumn("m", F.abs(F.col(a) - F.col(b))).withColumn("zero", (F.col("d") == 0).cast("int"))
-    x = x.withColumn("r", average_rank("m", ["zero"]))
+    x = ranked(x.withColumn("m", F.when(F.col("d") != 0, F.col("m"))), "m", "r")
     return x.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.avg("d") / F.stddev_samp("d")).alias("d"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("signed"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """(rho, n): rank correlation of x and y without what ranks of z explain in both. df is a cohort table, a row per
-    subject, that is ranked as one."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*(average_rank(c, []).alias(n) for c, n in ((x, "a"), (y, "b"), (z, "c"))))
+    """(rho, n): rank correlation of x and y without what ranks of z explain in both."""
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*(F.col(c).alias(f"x_{n}") for c, n in ((x, "a"), (y, "b"), (z, "c"))))
+    for n in "abc":
+        r = ranked(r, f"x_{n}", n)
     k = r.agg(F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac"), F.corr("b", "c").alias("bc"), F.count("*").alias("n"))
     return k.select(((F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt((1 - F.col("ac") ** 2) * (1 - F.col("bc") ** 2))).alias("rho"), "n")
 
 
 def redundancy(df: DataFrame, columns: list[str], flags: tuple = (0.5, 0.7)) -> DataFrame:
-    """(a, b, rho, level) for each pair of columns: rank correlation, and how many of the flags its size reaches.
-    df is a cohort table, a row per subject, that is ranked as one."""
-    ranks = df.select(*(F.when(F.col(c).isNotNull(), F.rank().over(Window.orderBy(F.col(c).asc_nulls_last())) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2).alias(c) for c in columns))
+    """(a, b, rho, level) for each pair of columns: rank correlation, and how many of the flags its size reaches."""
+    ranks = df.select(*(F.col(c).alias(f"x_{c}") for c in columns))
+    for c in columns:
+        ranks = ranked(ranks, f"x_{c}", c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = ranks.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("rho")) for a, b in pairs)).alias("x"))
     out = row.select(F.explode("x").alias("x")).select("x.*")

@@ -35,28 +35,103 @@ def turning_points(df: DataFrame, dead: float = 0.01) -> DataFrame:
     return x.where("d = -prev").select("id", F.col("us0").alias("us"), F.col("v0").alias("v"), F.when(F.col("d") < 0, "peak").otherwise("valley").alias("kind"))
 
 
+def _folded(df: DataFrame, keys: list[str], order: list, run, kinds: str) -> DataFrame:
+    """run, a generator of batches, over rows with an id's together and in order: it carries what it must know of the id
+    from row to row, so an id's rows are read once and never held."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
+
+
+def _as_batch(rows: list[tuple], names: list[str], batch):
+    import pyarrow as pa
+
+    kinds = [batch.schema.field(n).type for n in names]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
 def merge_events(df: DataFrame, apart: int) -> DataFrame:
-    """(id, at): events less than or `apart` after a kept one belong to it; the fold runs over each id's sorted times."""
-    times = df.groupBy("id").agg(F.array_sort(F.collect_list("at")).alias("t"))
-    kept = F.aggregate("t", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > apart), F.concat(acc, F.array(t))).otherwise(acc))
-    return times.select("id", F.explode(F.filter(kept, lambda t: t.isNotNull())).alias("at"))
+    """(id, at): events less than or `apart` after a kept one belong to it; the first of an id is kept."""
+
+    def run(batches):
+        own, anchor = None, None
+        for b in batches:
+            out = []
+            for i, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if anchor is None or i != own or at - anchor > apart:
+                    out.append((i, at))
+                    own, anchor = i, at
+            yield _as_batch(out, ["id", "at"], b)
+
+    rows = df.select("id", "at").where("at IS NOT NULL")
+    return _folded(rows, ["id"], ["at"], run, f"id {rows.schema['id'].dataType.simpleString()}, at {rows.schema['at'].dataType.simpleString()}")
 
 
 def suppress(df: DataFrame, apart: int) -> DataFrame:
-    """(id, at, v): events by falling v, each kept if at least `apart` from all kept before."""
-    own = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("s"), F.col("at"), F.col("v")))).alias("x"))
-    kept = F.aggregate("x", F.array().cast("array<struct<s:double,at:bigint,v:double>>"), lambda acc, e: F.when(F.exists(acc, lambda k: F.abs(k["at"] - e["at"]) < apart), acc).otherwise(F.concat(acc, F.array(e))))
-    return own.select("id", F.explode(kept).alias("k")).select("id", "k.at", "k.v")
+    """(id, at, v): events by falling v, the earlier first of equal ones, each kept if at least `apart` from all kept
+    before. What an id has kept is held, sorted by time, so that only the two next to an event are looked at."""
+
+    def run(batches):
+        from bisect import bisect_left
+
+        own, kept = object(), []
+        for b in batches:
+            out = []
+            for i, at, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i != own:
+                    own, kept = i, []
+                k = bisect_left(kept, at)
+                if (k == len(kept) or kept[k] - at >= apart) and (k == 0 or at - kept[k - 1] >= apart):
+                    kept.insert(k, at)
+                    out.append((i, at, v))
+            yield _as_batch(out, ["id", "at", "v"], b)
+
+    rows = df.select("id", "at", "v").where("at IS NOT NULL AND v IS NOT NULL")
+    return _folded(rows, ["id"], [F.desc("v"), "at"], run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def ema(df: DataFrame, alpha: float) -> DataFrame:
-    """(id, seg, us, v): exponential average, begun anew in each segment."""
-    arr = df.groupBy("id", "seg").agg(F.array_sort(F.collect_list(F.struct("us", "v"))).alias("x"))
-    fold = F.aggregate(
-        "x", F.array().cast("array<struct<us:bigint,v:double>>"),
-        lambda acc, e: F.concat(acc, F.array(F.struct(e["us"].alias("us"), F.when(F.size(acc) == 0, e["v"]).otherwise(alpha * e["v"] + (1 - alpha) * F.element_at(acc, -1)["v"]).alias("v")))),
-    )
-    return arr.select("id", "seg", F.explode(fold).alias("e")).select("id", "seg", "e.us", "e.v")
+    """(id, seg, us, v): exponential average, begun anew in each segment; a null is passed over and stays null."""
+
+    def run(batches):
+        own, last = object(), None
+        for b in batches:
+            out = []
+            for i, seg, us, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (i, seg) != own:
+                    own, last = (i, seg), None
+                if v is not None:
+                    last = v if last is None else alpha * v + (1 - alpha) * last
+                out.append((i, seg, us, None if v is None else last))
+            yield _as_batch(out, ["id", "seg", "us", "v"], b)
+
+    rows = df.select("id", "seg", "us", F.col("v").cast("double").alias("v"))
+    return _folded(rows, ["id", "seg"], ["us"], run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+def cumulated(df: DataFrame, x: str, sums: list[str], by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """df, a row per (by, x), with below_c for each c of sums: its sum over the rows of smaller x, and all_c, over all.
+
+    In two levels: approximate quantiles of x cut df into bins, whose sums are prefix-summed, `parts` rows at most for each
+    value of by, and rows are added up within their bin alone. So no task orders all rows; rows of null x go."""
+    by = by or []
+    rows = df.where(F.col(x).isNotNull())
+    cuts = sorted(set(rows.agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    held = rows.withColumn("_b", sum(((F.col(x) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    bins = held.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(sums)))
+    each = Window.partitionBy(*by)
+    before, whole = each.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0)
+    bins = bins.select(*by, "_b", *(F.coalesce(F.sum(f"_s{k}").over(before), zero).alias(f"_l{k}") for k in range(len(sums))), *(F.sum(f"_s{k}").over(whole).alias(f"all_{c}") for k, c in enumerate(sums)))
+    within = Window.partitionBy(*by, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(F.broadcast(bins) if not by else bins, [*by, "_b"])
+    return out.select(*df.columns, *((F.col(f"_l{k}") + F.coalesce(F.sum(c).over(within), zero)).alias(f"below_{c}") for k, c in enumerate(sums)), *(f"all_{c}" for c in sums))
+
+
+def ranked(df: DataFrame, x: str, name: str) -> DataFrame:
+    """df with the average rank of x over all rows, ties averaged: values are counted first, and ranked in two levels, so
+    neither a common value nor the table meets in one task. Rows of null x have a null rank."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
+    ranks = cumulated(counts, "_x", ["_c"]).select("_x", (F.col("below__c") + (F.col("_c") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(x) == F.col("_x"), "left").drop("_x")
 
 
 def average_precision(df: DataFrame, score: str, label: str, tie: str, parts: int = 256) -> DataFrame:
