@@ -547,18 +547,6 @@ def h26_index_quantile(spark, sf):
     return raw(spark, sf).groupBy("id").agg(H.index_quantile("v", 0.9).alias("q90"))
 
 
-@query()
-def h03_permutation(spark, sf):
-    """Null distribution of the separation of toxic documents by length."""
-    sample = outcome(spark, sf).select("n_chars", "toxic").toPandas()  # the cohort table: a row per labelled subject
-
-    def auc(s):
-        r, y = s["n_chars"].rank().to_numpy(), s["toxic"].to_numpy()
-        return float((r[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / max(y.sum() * (1 - y).sum(), 1))
-
-    return H.replicates(spark, sample, auc, 200, 5, shuffle="toxic")
-
-
 @query()
 def m01_lag_forecast(spark, sf):
     s = R.samples(R.interpolate(R.segments(readings(spark, sf), GAP, MIN_ROWS), GRID), HISTORY, HORIZON).withColumn("fold", F.when(S.hash_fold(F.col("id")) == 0, 1).otherwise(0))
@@ -683,11 +671,4 @@ def h31_screening(spark, sf):
     return H.screening(halves(spark, sf).where("a IS NOT NULL AND b IS NOT NULL"), "a", ["b", "c"]).select("column", *r6("r"))
 
 
-@query()
-def h13_max_statistic(spark, sf):
-    """Part of shuffles whose largest rank correlation reaches each column's; the cohort table has a row per id."""
-    sample = halves(spark, sf).dropna().toPandas().rename(columns={"c": "first"})
-    return H.max_statistic(spark, sample, ["b", "first"], "a", 200, 7)
-
-
 from . import catalog_cleaning, catalog_phase  # noqa: E402, F401  register more queries

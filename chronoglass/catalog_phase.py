@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import outcome, query, r6, raw, readings
+from .catalog import DAY, GRID, MINUTE, OUT, halves, outcome, query, r6, raw, readings
 from .functions import scalar as S
 from .operators import folds as FO
 from .operators import neighbours as N
+from .operators import nights as NI
 from .operators import resampling as RS
 
 POINTS = """, w AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY us) AS k, v AS x, lead(v, 1) OVER (PARTITION BY id ORDER BY us) AS y FROM r),
@@ -112,3 +113,94 @@ p AS (SELECT y, y0 + b1 * (m - m0) + b2 * (k.c - c0) + b3 * (t - t0) AS q FROM k
 SELECT round(1 - sum((y - q) * (y - q)) / (count(*) * var_pop(y)), 6) AS r2, count(*) AS n FROM p""")
 def h16_out_of_fold(spark, sf):
     return FO.out_of_fold_r2(base_table(spark, sf), "fold", ["mean", "cv", "tir"], "y").select(*r6("r2"), "n")
+
+
+SHUFFLES = 100
+HASHED = "CAST(('0x' || substr(sha256({0} || ':' || rep), 1, 15)) AS BIGINT)"
+
+
+@query(OUT + f""", k AS (SELECT doc_id, toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM o WHERE n_chars IS NOT NULL AND toxic IS NOT NULL),
+t AS (SELECT CAST(sum(toxic) AS BIGINT) AS n1, CAST(sum(1 - toxic) AS BIGINT) AS n0 FROM k), s AS (SELECT rep, rk, row_number() OVER (PARTITION BY rep ORDER BY {HASHED.format("doc_id")}, doc_id) AS place FROM k, range({SHUFFLES}) AS x(rep))
+SELECT CAST(rep AS INTEGER) AS rep, round((sum(rk) - any_value(n1) * (any_value(n1) + 1) / 2) / any_value(n1 * n0), 6) AS value FROM s, t WHERE place <= n1 GROUP BY rep""")
+def h03_permutation(spark, sf):
+    """Null distribution of the separation of toxic documents by length."""
+    return RS.permuted_separation(outcome(spark, sf), "doc_id", "n_chars", "toxic", SHUFFLES).select("rep", *r6("value"))
+
+
+@query(f""", h AS (SELECT id, avg(v) FILTER (event_id % 2 = 0) AS a, avg(v) FILTER (event_id % 2 = 1) AS b, min(us) AS c FROM e GROUP BY id),
+k AS (SELECT id, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS b, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS c FROM h WHERE a IS NOT NULL AND b IS NOT NULL),
+f AS (SELECT row_number() OVER (ORDER BY id) AS place, a AS y FROM k), s AS (SELECT k.*, rep, row_number() OVER (PARTITION BY rep ORDER BY {HASHED.format("id")}, id) AS place FROM k, range({SHUFFLES}) AS x(rep)),
+n AS (SELECT rep, greatest(abs(corr(b, y)), abs(corr(c, y))) AS value FROM s JOIN f USING (place) GROUP BY rep), q AS (SELECT 'b' AS "column", abs(corr(b, a)) AS stat FROM k UNION ALL SELECT 'c', abs(corr(c, a)) FROM k)
+SELECT "column", round(stat, 6) AS stat, round((count(*) FILTER (value >= stat - 1e-12) + 1) / ({SHUFFLES} + 1), 6) AS p FROM q, n GROUP BY "column", stat""")
+def h13_max_statistic(spark, sf):
+    """Part of shuffles whose largest rank correlation reaches each column's."""
+    return RS.max_statistic(halves(spark, sf), "id", ["b", "c"], "a", SHUFFLES).select("column", *r6("stat", "p"))
+
+
+#: At the scale of `events`: a grid of 6 hours, a night of 6 days in 10, windows of 90 hours every 15.
+NIGHT = {"night": 8640, "day": 14400, "length": 5400, "stride": 900}
+STEP, FILL = GRID * MINUTE, 3
+GRIDDED = f""", b AS (SELECT id, us // {STEP} * {STEP} AS bin, arg_min(v, us) AS v FROM r GROUP BY ALL), l AS (SELECT *, lead(bin) OVER w AS bin1, lead(v) OVER w AS v1 FROM b WINDOW w AS (PARTITION BY id ORDER BY bin)),
+x AS (SELECT *, unnest(generate_series(bin, coalesce(bin1 - {STEP}, bin), {STEP})) AS us FROM l), g AS (SELECT id, us, CASE WHEN us = bin THEN v WHEN (bin1 - bin) // {STEP} - 1 <= {FILL} THEN v + (v1 - v) * (us - bin) / (bin1 - bin) END AS v FROM x)"""
+WINDOWS = GRIDDED + f""", n AS (SELECT id, us // {14400 * MINUTE} AS date FROM g WHERE v IS NOT NULL AND us % {14400 * MINUTE} < {8640 * MINUTE} GROUP BY ALL HAVING count(*) >= ceil(0.8 * 24)), ok AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY date) <= 6),
+m AS (SELECT g.id, ok.date, us, v, us % {14400 * MINUTE} // {MINUTE} AS m FROM g JOIN ok ON g.id = ok.id AND g.us // {14400 * MINUTE} = ok.date WHERE v IS NOT NULL AND us % {14400 * MINUTE} < {8640 * MINUTE}),
+s AS (SELECT id, date, start, us, v, abs(v - lag(v) OVER (PARTITION BY id, date, start ORDER BY us)) AS d, median(v) OVER (PARTITION BY id, date, start) AS mid FROM m JOIN (SELECT unnest(generate_series(0, {8640 - 5400}, 900)) AS start) ON m >= start AND m < start + 5400),
+w AS (SELECT id, date, start, any_value(mid) AS median, median(abs(v - mid)) AS mad, median(d) * 5.0 / {GRID} AS change, coalesce(avg(CASE WHEN d / {GRID} > 0.3 THEN 1.0 WHEN d IS NOT NULL THEN 0 END), 0) AS jumps FROM s GROUP BY ALL HAVING count(*) >= ceil(0.8 * 15)),
+nw AS (SELECT *, mad + change + 2 * jumps AS entropy FROM w)"""
+
+
+def night_grid(spark, sf):
+    return NI.resample_first(readings(spark, sf), GRID, FILL)
+
+
+@query(GRIDDED + " SELECT id, us, round(v, 9) AS v FROM g")
+def r06_resample_first(spark, sf):
+    return night_grid(spark, sf).select("id", "us", F.round("v", 9).alias("v"))
+
+
+@query(f""", b AS (SELECT id, us // {STEP} * {STEP} AS bin, avg(v) AS v FROM r GROUP BY ALL), l AS (SELECT *, lead(bin) OVER w AS bin1, lead(v) OVER w AS v1 FROM b WINDOW w AS (PARTITION BY id ORDER BY bin)),
+x AS (SELECT *, unnest(generate_series(bin, coalesce(bin1 - {STEP}, bin), {STEP})) AS us FROM l) SELECT id, us, round(CASE WHEN us = bin THEN v WHEN (us - bin) // {STEP} <= 2 THEN v + (v1 - v) * (us - bin) / (bin1 - bin) END, 9) AS v FROM x""")
+def r07_fill_first(spark, sf):
+    return NI.fill_first(readings(spark, sf), GRID, 2).select("id", "us", F.round("v", 9).alias("v"))
+
+
+@query(WINDOWS + " SELECT id, date, start, round(median, 6) AS median, round(mad, 6) AS mad, round(change, 6) AS change, round(jumps, 6) AS jumps, round(entropy, 6) AS entropy FROM nw")
+def w23_night_windows(spark, sf):
+    return NI.night_windows(night_grid(spark, sf), GRID, **NIGHT).select("id", "date", "start", *r6("median", "mad", "change", "jumps", "entropy"))
+
+
+@query(WINDOWS + f""", a1 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY entropy, date, start) AS k, count(*) OVER (PARTITION BY id) AS c FROM nw), lv AS (SELECT id, median(median) AS level, median(entropy) AS entropy FROM a1 WHERE k <= greatest(1, ceil(c * 0.01)) GROUP BY id),
+bt AS (SELECT id, date, arg_min(median, (entropy, start)) AS y FROM nw GROUP BY ALL), b2 AS (SELECT *, row_number() OVER o AS x, CAST(y > lag(y) OVER o AS INTEGER) AS up FROM bt WINDOW o AS (PARTITION BY id ORDER BY date)), rs AS (SELECT id, avg(up) AS rises, count(*) AS nights FROM b2 GROUP BY id),
+dr AS (SELECT p.id, median((q.y - p.y) / (q.x - p.x)) AS drift FROM b2 p JOIN b2 q ON p.id = q.id AND q.x > p.x GROUP BY p.id), dw AS (SELECT m.id, avg(CAST(abs(v - level) <= 0.3 AS INTEGER)) AS dwell FROM m JOIN bt USING (id, date) JOIN lv USING (id) GROUP BY m.id)
+SELECT id, round(level, 6) AS level, round(entropy, 6) AS entropy, round(dwell, 6) AS dwell, CASE WHEN nights >= 2 THEN round(drift, 6) END AS drift, CASE WHEN nights >= 2 THEN round(rises, 6) END AS rises, nights FROM lv JOIN rs USING (id) JOIN dw USING (id) LEFT JOIN dr USING (id)""")
+def v11_anchors(spark, sf):
+    grid = night_grid(spark, sf)
+    span = {k: NIGHT[k] for k in ("night", "day")}
+    return NI.anchors(NI.night_windows(grid, GRID, **NIGHT), grid, **span, least=2).select("id", *r6("level", "entropy", "dwell", "drift", "rises"), "nights")
+
+
+@query(WINDOWS + f", u AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS k FROM ok) SELECT r.id, us, round(v, 6) AS v FROM r JOIN u ON r.id = u.id AND u.k = 2 AND us < (u.date + 1) * {14400 * MINUTE}")
+def w22_night_prefix(spark, sf):
+    nights = NI.eligible_nights(night_grid(spark, sf), GRID, NIGHT["night"], NIGHT["day"])
+    return NI.night_prefix(readings(spark, sf), nights, 2, NIGHT["day"]).select("id", "us", *r6("v"))
+
+
+def draws(spark, sf):
+    """Per id and day the day's readings as draws, and the first reading of the id's next day as what came."""
+    d = raw(spark, sf).groupBy("id", S.day_of(F.col("us")).alias("date")).agg(F.collect_list("v").alias("draws"), F.min_by("v", F.struct("us", "event_id")).alias("first"))
+    return d.select("id", "date", "draws").join(d.select("id", (F.col("date") - 1).alias("date"), F.col("first").alias("actual")), ["id", "date"])
+
+
+DRAWS = f""", d AS (SELECT id, us // {DAY} AS date, list(v) AS draws, arg_min(v, (us, event_id)) AS first FROM e GROUP BY ALL), dr AS (SELECT d.id, d.date, d.draws, n.first AS actual FROM d JOIN d n ON d.id = n.id AND n.date = d.date + 1)"""
+
+
+@query(DRAWS + """, q AS (SELECT level, actual, list_sort(draws) AS s, level * (len(draws) - 1) AS pl FROM dr, (SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS level)),
+v AS (SELECT level, actual, s[CAST(floor(pl) AS BIGINT) + 1] AS low, coalesce(s[CAST(floor(pl) AS BIGINT) + 2], s[CAST(floor(pl) AS BIGINT) + 1]) AS high, pl - floor(pl) AS part FROM q)
+SELECT level, round(avg(CAST(actual <= low + (high - low) * part AS INTEGER)), 6) AS covered, count(*) AS n, round(pow(avg(CAST(actual <= low + (high - low) * part AS INTEGER)) - level, 2), 6) AS error FROM v GROUP BY level""")
+def h21_quantile_coverage(spark, sf):
+    return NI.quantile_coverage(draws(spark, sf), "draws", "actual").select("level", *r6("covered"), "n", *r6("error"))
+
+
+@query(DRAWS + """, t AS (SELECT id, date, len(draws) AS n, list_transform(draws, lambda x: -0.5 * pow((actual - x) / 2.0, 2)) AS t FROM dr) SELECT id, date, round(list_max(t) + ln(list_sum(list_transform(t, lambda x: exp(x - list_max(t)))) / n) - ln(2.0) - 0.9189385332046727, 6) AS loglik FROM t""")
+def h21_mixture_likelihood(spark, sf):
+    return NI.mixture_likelihood(draws(spark, sf), "draws", "actual", 2.0).select("id", "date", *r6("loglik"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+from .windows import cumulated, ranked
+
 #: Where a uniform number gives 0, 1, 2, ... of a Poisson variable of mean 1; the rest of its mass is under 1e-13.
 POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(15)]
 
@@ -84,3 +87,40 @@ def bootstrap_mean_difference(df: DataFrame, key: str, x: str, label: str, n: in
     reps = weighted(ok, key, n).groupBy("rep").agg(of(F.col("w")))
     ends = reps.agg(*(F.percentile("delta", F.lit(q)).alias(c) for c, q in (("low", 0.025), ("high", 0.975))))
     return ok.agg(of(F.lit(1))).join(ends)
+
+
+def shuffled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df once for each of n shuffles, with rep and place, its row's place in it from 1: the order of a hash of the key and
+    the replicate, and of the key where hashes meet. Places are counted in two levels, so no task orders all rows."""
+    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    reps = reps.withColumn("_h", F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("rep").cast("string")), 256), 1, 15), 16, 10).cast("long"))
+    meets = Window.partitionBy("rep", "_h")
+    reps = reps.withColumn("_one", F.lit(1)).withColumn("_tie", F.row_number().over(meets.orderBy(key))).withColumn("_n", F.count("*").over(meets))
+    firsts = cumulated(reps.where("_tie = 1").select("rep", "_h", "_n"), "_h", ["_n"], ["rep"])
+    return reps.join(firsts.select("rep", "_h", "below__n"), ["rep", "_h"]).withColumn("place", F.col("below__n") + F.col("_tie")).drop("_h", "_one", "_tie", "_n", "below__n")
+
+
+def permuted_separation(df: DataFrame, key: str, x: str, label: str, n: int) -> DataFrame:
+    """(rep, value): P(positive > negative) + P(equal) / 2 in n shuffles of the labels. Ranks are made once; a shuffle gives
+    the label to the rows in its first places, as many as have it."""
+    rows = ranked(df.where(F.col(x).isNotNull() & F.col(label).isNotNull()), x, "_r").select(F.col(key), "_r", F.col(label).cast("long").alias("_l"))
+    total = rows.agg(F.sum("_l").alias("n1"), F.sum(1 - F.col("_l")).alias("n0"))
+    won = shuffled(rows, key, n).join(F.broadcast(total)).where("place <= n1").groupBy("rep", "n1", "n0").agg(F.sum("_r").alias("s"))
+    return won.select("rep", ((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / F.greatest(F.col("n1") * F.col("n0"), F.lit(1))).alias("value"))
+
+
+def max_statistic(df: DataFrame, key: str, columns: list[str], label: str, n: int) -> DataFrame:
+    """(column, stat, p): size of the rank correlation with the label, and the part of shuffles, with the real one, in which
+    the largest of all columns reaches it. Rows with a null are left out."""
+    rows = df.dropna(subset=[*columns, label]).select(key, *columns, label)
+    for c in (*columns, label):
+        rows = ranked(rows, c, f"_r_{c}")
+    rows = cut(rows.select(key, *(f"_r_{c}" for c in (*columns, label))), "ranks")
+    size = lambda c, y: F.coalesce(F.abs(F.corr(f"_r_{c}", y)), F.lit(0.0))
+    real = rows.agg(F.array(*(F.struct(F.lit(c).alias("column"), size(c, f"_r_{label}").alias("stat")) for c in columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    # the row at a place gets the label of the row with that place in the order of the key
+    fixed = cumulated(rows.select(F.col(key).alias("_k"), F.lit(1).alias("_n"), F.col(f"_r_{label}").alias("_y")), "_k", ["_n"])
+    mixed = shuffled(rows, key, n).join(fixed.select((F.col("below__n") + 1).alias("place"), "_y"), "place")
+    null = mixed.groupBy("rep").agg(F.greatest(*(size(c, "_y") for c in columns), F.lit(0.0)).alias("value"))
+    met = real.join(null, F.col("value") >= F.col("stat") - 1e-12, "left")
+    return met.groupBy("column", "stat").agg(((F.count("value") + 1) / (n + 1)).alias("p"))

@@ -87,22 +87,6 @@ def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
     return (root(lambda p: alpha / 2 - (1 - cdf(k - 1, p))) if k else 0.0), (root(lambda p: cdf(k, p) - alpha / 2) if k < n else 1.0)
 
 
-def replicates(spark, sample: pd.DataFrame, stat, n: int, seed: int, shuffle: str | None = None) -> DataFrame:
-    """(rep, value): stat of n resamples, or of n shuffles of a column; each replicate is its own task's work. The sample is
-    a cohort table, a row per subject, which is sent to all tasks."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for rep in b["id"]:
-                rng = np.random.default_rng([seed, int(rep)])
-                s = sample.assign(**{shuffle: rng.permutation(sample[shuffle].to_numpy())}) if shuffle else sample.iloc[rng.integers(len(sample), size=len(sample))]
-                out.append((int(rep), stat(s)))
-            yield pd.DataFrame(out, columns=["rep", "value"])
-
-    return spark.range(n).mapInPandas(run, "rep long, value double")
-
-
 def normal_tail(z: Column) -> Column:
     """erfc(|z| / sqrt 2), the two-sided tail: the normal integral's power series near 0, its continued fraction beyond 3.
     Both are folds over fixed steps, so that the column stays small and in the JVM."""
@@ -196,17 +180,3 @@ def proportional_bias(df: DataFrame, a: str, b: str) -> DataFrame:
     """(slope, r, sem): of the difference on the mean of pairs; the standard error of measurement."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b)).withColumn("m", (F.col(a) + F.col(b)) / 2)
     return x.agg(F.regr_slope("d", "m").alias("slope"), F.corr("d", "m").alias("r"), (F.stddev_samp("d") / math.sqrt(2)).alias("sem"))
-
-
-def max_statistic(spark, sample: pd.DataFrame, columns: list[str], label: str, n: int, seed: int) -> DataFrame:
-    """(column, stat, p): size of the rank correlation with the label, and the part of shuffles, with the real one, in which
-    the largest of all columns reaches it. The sample is a cohort table, a row per subject."""
-    ranks = sample[columns].rank()
-
-    def sizes(s: pd.DataFrame) -> pd.Series:
-        return ranks.reset_index(drop=True).corrwith(s[label].reset_index(drop=True).rank()).abs().fillna(0)
-
-    real = sizes(sample)
-    null = replicates(spark, sample, lambda s: float(sizes(s).max()), n, seed, shuffle=label)
-    table = spark.createDataFrame([(c, float(real[c])) for c in columns], "column string, stat double")
-    return table.join(null, F.col("value") >= F.col("stat"), "left").groupBy("column", "stat").agg(((F.count("value") + 1) / (n + 1)).alias("p"))
