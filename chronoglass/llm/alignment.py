@@ -22,8 +22,8 @@ TWO_BYTES = "\u0800"
 LOW = (1 << 31) - 1
 #: On a mark that is B's, on a link that closes its group, and instead of a link for a mark that gives none.
 B_MARK, CLOSES, NONE = 1 << 31, 1 << 62, -1
-#: Stands before the first closing link; that is less than a step from it, if its group is one token of each side.
-START = CLOSES - LOW - 2
+#: On a link that ends where B's token alone does; so sorted links begin with those that end A's, then B's, then both.
+ENDS_B = 1 << 61
 
 
 class BytePieces:
@@ -160,7 +160,7 @@ def _link(x: Column, j: Column) -> Column:
     """
     own = x.bitwiseAND(F.lit(LOW))
     of_a = own * F.lit(LOW) + j  # own * 2**31 + (j - own)
-    of_b = F.shiftleft(j - own, 31) + own
+    of_b = F.shiftleft(j - own, 31) + own + F.lit(ENDS_B)
     end = F.shiftright(x, 32)
     closes = F.shiftright(F.get("marks", j + 1), 32) == end
     twice = F.shiftright(F.get("marks", j - 1), 32) == end
@@ -168,26 +168,17 @@ def _link(x: Column, j: Column) -> Column:
 
 
 def _a(link: Column) -> Column:
-    return F.shiftright(link, 31).bitwiseAND(F.lit(LOW)).cast("int")
+    return F.shiftright(link, 31).bitwiseAND(F.lit(LOW >> 2)).cast("int")
 
 
 def _b(link: Column) -> Column:
     return link.bitwiseAND(F.lit(LOW)).cast("int")
 
 
-def _group(link: Column, k: Column) -> Column:
-    """The k-th group's text, `a1,a2|b1`, from its closing link and the one before in `cuts`, which begins with one at -1."""
-    before = F.get("cuts", k)
-    single = F.concat(F.get("a_text", _a(link)), F.lit("|"), F.get("b_text", _b(link)))
-
-    def part(text: str, at: Callable[[Column], Column]) -> Column:
-        low = at(before) + 1
-        return F.array_join(F.slice(text, low + 1, at(link) + 1 - low), ",")
-
-    first = before == F.lit(START)
-    low = lambda at: F.when(first, F.lit(-1)).otherwise(at(before))
-    many = F.concat(part("a_text", lambda x: _a(x) if x is link else low(_a)), F.lit("|"), part("b_text", lambda x: _b(x) if x is link else low(_b)))
-    return F.when(link - before == F.lit(LOW + 2), single).otherwise(many)
+def _listed(ids: str, starts: str) -> Column:
+    """A side's ids as text, `;` between groups and `,` within: starts are the places after a token that ends inside one."""
+    stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ids))
+    return F.array_join(F.transform(starts, lambda at, k: F.array_join(F.slice(ids, at + 1, stop(k) - at), ";")), ",")
 
 
 def align(tokens: DataFrame) -> DataFrame:
@@ -203,10 +194,16 @@ def align(tokens: DataFrame) -> DataFrame:
     rows = rows.select(*own, "a_ids", "b_ids", F.array_remove(F.transform("marks", _link), F.lit(NONE)).alias("links"))
     id_at = lambda ids, k: F.coalesce(F.get(ids, k), F.lit(0)).cast("long")
     pairs = F.transform("links", lambda v: F.shiftleft(id_at("a_ids", _a(v)), 32) + id_at("b_ids", _b(v)))
-    cuts = F.concat(F.array(F.lit(START)), F.filter("links", lambda v: v >= F.lit(CLOSES)))
     text = lambda c: F.col(c).cast("array<string>")
-    rows = rows.select(*own, size("links").alias("n_links"), F.sort_array(pairs).alias("pairs"), cuts.alias("cuts"), text("a_ids").alias("a_text"), text("b_ids").alias("b_text"))
-    groups = F.array_join(F.transform(F.slice("cuts", 2, F.size("cuts")), _group), ";")
+    # of the sorted links, the first end only A's token or only B's: there are as many as tokens that close no group
+    within = F.sort_array("links")
+    rows = rows.select(*own, size("links").alias("n_links"), F.sort_array(pairs).alias("pairs"), within.alias("within"), text("a_ids").alias("a_text"), text("b_ids").alias("b_text"))
+    left = lambda n: (F.col(n) - F.col("n_groups")).cast("int")
+    after = lambda links, at: F.concat(F.array(F.lit(0)), F.transform(links, lambda v: at(v) + 1))
+    starts = [after(F.slice("within", 1, left("n_a")), _a).alias("a_starts"), after(F.slice("within", left("n_a") + 1, left("n_b")), _b).alias("b_starts")]
+    rows = rows.select(*own, "n_links", "pairs", "a_text", "b_text", *starts)
+    sides = [F.split(_listed(f"{s}_text", f"{s}_starts"), ";") for s in "ab"]
+    groups = F.array_join(F.zip_with(*sides, lambda a, b: F.concat(a, F.lit("|"), b)), ";")
     return rows.select(*own, "n_links", F.when(F.col("n_a") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"), "pairs")
 
 

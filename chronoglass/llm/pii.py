@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join, whole
+from .common import keyed_rows, materialise, spread_join, whole
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Runs are possessive and begin where no match could have begun earlier, so that a long
@@ -192,15 +192,25 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", suppor
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(SPAN)))).alias("spans"))
 
 
-def sanitise(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, text): each span of find_pii's result replaced by its kind in brackets. doc_id must be unique."""
-    joined = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text")).join(found.select("doc_id", "spans"), "doc_id", "left")
+def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """docs with each span that find_pii() finds replaced by its kind in brackets; all other columns as they are.
+
+    Rows meet their spans by identifier and text, null identifiers too, so rows that share an identifier are each cut at
+    their own places. Overlapping spans are one, named by the first. A null text stays null; an empty table gives no row.
+    """
+    keyed = keyed_rows(docs, text, doc_id)
+    at = docs.columns.index(text)
+    own = keyed.select(F.col("row_key").alias("doc_id"), whole(f"row.c{at}").alias("text"))
+    found = find_pii(own, support=support, disclosure=disclosure).groupBy(F.col("doc_id").alias("row_key")).agg(F.first("spans").alias("spans"))
+    joined = spread_join(materialise(keyed, "rows"), materialise(found, "spans"), ["row_key"], "left").withColumn("_text", whole(f"row.c{at}"))
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substr("text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substr("_text", (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         new = F.concat(acc["out"], gap, F.lit("["), F.get(names, s["kind"]), F.lit("]"))
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["stop"].alias("at"), new.alias("out")))
 
-    return joined.select("doc_id", F.aggregate(F.coalesce("spans", F.array().cast(SPAN)), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int")))).alias("text"))
+    clean = F.aggregate(F.coalesce("spans", F.array().cast(SPAN)), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("_text"), (acc["at"] + 1).cast("int"))))
+    clean = F.when(F.col(f"row.c{at}").isNotNull(), clean)
+    return joined.select(*((clean if i == at else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)))

@@ -389,7 +389,7 @@ def test_pii_terms(spark, rows, corpus, broadcast, monkeypatch):
         if data is small:
             assert {"patient", "call", "now"} <= told and "ward" not in told
             assert (2, 9) in {(s.start, s.stop) for r in got if r.doc_id == 200 for s in r.spans}  # far from any address
-    clean = pii.sanitise(docs_of(spark, small[:39]), pii.find_pii(docs_of(spark, small[:39]))).where("doc_id = 0").first().text
+    clean = pii.sanitise(docs_of(spark, small[:39])).where("doc_id = 0").first().text
     assert "@" not in clean and "[email]" in clean and "[term]" in clean and clean.startswith("nothing here\n") and clean.endswith(" ward")
 
 
