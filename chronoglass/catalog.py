@@ -671,4 +671,4 @@ def h31_screening(spark, sf):
     return H.screening(halves(spark, sf).where("a IS NOT NULL AND b IS NOT NULL"), "a", ["b", "c"]).select("column", *r6("r"))
 
 
-from . import catalog_cleaning, catalog_orbits, catalog_phase  # noqa: E402, F401  register more queries
+from . import catalog_cleaning, catalog_orbits, catalog_phase, catalog_sources  # noqa: E402, F401  register more queries

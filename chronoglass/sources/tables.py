@@ -64,3 +64,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def append_log(spark: SparkSession, path: str, lines: list[str]) -> None:
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def delimited_out(df: DataFrame, path: str, sep: str) -> None:
+    df.write.option("header", True).option("sep", sep).csv(path)
+
+
+def latest(spark: SparkSession, pattern: str) -> str | None:
+    """The last path by name that a glob finds, in any store; none if it finds nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return max((str(f.getPath()) for f in found or []), default=None)
