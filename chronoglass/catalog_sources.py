@@ -114,3 +114,31 @@ def q11_flags(spark, sf):
 def a16_shares(spark, sf):
     n = raw(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row per type
+
+
+FEATURES = ", f AS (SELECT id, CASE id % 3 WHEN 0 THEN 'kobe_' WHEN 1 THEN 'shanghai_' ELSE 'hall_' END || id AS cohort, avg(v) / 10 AS night, stddev_samp(v) AS work, min(v) AS friction, max(v) / 50 AS ascend, avg(v) AS m, stddev_samp(v) AS s, count(*) AS n FROM e GROUP BY id)"
+
+
+def features(spark, sf):
+    """Per id, metrics that stand in for those of a phase record."""
+    v, name = F.col("v"), F.when(F.col("id") % 3 == 0, "kobe_").when(F.col("id") % 3 == 1, "shanghai_").otherwise("hall_")
+    f = raw(spark, sf).groupBy("id").agg((F.avg(v) / 10).alias("night"), F.stddev_samp(v).alias("work"), F.min(v).alias("friction"), (F.max(v) / 50).alias("ascend"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"), F.count("*").alias("n"))
+    return f.withColumn("cohort", F.concat(name, F.col("id").cast("string")))
+
+
+@query(FEATURES + """ SELECT id, round(1 / (1 + exp(-CASE WHEN starts_with(cohort, 'kobe_') THEN -6.772379 + 0.701805 * night + 0.008823 * work + 0.103079 * ascend
+ WHEN starts_with(cohort, 'shanghai_') THEN -2.103627 + 0.404453 * night - 0.050432 * friction - 0.102868 * ascend ELSE 1.064314 * night - 6.746364 END)), 6) AS risk FROM f""")
+def m16_regime_risk(spark, sf):
+    risk = S.regime_risk(F.col("cohort"), F.col("night"), F.col("work"), F.col("friction"), F.col("ascend"))
+    return features(spark, sf).select("id", F.round(risk, 6).alias("risk"))
+
+
+@query(FEATURES + """, z AS (SELECT id, s / m / 30 AS rr, (m - avg(m) OVER ()) / stddev_samp(m) OVER () AS a, (s - avg(s) OVER ()) / stddev_samp(s) OVER () AS b, (n - avg(n) OVER ()) / stddev_samp(n) OVER () AS c, (ascend - avg(ascend) OVER ()) / stddev_samp(ascend) OVER () AS d FROM f)
+SELECT id, CAST(a > 0.5 AS INTEGER) + CAST(b > 0.5 AS INTEGER) + CAST(-c > 0.5 AS INTEGER) + CAST(abs(d) - 1 > 0.5 AS INTEGER) >= 3 AND rr BETWEEN 0.015 AND 0.025 AS gate FROM z""")
+def f16_phase_gate(spark, sf):
+    f = features(spark, sf)
+    names = ["m", "s", "n", "ascend"]
+    fit = f.agg(*(F.avg(c).alias(f"a_{c}") for c in names), *(F.stddev_samp(c).alias(f"d_{c}") for c in names))
+    z = {c: (F.col(c) - F.col(f"a_{c}")) / F.nullif(F.col(f"d_{c}"), F.lit(0.0)) for c in names}
+    evidence = [S.directed_evidence(z[c], way) for c, way in zip(names, (1, 1, -1, 0), strict=True)]
+    return f.join(F.broadcast(fit)).select("id", S.phase_gate(evidence, F.col("s") / F.col("m") / 30).alias("gate"))  # fit is one row

@@ -81,3 +81,31 @@ def leverage(work: Column, recovery: Column) -> Column:
 
 def routing_flags(ar1: Column, det: Column, work: Column, lev: Column) -> list[Column]:
     return [(ar1 > 0.990).alias("critical"), (det > 0.85).alias("locked"), ((work > 80) | (lev > 5)).alias("overloaded")]
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+#: The regimes' frozen logits, the constant first.
+KOBE = (-6.772379, 0.701805, 0.008823, 0.103079)
+SHANGHAI = (-2.103627, 0.404453, -0.050432, -0.102868)
+OTHERS = (-6.746364, 1.064314)
+
+
+def regime_risk(cohort: Column, night: Column, work: Column, night_friction: Column, ascend: Column) -> Column:
+    """Risk by the cohort's regime: night mean with work and friction up, with night friction and friction up, or alone."""
+    score = lambda b, *x: sum((w * c for w, c in zip(map(F.lit, b[1:]), x, strict=True)), F.lit(b[0]))
+    kobe, shanghai = score(KOBE, night, work, ascend), score(SHANGHAI, night, night_friction, ascend)
+    return sigmoid(F.when(cohort.startswith("kobe_"), kobe).when(cohort.startswith("shanghai_"), shanghai).otherwise(score(OTHERS, night)))
+
+
+def directed_evidence(z: Column, direction: int) -> Column:
+    """A standardised metric as evidence, 0 to 3: in its direction, or either way beyond 1 where direction is 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(3.0), z * direction if direction else F.abs(z) - 1.0))
+
+
+def phase_gate(evidence: list[Column], rr: Column, least: int = 3, over: float = 0.5) -> Column:
+    """Whether enough evidences agree and the recurrence rate is near its target."""
+    count = sum((F.coalesce((e > over).cast("int"), F.lit(0)) for e in evidence), F.lit(0))
+    return (count >= least) & F.coalesce(rr.between(0.015, 0.025), F.lit(False))
