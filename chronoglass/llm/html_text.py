@@ -289,6 +289,16 @@ def text_of(page: Page, kept: np.ndarray) -> str:
     return "\n".join(t for node, t, _ in page.blocks if kept[node])
 
 
+def plain_text(page: Page) -> str:
+    """For a page of which decoding keeps nothing: the blocks that are not mostly links, and stand under no element that is
+    boilerplate by its tag or attribute words. A page of menus alone has none."""
+    bad = np.zeros(len(page.tags), bool)
+    for i, t in enumerate(page.tags):
+        own = t in NEVER or any(_tag_group(t)[:5]) or any(_token_group(page.attrs[i])[:9])
+        bad[i] = i > 0 and (own or bad[page.parents[i]])
+    return "\n".join(t for node, t, linked in page.blocks if not bad[node] and 2 * linked < len(t))
+
+
 class _Pages:
     """Pages of many layouts with known labels, from a seeded generator."""
 
@@ -416,7 +426,7 @@ def main_text(forest: boosting.Forest, sources: list[str]) -> list[str]:
     if not pages:
         return []
     odds = np.split(forest.log_odds(features(pages)), np.cumsum(sizes)[:-1])
-    return [text_of(p, decode(p, o)) for p, o in zip(pages, odds, strict=True)]
+    return [text_of(p, decode(p, o)) or plain_text(p) for p, o in zip(pages, odds, strict=True)]
 
 
 def _extract(forest: boosting.Forest):
@@ -435,7 +445,8 @@ def extract_text(pages: DataFrame, html: str = "html", carry: list[str] | None =
 
     Elements are scored by boosted trees over subtree and link density, attribute words, depth and sibling statistics of
     the element and those above it; decoding along the tree keeps the likeliest set of elements in which none lies under a
-    dropped one. Blocks of kept elements are decoded, have white space collapsed and are joined by \\n in page order.
+    dropped one. Of a page where that keeps nothing, what is neither mostly links nor under boilerplate by name is the text.
+    Blocks of kept elements are decoded, have white space collapsed and are joined by \\n in page order.
     Null or empty html gives an empty text. Rows are independent: ties, repeated rows and other columns change nothing.
     """
     small_batches(pages.sparkSession)
