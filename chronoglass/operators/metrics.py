@@ -101,10 +101,11 @@ def trapezoid(df: DataFrame) -> DataFrame:
 
 
 def night_slowing(df: DataFrame, least: int) -> DataFrame:
-    """Median over nights of lag-1 autocorrelation, variance and skewness of 0-6 h readings."""
+    """Median over nights of lag-1 autocorrelation, variance and skewness of 0-6 h readings; nights of one value have only the variance."""
     x = df.where(period(F.col("us"), 0, 6)).withColumn("date", day_of(F.col("us")))
     w = Window.partitionBy("id", "date").orderBy("us")
     x = x.withColumn("m", F.avg("v").over(Window.partitionBy("id", "date"))).withColumn("c", F.col("v") - F.col("m"))
     x = x.withColumn("p", F.col("c") * F.lag("c").over(w))
-    n = x.groupBy("id", "date").agg(F.count("*").alias("n"), (F.sum("p") / F.sum(F.col("c") * F.col("c"))).alias("ar1"), F.var_samp("v").alias("var"), (F.avg(F.pow("c", F.lit(3))) / F.pow(F.var_samp("v"), F.lit(1.5))).alias("skew"))
+    some = lambda c: F.nullif(c, F.lit(0.0))
+    n = x.groupBy("id", "date").agg(F.count("*").alias("n"), (F.sum("p") / some(F.sum(F.col("c") * F.col("c")))).alias("ar1"), F.var_samp("v").alias("var"), (F.avg(F.pow("c", F.lit(3))) / some(F.pow(F.var_samp("v"), F.lit(1.5)))).alias("skew"))
     return n.where(F.col("n") >= least).groupBy("id").agg(F.median("ar1").alias("ar1"), F.median("var").alias("var"), F.median("skew").alias("skew"), F.count("*").alias("nights"))
