@@ -89,24 +89,49 @@ def bootstrap_mean_difference(df: DataFrame, key: str, x: str, label: str, n: in
     return ok.agg(of(F.lit(1))).join(ends)
 
 
+def _hashed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df once for each of n shuffles, with rep, _h, the hash that orders it, and _b, the hash's first 8 bits. A null key
+    comes last. Rows are dealt first, so that few rows with many shuffles don't stay in few tasks."""
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    reps = df.repartition(parts).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    text = F.concat(F.col(key).cast("string"), F.lit(":"), F.col("rep").cast("string"))
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+    return reps.withColumn("_h", F.coalesce(h, F.lit(1 << 60))).withColumn("_b", F.shiftright("_h", 52))
+
+
+def _below(reps: DataFrame, *sums: Column) -> DataFrame:
+    """(rep, _b, _n, ...): rows of each bin of hashes and below_ those of the bins before, likewise the sums; 257 bins at
+    most for a shuffle."""
+    before = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = reps.groupBy("rep", "_b").agg(F.count("*").alias("_n"), *(c.alias(f"_s{k}") for k, c in enumerate(sums)))
+    names = ["_n", *(f"_s{k}" for k in range(len(sums)))]
+    return bins.select("rep", "_b", "_n", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"below{c}") for c in names))
+
+
 def shuffled(df: DataFrame, key: str, n: int) -> DataFrame:
     """df once for each of n shuffles, with rep and place, its row's place in it from 1: the order of a hash of the key and
-    the replicate, and of the key where hashes meet. Places are counted in two levels, so no task orders all rows."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    reps = reps.withColumn("_h", F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("rep").cast("string")), 256), 1, 15), 16, 10).cast("long"))
-    meets = Window.partitionBy("rep", "_h")
-    reps = reps.withColumn("_one", F.lit(1)).withColumn("_tie", F.row_number().over(meets.orderBy(key))).withColumn("_n", F.count("*").over(meets))
-    firsts = cumulated(reps.where("_tie = 1").select("rep", "_h", "_n"), "_h", ["_n"], ["rep"])
-    return reps.join(firsts.select("rep", "_h", "below__n"), ["rep", "_h"]).withColumn("place", F.col("below__n") + F.col("_tie")).drop("_h", "_one", "_tie", "_n", "below__n")
+    the replicate, and of the key where hashes meet. Bins of hashes are counted, and rows are placed within their bin, so no
+    task orders all rows and only the bins' counts are broadcast."""
+    reps = _hashed(df, key, n)
+    own = F.row_number().over(Window.partitionBy("rep", "_b").orderBy("_h", F.col(key).asc_nulls_last()))
+    placed = reps.withColumn("_k", own).join(F.broadcast(_below(reps).select("rep", "_b", "below_n")), ["rep", "_b"])
+    return placed.select(*df.columns, "rep", (F.col("below_n") + F.col("_k")).alias("place"))
 
 
 def permuted_separation(df: DataFrame, key: str, x: str, label: str, n: int) -> DataFrame:
     """(rep, value): P(positive > negative) + P(equal) / 2 in n shuffles of the labels. Ranks are made once; a shuffle gives
-    the label to the rows in its first places, as many as have it."""
+    the label to the rows in its first places, as many as have it. These are whole bins of hashes, of which only sums are
+    made, and the first rows of one bin, so a shuffle sorts that bin alone."""
     rows = ranked(df.where(F.col(x).isNotNull() & F.col(label).isNotNull()), x, "_r").select(F.col(key), "_r", F.col(label).cast("long").alias("_l"))
+    rows = cut(rows, "ranks")
     total = rows.agg(F.sum("_l").alias("n1"), F.sum(1 - F.col("_l")).alias("n0"))
-    won = shuffled(rows, key, n).join(F.broadcast(total)).where("place <= n1").groupBy("rep", "n1", "n0").agg(F.sum("_r").alias("s"))
-    return won.select("rep", ((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / F.greatest(F.col("n1") * F.col("n0"), F.lit(1))).alias("value"))
+    reps = _hashed(rows.select(key, "_r"), key, n)
+    edge = _below(reps, F.sum("_r")).join(F.broadcast(total)).where("below_n < n1 AND n1 <= below_n + _n")
+    edge = cut(edge.select("rep", "_b", "n1", "n0", "below_n", "below_s0"), "edges")  # a row per shuffle
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("_h", F.col(key).asc_nulls_last()))
+    won = reps.join(F.broadcast(edge), ["rep", "_b"]).withColumn("_k", first).where(F.col("below_n") + F.col("_k") <= F.col("n1"))
+    s = won.groupBy("rep", "n1", "n0", "below_s0").agg(F.sum("_r").alias("s")).withColumn("s", F.col("s") + F.col("below_s0"))
+    return s.select("rep", ((F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / F.greatest(F.col("n1") * F.col("n0"), F.lit(1))).alias("value"))
 
 
 def max_statistic(df: DataFrame, key: str, columns: list[str], label: str, n: int) -> DataFrame:
@@ -120,7 +145,7 @@ def max_statistic(df: DataFrame, key: str, columns: list[str], label: str, n: in
     real = rows.agg(F.array(*(F.struct(F.lit(c).alias("column"), size(c, f"_r_{label}").alias("stat")) for c in columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     # the row at a place gets the label of the row with that place in the order of the key
     fixed = cumulated(rows.select(F.col(key).alias("_k"), F.lit(1).alias("_n"), F.col(f"_r_{label}").alias("_y")), "_k", ["_n"])
-    mixed = shuffled(rows, key, n).join(fixed.select((F.col("below__n") + 1).alias("place"), "_y"), "place")
+    mixed = shuffled(rows, key, n).join(fixed.select((F.col("below__n") + 1).alias("place"), "_y").hint("shuffle_hash"), "place")
     null = mixed.groupBy("rep").agg(F.greatest(*(size(c, "_y") for c in columns), F.lit(0.0)).alias("value"))
     met = real.join(null, F.col("value") >= F.col("stat") - 1e-12, "left")
     return met.groupBy("column", "stat").agg(((F.count("value") + 1) / (n + 1)).alias("p"))
