@@ -131,10 +131,18 @@ def friedman(df: DataFrame, block: str, treatment: str, x: str) -> DataFrame:
     return out.select(chi2.alias("chi2"), "blocks", k.cast("long").alias("treatments"))
 
 
-def paired(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, mean, d, up, down, signed): differences a - b, Cohen's d, their signs and the signed-rank sum, ties averaged."""
+def exact_mean(v: Column) -> Column:
+    """Mean that doesn't depend on the order of rows, so that equal means are equal: from a decimal sum where no value has
+    more than six decimals, else the plain one."""
+    exact = v.try_cast("decimal(18,6)")
+    return F.when(F.count(v) == F.count_if(exact.cast("double") == v), F.sum(exact).cast("double") / F.nullif(F.count(v), F.lit(0))).otherwise(F.avg(v))
+
+
+def paired(df: DataFrame, a: str, b: str, ties: str = "average") -> DataFrame:
+    """(n, mean, d, up, down, signed): differences a - b, Cohen's d, their signs and the signed-rank sum, ties as ranked()
+    has them."""
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(a) - F.col(b)).withColumn("m", F.abs(F.col(a) - F.col(b))).withColumn("zero", (F.col("d") == 0).cast("int"))
-    x = ranked(x.withColumn("m", F.when(F.col("d") != 0, F.col("m"))), "m", "r")
+    x = ranked(x.withColumn("m", F.when(F.col("d") != 0, F.col("m"))), "m", "r", ties)
     return x.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.avg("d") / F.stddev_samp("d")).alias("d"), F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"), F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("signed"))
 
 

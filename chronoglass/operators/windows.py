@@ -115,7 +115,8 @@ def cumulated(df: DataFrame, x: str, sums: list[str], by: list[str] | None = Non
     by = by or []
     rows = df.where(F.col(x).isNotNull())
     cuts = sorted(set(rows.agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
-    held = rows.withColumn("_b", sum(((F.col(x) > F.lit(c)).cast("int") for c in cuts), F.lit(0)))
+    place = lambda v: sum(((v > F.lit(c)).cast("int") for c in cuts), F.lit(0))  # noqa: E731  of a variable, so that x is worked out once
+    held = rows.withColumn("_b", F.get(F.transform(F.array(F.col(x)), place), F.lit(0)))
     bins = held.groupBy(*by, "_b").agg(*(F.sum(c).alias(f"_s{k}") for k, c in enumerate(sums)))
     each = Window.partitionBy(*by)
     before, whole = each.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1), each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -126,11 +127,12 @@ def cumulated(df: DataFrame, x: str, sums: list[str], by: list[str] | None = Non
     return out.select(*df.columns, *((F.col(f"_l{k}") + F.coalesce(F.sum(c).over(within), zero)).alias(f"below_{c}") for k, c in enumerate(sums)), *(f"all_{c}" for c in sums))
 
 
-def ranked(df: DataFrame, x: str, name: str) -> DataFrame:
-    """df with the average rank of x over all rows, ties averaged: values are counted first, and ranked in two levels, so
-    neither a common value nor the table meets in one task. Rows of null x have a null rank."""
+def ranked(df: DataFrame, x: str, name: str, ties: str = "average") -> DataFrame:
+    """df with the rank of x over all rows, ties averaged, or all the least of theirs (`least`): values are counted first,
+    and ranked in two levels, so neither a common value nor the table meets in one task. Rows of null x have a null rank."""
     counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
-    ranks = cumulated(counts, "_x", ["_c"]).select("_x", (F.col("below__c") + (F.col("_c") + 1) / 2).alias(name))
+    within = F.lit(1.0) if ties == "least" else (F.col("_c") + 1) / 2
+    ranks = cumulated(counts, "_x", ["_c"]).select("_x", (F.col("below__c") + within).alias(name))
     return df.join(ranks, F.col(x) == F.col("_x"), "left").drop("_x")
 
 
