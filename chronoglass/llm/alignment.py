@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import handing_back, kept_by_worker, materialise, small_batches, spread_join
 from .tokens import _LATIN, _ODD, Encoder
@@ -19,11 +20,12 @@ BROADCAST_PAIRS = 1_000_000
 SPACE = "▁"
 #: The first character of three bytes.
 TWO_BYTES = "\u0800"
-LOW = (1 << 31) - 1
-#: On a mark that is B's, on a link that closes its group, and instead of a link for a mark that gives none.
-B_MARK, CLOSES, NONE = 1 << 31, 1 << 62, -1
-#: On a link that ends where B's token alone does; so sorted links begin with those that end A's, then B's, then both.
-ENDS_B = 1 << 61
+#: Texts that are not cut at their spaces: characters that the libraries may read otherwise, or white space by a space that can
+#: be in one token with it. In all others a space begins a token on both sides.
+WHOLE = r"[^\x{0}-\x{24f}]|[\x{1c}-\x{1f}]|(\A| )[\t-\r \x{85}\x{a0}]| \z"
+#: Bytes of texts that are aligned at once, so that their units are few.
+SLICE = 8_000_000
+COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
 class BytePieces:
@@ -53,6 +55,7 @@ class BytePieces:
             merged = [x if isinstance(x, list) else x.split(" ") for x in json.load(f)["model"]["merges"]]
         order = [vocabulary[a + b] for a, b in merged]
         self.ranked = order == sorted(order) and own.spaced
+        self.table_of_bytes = pa.array(self.bytes, pa.large_binary())
         self.bpe = tiktoken.Encoding("ids-are-ranks", pat_str=PATTERN, mergeable_ranks={self.bytes[i]: i for i in vocabulary.values()}, special_tokens={}) if self.ranked else None
 
     def ids(self, text: str) -> np.ndarray:
@@ -85,6 +88,7 @@ class SentencePieces:
         first = [i for i in normal if len(pieces[i]) == 1 and len(self.bytes[i]) == 2]
         for i in [*first, *sorted((i for i in normal if len(pieces[i]) > 1), key=lambda i: -m.get_score(i))]:
             ids[len(ids)], ranks[self.bytes[i]] = i, len(ids)
+        self.table_of_bytes = pa.array(self.bytes, pa.large_binary())
         self.table = np.array(list(ids.values()), np.int32)
         self.bpe = tiktoken.Encoding("scores-are-ranks", pat_str=r" *[^ ]+| +", mergeable_ranks=ranks, special_tokens={}) if self.ranked else None
 
@@ -100,117 +104,147 @@ def side(kind: str, path: str) -> BytePieces | SentencePieces:
     return (BytePieces if kind == "a" else SentencePieces)(path)
 
 
-def _tokens(path_a: str, path_b: str):
-    kinds = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *((f"{s}_{c}", pa.list_(pa.int32())) for s in "ab" for c in ("ids", "ends"))])
+def _joined(s: BytePieces | SentencePieces, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The tokens' bytes, one after another, and how many there are before each and at last."""
+    if not len(ids):
+        return memoryview(b""), np.zeros(1, np.int64)
+    joined = s.table_of_bytes.take(pa.array(ids))
+    return memoryview(joined.buffers()[2] or b"").cast("B"), np.frombuffer(joined.buffers()[1], np.int64)[: len(ids) + 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides = [side("a", path_a), side("b", path_b)]
-        known = [pa.array(s.bytes, pa.binary()) for s in sides]
-        for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            raws = [(" " + t).encode() for t in texts]
-            found, same = [], [bool(t) for t in texts]
-            for s, table in zip(sides, known, strict=True):
-                ids = [s.ids(t) if t else np.zeros(0, np.int32) for t in texts]
-                cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-                flat = np.concatenate([np.zeros(0, np.int32), *ids])
-                joined = table.take(pa.array(flat))  # all tokens' bytes, one after another
-                ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-                data = memoryview(joined.buffers()[2] or b"").cast("B")
-                at = ends[cuts]
-                same = [ok and data[x:y] == raw for ok, x, y, raw in zip(same, at[:-1].tolist(), at[1:].tolist(), raws, strict=True)]
-                found.append((flat, ends, cuts, at))
-            keep = np.array(same, bool)
-            columns = [b.column(0), b.column(1)]
-            for flat, ends, cuts, at in found:
-                n = np.diff(cuts)
-                inside = np.repeat(keep, n)
-                places = ends[1:] - np.repeat(at[:-1], n)
-                lists = pa.array(np.concatenate([[0], np.cumsum(n * keep)]).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(lists, pa.array(v[inside], pa.int32())) for v in (flat, places)]
-            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return run
+def _encoded(s: BytePieces | SentencePieces, words: list[str], wholes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all units, words first: their tokens' ids, the bytes of each, how many a unit has, and whether they join to a
+    space and the unit. Words are encoded as one text; should a token not end where a word does, they are one by one."""
 
+    def each(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = [s.ids(t) for t in units]
+        flat, n = np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
+        data, ends = _joined(s, flat)
+        at = ends[np.concatenate([[0], np.cumsum(n)]).astype(np.int64)].tolist()
+        return flat, n, np.array([data[x:y] == (" " + t).encode() for t, x, y in zip(units, at[:-1], at[1:], strict=True)], bool)
 
-def token_ends(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(rid, doc_id, a_ids, a_ends, b_ids, b_ends): each side's ids and the byte each ends before, of space and text. A
-    text that is null, empty, or not what either side's tokens' bytes join to has none."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    listed = T.ArrayType(T.IntegerType(), containsNull=False)
-    kinds = T.StructType([T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), *(T.StructField(f"{s}_{c}", listed, nullable=False) for s in "ab" for c in ("ids", "ends"))])
-    return rows.mapInArrow(handing_back(_tokens(path_a, path_b)), kinds)
+    flat, n, same = each(wholes)
+    if words:
+        text = " ".join(words)
+        first = s.ids(text)
+        data, ends = _joined(s, first)
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(ends, stops)
+        if ends[-1] == stops[-1] and (ends[cuts] == stops).all() and data == (" " + text).encode():
+            own, held = np.diff(cuts, prepend=0), np.ones(len(words), bool)
+        else:
+            first, own, held = each(words)
+        flat, n, same = np.concatenate([first, flat]), np.concatenate([own, n]), np.concatenate([held, same])
+    return flat, np.diff(_joined(s, flat)[1]), n, same
 
 
-def _marks() -> Column:
-    """Both sides' ends in order as end, side and index; where both end, A's comes first."""
+def _sums(n: np.ndarray, at: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Of n at places `at`, the sums between cuts of these places."""
+    return np.diff(np.concatenate([[0], np.cumsum(n[at])])[cuts])
 
-    def of(ends: str, flag: int) -> Column:
-        return F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(flag)))
 
-    return F.sort_array(F.concat(of("a_ends", 0), of("b_ends", B_MARK)))
+def _aligned(sides: list, words: list[str], wholes: list[str], at: np.ndarray, cuts: np.ndarray) -> tuple:
+    """Of documents that are units `at` between cuts: n_a, n_b, n_groups, n_links, the text of groups and its cuts, links'
+    id pairs once each, how many links each has, and their cuts.
 
-
-def _link(x: Column, j: Column) -> Column:
-    """A link as index in A, index in B, and whether it closes a group, for the stretch that ends at mark x of `marks`.
-
-    Before the k-th mark of a side, at place j of all, there are j - k of the other: the index of the token that overlaps.
-    A stretch ends once: of the two marks of a common end, A's is the link's.
+    Both sides' tokens end where a unit does, so groups and links lie within units and a document's are its units', one
+    after another: each different unit is aligned once.
     """
-    own = x.bitwiseAND(F.lit(LOW))
-    of_a = own * F.lit(LOW) + j  # own * 2**31 + (j - own)
-    of_b = F.shiftleft(j - own, 31) + own + F.lit(ENDS_B)
-    end = F.shiftright(x, 32)
-    closes = F.shiftright(F.get("marks", j + 1), 32) == end
-    twice = F.shiftright(F.get("marks", j - 1), 32) == end
-    return F.when(x.bitwiseAND(F.lit(B_MARK)) == 0, F.when(closes, of_a + F.lit(CLOSES)).otherwise(of_a)).otherwise(F.when(twice, F.lit(NONE)).otherwise(of_b))
-
-
-def _a(link: Column) -> Column:
-    return F.shiftright(link, 31).bitwiseAND(F.lit(LOW >> 2)).cast("int")
+    coded = [_encoded(s, words, wholes) for s in sides]
+    same = coded[0][3] & coded[1][3]
+    ids, ends, n = [], [], []
+    for flat, size, k, _ in coded:
+        keep = np.repeat(same, k)
+        ids.append(flat[keep])
+        ends.append(np.cumsum(size[keep]))
+        n.append(k * same)
+    token_cuts = [np.concatenate([[0], np.cumsum(k)]) for k in n]
+    # a link ends wherever a token does, a group where both sides' tokens do
+    link_ends = np.union1d(*ends)
+    link_at = [np.searchsorted(e, link_ends) for e in ends]
+    closes = (ends[0][link_at[0]] == link_ends) & (ends[1][link_at[1]] == link_ends)
+    link_cuts = np.searchsorted(link_ends, np.concatenate([[0], ends[0]])[token_cuts[0]], "right")
+    group_cuts = np.concatenate([[0], np.cumsum(closes)])[link_cuts]
+    common = link_ends[closes]
+    # groups' tokens, A's before B's: before a token of A are B's of earlier groups, before one of B A's up to its group's end
+    group = [np.searchsorted(common, e) for e in ends]
+    until = [np.concatenate([[0], np.searchsorted(e, common, "right")]) for e in ends]
+    order = np.empty(sum(map(len, ids)), np.int64)
+    order[np.arange(len(ids[0])) + until[1][group[0]]] = 2 * ids[0] + np.isin(ends[0], common, assume_unique=True)
+    order[np.arange(len(ids[1])) + until[0][group[1] + 1]] = 2 * (ids[1] + len(sides[0].bytes)) + np.isin(ends[1], common, assume_unique=True)
+    texts = _listed(len(sides[0].bytes), len(sides[1].bytes)).take(pa.array(order))
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[token_cuts[0] + token_cuts[1]] if len(order) else np.zeros(len(same) + 1, np.int64)
+    of_units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(same), [None, pa.py_buffer(np.ascontiguousarray(offsets)), texts.buffers()[2] or pa.py_buffer(b"")])
+    text = of_units.take(pa.array(at))
+    text_cuts = (np.frombuffer(text.buffers()[1], np.int64) if len(at) else np.zeros(1, np.int64))[cuts]
+    pairs, code = np.unique(ids[0][link_at[0]].astype(np.int64) << 32 | ids[1][link_at[1]], return_inverse=True)
+    links = pa.LargeListArray.from_arrays(pa.array(link_cuts), pa.array(code.astype(np.int64))).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+    n_links = _sums(np.diff(link_cuts), at, cuts)
+    held = np.sort(np.repeat(np.arange(len(n_links)) * max(1, len(pairs)), n_links) + links)
+    first = np.flatnonzero(np.concatenate([held[:1] >= 0, held[1:] != held[:-1]]))
+    times = np.diff(np.append(first, len(held)))
+    document, code = np.divmod(held[first], max(1, len(pairs)))
+    pair_cuts = np.searchsorted(document, np.arange(len(n_links) + 1))
+    return *(_sums(k, at, cuts) for k in n), _sums(np.diff(group_cuts), at, cuts), n_links, text, text_cuts, pairs[code], times, pair_cuts
+
+
+@lru_cache(maxsize=1)
+def _listed(a: int, b: int) -> pa.Array:
+    """Ids as text, A's from 0 to a and B's from 0 to b: each before `,` and as the last of its group's."""
+    return pa.array([f"{i}{mark}".encode() for n, last in ((a, "|"), (b, ";")) for i in range(n) for mark in (",", last)], pa.large_binary())
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Places from and to of rows with about SLICE bytes together."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _align(path_a: str, path_b: str):
+    held = pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())]))
+    kinds = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("groups_sha256", pa.string()), ("pairs", held)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = [side("a", path_a), side("b", path_b)]
+        for batch in batches:
+            if not len(batch):
+                continue
+            for low, high in _slices(pc.fill_null(batch.column(2), "")):
+                b = batch.slice(low, high - low)
+                texts = pc.fill_null(b.column(2), "")
+                full = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+                whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False) | (not all(s.ranked for s in sides))
+                cut, rest = np.flatnonzero(full & ~whole), np.flatnonzero(full & whole)
+                parts = pc.split_pattern(texts.take(pa.array(cut)), " ")
+                words, wholes = parts.flatten().dictionary_encode(), texts.take(pa.array(rest)).to_pylist()
+                n = np.zeros(len(b), np.int64)  # units of each row, in the order of cut, rest and those without
+                n[: len(cut)], n[len(cut) : len(cut) + len(rest)] = pc.list_value_length(parts).to_numpy(zero_copy_only=False), 1
+                at = np.concatenate([words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(len(rest)) + len(words.dictionary)])
+                *counts, text, text_cuts, pairs, times, pair_cuts = _aligned(sides, words.dictionary.to_pylist(), wholes, at, np.concatenate([[0], np.cumsum(n)]))
+                data = memoryview(text.buffers()[2] or b"").cast("B") if len(text) else memoryview(b"")
+                digests = [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(text_cuts[:-1].tolist(), text_cuts[1:].tolist(), strict=True)]
+                rows = b.select([0, 1]).take(pa.array(np.concatenate([cut, rest, np.flatnonzero(~full)])))
+                listed = pa.ListArray.from_arrays(pa.array(pair_cuts.astype(np.int32)), pa.StructArray.from_arrays([pa.array(pairs), pa.array(times)], fields=list(held.value_type)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c.astype(np.int64)) for c in counts), pa.array(digests, pa.string()), listed], schema=kinds)
 
-def _b(link: Column) -> Column:
-    return link.bitwiseAND(F.lit(LOW)).cast("int")
-
-
-def _listed(ids: str, starts: str) -> Column:
-    """A side's ids as text, `;` between groups and `,` within: starts are the places after a token that ends inside one."""
-    stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(ids))
-    return F.array_join(F.transform(starts, lambda at, k: F.array_join(F.slice(ids, at + 1, stop(k) - at), ";")), ",")
-
+    return run
 
-def align(tokens: DataFrame) -> DataFrame:
-    """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of token_ends(): groups end where both sides do,
-    links are the pairs of tokens that overlap, pairs are their ids (A's in the high 32 bits), sorted, repeats included.
 
-    Each step is a column of its own, which the next reads several times: so it is made once, and sorting runs compiled
-    on plain numbers. Every step is linear in the tokens, but for that sort.
-    """
-    own, size = ["rid", "doc_id", "n_a", "n_b", "n_groups"], lambda c: F.size(c).cast("long")
-    common = F.array_intersect("a_ends", "b_ends")
-    rows = tokens.select("rid", "doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size(common).alias("n_groups"), "a_ids", "b_ids", _marks().alias("marks"))
-    rows = rows.select(*own, "a_ids", "b_ids", F.array_remove(F.transform("marks", _link), F.lit(NONE)).alias("links"))
-    id_at = lambda ids, k: F.coalesce(F.get(ids, k), F.lit(0)).cast("long")
-    pairs = F.transform("links", lambda v: F.shiftleft(id_at("a_ids", _a(v)), 32) + id_at("b_ids", _b(v)))
-    text = lambda c: F.col(c).cast("array<string>")
-    # of the sorted links, the first end only A's token or only B's: there are as many as tokens that close no group
-    within = F.sort_array("links")
-    rows = rows.select(*own, size("links").alias("n_links"), F.sort_array(pairs).alias("pairs"), within.alias("within"), text("a_ids").alias("a_text"), text("b_ids").alias("b_text"))
-    left = lambda n: (F.col(n) - F.col("n_groups")).cast("int")
-    after = lambda links, at: F.concat(F.array(F.lit(0)), F.transform(links, lambda v: at(v) + 1))
-    starts = [after(F.slice("within", 1, left("n_a")), _a).alias("a_starts"), after(F.slice("within", left("n_a") + 1, left("n_b")), _b).alias("b_starts")]
-    rows = rows.select(*own, "n_links", "pairs", "a_text", "b_text", *starts)
-    sides = [F.split(_listed(f"{s}_text", f"{s}_starts"), ";") for s in "ab"]
-    groups = F.array_join(F.zip_with(*sides, lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-    return rows.select(*own, "n_links", F.when(F.col("n_a") > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"), "pairs")
+def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(rid, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs) of space and text: groups end where both sides'
+    tokens do, links are the pairs of tokens that overlap, pairs are their different ids (A's in the high 32 bits) with the
+    number of links of each. A text that is null, empty, or not what either side's tokens' bytes join to has none."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    return rows.mapInArrow(handing_back(_align(path_a, path_b)), f"rid long, doc_id long, {counts}, groups_sha256 string, pairs array<struct<pair: long, times: long>>")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n_docs, best) of align(), written: in how many documents an id pair is linked, and whether no other pair of
     its A id is in more. An A id has at most as many pairs as B has ids."""
-    counts = aligned.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
+    counts = aligned.select(F.explode("pairs.pair").alias("pair")).groupBy("pair").agg(F.count("*").alias("n_docs"))
     top = F.max("n_docs").over(Window.partitionBy(F.shiftright("pair", 32)))
     return materialise(counts.withColumn("best", F.col("n_docs") == top), "pair-counts")
 
@@ -224,16 +258,16 @@ def alignment(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc
     byte, have no tokens, all zeros and an empty groups_sha256. Repeated rows count as documents each; a null identifier
     stays null. An empty table gives no row.
 
-    Python only tokenises; pairs are pre-aggregated in their document before they are counted, and counts come back by a
-    broadcast of checked size or, beyond it, by a join that spreads common pairs.
+    Python tokenises and aligns, which is within a document; pairs are pre-aggregated there before Spark counts them, and
+    counts come back by a broadcast of checked size or, beyond it, by a join that spreads common pairs.
     """
-    aligned = materialise(align(token_ends(docs, path_a, path_b, text, doc_id)), "aligned")
+    aligned = materialise(align(docs, path_a, path_b, text, doc_id), "aligned")
     counts = pair_counts(aligned)
-    held = aligned.select("rid", F.explode("pairs").alias("pair"))
+    held = aligned.select("rid", F.inline("pairs"))
     if counts.count() <= broadcast_pairs:
-        met = held.join(F.broadcast(counts), "pair").withColumn("times", F.lit(1))
+        met = held.join(F.broadcast(counts), "pair")
     else:
-        met = spread_join(materialise(held.groupBy("rid", "pair").agg(F.count("*").alias("times")), "pairs-held"), counts, ["pair"])
+        met = spread_join(materialise(held, "pairs-held"), counts, ["pair"])
     sums = met.groupBy("rid").agg(F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
     return aligned.drop("pairs").join(sums, "rid", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -115,3 +116,38 @@ def test_tokens_are_the_libraries(text):
         side = alignment.side(kind, path)
         assert not text or side.ids(text).tolist() == ids
         assert not raw or kind == "b" or b"".join(side.bytes[i] for i in ids) == raw
+
+
+def test_cut_at_spaces_or_whole(spark):
+    """Texts with all kinds of white space by spaces, in one batch, so that units are shared among them."""
+    draw = np.random.default_rng(5)
+    parts = ["the", "Thing", "é", "漢", " ", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\xa0", "▁", "x1", "'ll", "\x1c", "😀", "<0x41>", "\r", ".", "ɐ"]
+    rows = [(i, "".join(draw.choice(parts, draw.integers(1, 14)))) for i in range(600)]
+    order = lambda r: r[0]
+    assert sorted(map(tuple, alignment.alignment(df_of(spark, rows).coalesce(1), A, B).collect()), key=order) == sorted(brute(rows), key=order)
+
+
+def test_a_word_is_encoded_once(monkeypatch):
+    """Of a batch's words, each different one goes to the tokenizers once, and slices of it give the same."""
+    seen = []
+
+    class Watched:
+        def __init__(self, side):
+            self.side = side
+
+        def __getattr__(self, name):
+            return getattr(self.side, name)
+
+        def ids(self, text):
+            seen.append(len(text))
+            return self.side.ids(text)
+
+    sides = {"a": Watched(alignment.side("a", A)), "b": Watched(alignment.side("b", B))}
+    monkeypatch.setattr(alignment, "side", lambda kind, path: sides[kind])
+    texts = [" ".join(f"word{(i + k) % 50}" for k in range(200)) for i in range(40)]
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(42)), "doc_id": pa.array(range(42)), "text": pa.array([*texts, None, "two  spaces"])})
+    once = [r for b in alignment._align(A, B)(iter([batch])) for r in b.to_pylist()]
+    assert sum(seen) <= 2 * (50 * 7 + 11)
+    monkeypatch.setattr(alignment, "SLICE", 3000)
+    assert sorted((r for b in alignment._align(A, B)(iter([batch])) for r in b.to_pylist()), key=lambda r: r["rid"]) == sorted(once, key=lambda r: r["rid"])
+    assert [r["n_groups"] > 0 for r in sorted(once, key=lambda r: r["rid"])] == [True] * 40 + [False, True]
