@@ -16,6 +16,13 @@ def by_time() -> Window:
     return Window.partitionBy("id").orderBy("us")
 
 
+def mean_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, v): means of v, added up by `order`, so that their last bits don't depend on where rows lie."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    x = df.select(*keys, F.avg("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v"), F.lead(F.lit(1)).over(w).alias("_next"))
+    return x.where("_next IS NULL").drop("_next")
+
+
 def collapse(df: DataFrame) -> DataFrame:
     """One reading per id and minute, the mean."""
     return df.withColumn("us", nearest_minute(F.col("us"))).groupBy("id", "us").agg(F.avg("v").alias("v"))
