@@ -23,9 +23,10 @@ def mean_in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return x.where("_next IS NULL").drop("_next")
 
 
-def collapse(df: DataFrame) -> DataFrame:
-    """One reading per id and minute, the mean."""
-    return df.withColumn("us", nearest_minute(F.col("us"))).groupBy("id", "us").agg(F.avg("v").alias("v"))
+def collapse(df: DataFrame, order: str | None = None) -> DataFrame:
+    """One reading per id and minute, the mean, added up by `order` if there is one."""
+    x = df.withColumn("us", nearest_minute(F.col("us")))
+    return mean_in_order(x, ["id", "us"], order) if order else x.groupBy("id", "us").agg(F.avg("v").alias("v"))
 
 
 def keep_one(df: DataFrame, order: str, last: bool = True) -> DataFrame:
